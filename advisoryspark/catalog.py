@@ -9,8 +9,9 @@ stored table that search, counts and models run over.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
-from advisoryspark.functions import ids, replies, scores, text
-from advisoryspark.operators import aggregates, evaluation, forecast, listing, merge, sequence, tfidf
+from advisoryspark.functions import ids, replies, scores, sequences, text
+from advisoryspark.operators import (aggregates, evaluation, forecast, hmm, inference, listing, memm, merge,
+                                      models, sequence, tfidf)
 from advisoryspark.plans import enrich as plan
 from advisoryspark.plans import reports
 from advisoryspark.schemas import RESEARCH_COLUMNS, TABLE_COLUMNS
@@ -492,3 +493,104 @@ def tfidf_vocabulary(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     records = stored(spark, sf_dir).select("CVE_ID", "Description")
     return tfidf.weights(tfidf.fit(records), records).withColumn("weight", F.round("weight", 6))
+
+
+_SCORE_MODELS = {}
+
+
+def score_model(spark, sf_dir):
+    """Score pipeline of a data folder, trained on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORE_MODELS:
+        _SCORE_MODELS[key] = models.fit_score_model(stored(spark, sf_dir))
+    return _SCORE_MODELS[key]
+
+
+@query
+def rf_score(spark, sf_dir):
+    """Predicted score, its severity and the confidence of every record."""
+    scored = models.predict_scores(stored(spark, sf_dir), score_model(spark, sf_dir))
+    return scored.select(
+        "CVE_ID", "CVSS_Score", "predicted", scores.severity(F.col("predicted")).alias("Predicted_Severity"),
+        scores.confidence(F.col("CVSS_Score"), F.col("predicted")).alias("Severity_Confidence"))
+
+
+@query
+def rf_errors(spark, sf_dir):
+    return models.score_errors(stored(spark, sf_dir), score_model(spark, sf_dir))
+
+
+@query
+def oof_score(spark, sf_dir):
+    return models.out_of_fold(stored(spark, sf_dir))
+
+
+@query
+def text_classifier(spark, sf_dir):
+    """Quality label of the labelled documents learned, then applied to all records."""
+    human = table(spark, sf_dir, "labels").select(document_id(spark, sf_dir), "quality")
+    records = stored(spark, sf_dir).select("CVE_ID", "Description")
+    model = models.fit_text_classifier(records.join(human, "CVE_ID"), "quality")
+    return models.classify(records, model).select("CVE_ID", "category", "category_confidence")
+
+
+def word_scorer():
+    """Stand-in for a language model: share of each label's first word in the text."""
+    def predict(texts, labels):
+        counts = [[t.lower().count(label.split()[0]) for label in labels] for t in texts]
+        return [[n / (1 + sum(row)) for n in row] for row in counts]
+    return predict
+
+
+@query
+def zero_shot_inference(spark, sf_dir):
+    docs = spread(raw_records(spark, sf_dir)).select("CVE_ID", "Description")
+    return inference.zero_shot_severity(docs, word_scorer).drop("Description")
+
+
+@query
+def token_sequences(spark, sf_dir):
+    cleaned = stored(spark, sf_dir).select("CVE_ID", "Cleaned_Description")
+    return sequences.encode(cleaned, sequences.vocabulary(cleaned))
+
+
+# --- sequence models -----------------------------------------------------------------
+
+def score_sequence(spark, sf_dir):
+    return sequence.ordered_rows(raw_records(spark, sf_dir), columns=("CVE_ID", "Year", "CVSS_Score"))
+
+
+@query
+def hmm_fit(spark, sf_dir):
+    return hmm.model_table(spark, hmm.fit(score_sequence(spark, sf_dir)))
+
+
+@query
+def hmm_decode(spark, sf_dir):
+    rows = score_sequence(spark, sf_dir)
+    return hmm.timeline(hmm.decode(rows, hmm.fit(rows)))
+
+
+@query
+def hmm_outlook(spark, sf_dir):
+    rows = score_sequence(spark, sf_dir)
+    return hmm.analysis(rows, hmm.fit(rows))
+
+
+@query
+def memm_fit(spark, sf_dir):
+    rows = score_sequence(spark, sf_dir)
+    return memm.training_accuracy(rows, memm.fit(rows))
+
+
+@query
+def memm_decode(spark, sf_dir):
+    rows = score_sequence(spark, sf_dir)
+    return memm.decode(rows, memm.fit(rows)).select("CVE_ID", "CVSS_Score", "true_state", "state")
+
+
+@query
+def memm_what_if(spark, sf_dir):
+    rows = score_sequence(spark, sf_dir)
+    model = memm.fit(rows)
+    return memm.what_if(memm.decode(rows, model), model)

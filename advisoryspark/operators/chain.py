@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from advisoryspark import fixed_values as fx
+from advisoryspark.session import materialize
 
 SEGMENT = 100_000
 
@@ -103,8 +104,9 @@ def decode(rows: DataFrame, steps: Steps, segment: int = SEGMENT) -> DataFrame:
                              "matrix": [matrix.ravel()]})
 
     # Grouping only id and score; one group holds at most `segment` rows.
-    reduced = placed.select("chunk", "segment", "pos", "CVSS_Score").groupBy("chunk", "segment").applyInPandas(
-        reduce_segment, "chunk int, segment int, matrix array<double>").persist()
+    reduced = materialize(
+        placed.select("chunk", "segment", "pos", "CVSS_Score").groupBy("chunk", "segment").applyInPandas(
+            reduce_segment, "chunk int, segment int, matrix array<double>"), "segments")
 
     def stack(pdf: pd.DataFrame) -> np.ndarray:
         return np.stack(pdf["matrix"].to_numpy()).reshape(-1, 3, 3)

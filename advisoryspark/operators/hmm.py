@@ -8,7 +8,7 @@ summary, with no shuffle, and the driver folds one summary per task.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.operators import chain
@@ -150,13 +150,13 @@ def fit(rows: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance: float
             history.append(float(likelihood))
             if len(history) > 1 and history[-1] - history[-2] < tolerance:
                 break
-            model = _maximise(stats, model, scores, first_chunk)
+            model = _maximise(stats)
         return ordered_by_mean({**model, "log_likelihood": history})
     finally:
         scores.unpersist()
 
 
-def _maximise(stats: np.ndarray, model: dict, scores: DataFrame, first_chunk: int) -> dict:
+def _maximise(stats: np.ndarray) -> dict:
     count, total, squares = stats[0:3], stats[3:6], stats[6:9]
     moves = stats[9:].reshape(STATES, STATES)
     means = total / np.maximum(count, 1e-300)
@@ -212,7 +212,7 @@ def order_states(models: DataFrame) -> DataFrame:
     tagged = F.transform("means", lambda m, i: F.struct(m.alias("mean"), i.alias("i")))
     order = F.transform(F.array_sort(tagged), lambda s: s["i"])
 
-    def pick(array, row=None):
+    def pick(array):
         return F.transform("order", lambda i: F.get(array, i))
 
     rows = F.transform("order", lambda i: F.transform("order", lambda j: F.get(F.get("transmat", i), j)))
@@ -220,14 +220,26 @@ def order_states(models: DataFrame) -> DataFrame:
         "means": pick("means"), "std_devs": pick("std_devs"), "transmat": rows})
 
 
-def next_state(models: DataFrame, current: DataFrame) -> DataFrame:
-    """Most likely next state, its probability and its mean for a current state index and ordered models."""
+def next_state(models: DataFrame, current: Column) -> DataFrame:
+    """Most likely next state, its probability and its mean, for ordered models and
+    the index of the current state."""
+    here = models.withColumn("current", current)
     row = F.get("transmat", F.col("current"))
     best = first_argmax(row)
     names = F.array(*[F.lit(s) for s in fx.THREAT_STATES])
-    return models.join(current).select(
+    return here.select(
         F.get(names, F.col("current")).alias("current_state"),
         F.get(names, best).alias("predicted_next_state"),
         F.get(row, best).alias("probability"),
         F.get("means", best).alias("expected_next_cvss"),
     )
+
+
+def analysis(rows: DataFrame, model: dict) -> DataFrame:
+    """One row: current state, last score and the outlook for the next record."""
+    decoded = decode(rows, model)
+    last = decoded.agg(F.max_by(F.struct("CVSS_Score", "state"), F.struct("chunk", "pos")).alias("last"))
+    names = F.array(*[F.lit(s) for s in fx.THREAT_STATES])
+    current = last.select((F.array_position(names, F.col("last.state")) - 1).cast("int"))
+    outlook = next_state(model_table(rows.sparkSession, model), current.scalar())
+    return outlook.withColumn("last_cvss", last.select("last.CVSS_Score").scalar())

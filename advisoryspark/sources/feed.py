@@ -67,8 +67,9 @@ def accepted(flat: DataFrame) -> DataFrame:
 
 def rejected(feed: DataFrame) -> DataFrame:
     """Broken documents and records with a malformed id: source_file, reason, content."""
+    partly = F.when(F.col("vulnerabilities").isNull(), "broken document").otherwise("partly broken document")
     broken = feed.filter(F.col("_corrupt_record").isNotNull()).select(
-        "source_file", F.lit("broken document").alias("reason"),
+        "source_file", partly.alias("reason"),
         F.col("_corrupt_record").alias("content"),
     )
     bad_id = (

@@ -75,6 +75,12 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     return merge.upsert(log.filter("epoch = 0"), changes.select(*TABLE_COLUMNS, "seq")).select(*TABLE_COLUMNS)
 
 
+def keys(spark: SparkSession, root: str, before_epoch: int) -> DataFrame:
+    """Ids logged before an epoch; reads the key column of those folders only."""
+    log = spark.read.schema(LOG_SCHEMA).parquet(root)
+    return log.filter(F.col("epoch") < before_epoch).select("CVE_ID").distinct()
+
+
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
     """Write the current table as the base of a fresh root."""
     merged = current(spark, root).withColumn("seq", F.lit(0).cast("bigint"))
