@@ -40,6 +40,11 @@ def labelled(spark, sf_dir, ruleset="current"):
     return plan.with_rule_labels(spread(raw_records(spark, sf_dir)), ruleset)
 
 
+def lowered_records(spark, sf_dir):
+    """Raw records with their lower-cased text as its own projection."""
+    return spread(raw_records(spark, sf_dir)).withColumn("_lowered", F.lower("Description"))
+
+
 # --- scalar functions -------------------------------------------------------
 
 @query
@@ -138,8 +143,8 @@ def order_years_published(spark, sf_dir):
 
 @query
 def rule_predictions(spark, sf_dir):
-    return spread(raw_records(spark, sf_dir)).select(
-        "CVE_ID", *replies.rule_prediction(F.col("Description"), F.col("CVSS_Score")))
+    return lowered_records(spark, sf_dir).select(
+        "CVE_ID", *replies.rule_prediction(F.col("_lowered"), F.col("CVSS_Score")))
 
 
 @query
@@ -151,8 +156,8 @@ def prompt_render(spark, sf_dir):
 @query
 def reply_parse(spark, sf_dir):
     """Replies of the rule-based predictor as JSON, every other kind fenced, decoded again."""
-    predicted = spread(raw_records(spark, sf_dir)).select(
-        "CVE_ID", "CWE", F.to_json(F.struct(*replies.rule_prediction(F.col("Description"), F.col("CVSS_Score")))).alias("body"))
+    predicted = lowered_records(spark, sf_dir).select(
+        "CVE_ID", "CWE", F.to_json(F.struct(*replies.rule_prediction(F.col("_lowered"), F.col("CVSS_Score")))).alias("body"))
     fenced = F.when(F.col("CWE") == "N/A", F.concat(F.lit("not json "), "body")).when(
         F.col("CWE") == "CWE-79", F.concat(F.lit("```json\n"), "body", F.lit("\n```"))).otherwise(F.col("body"))
     return predicted.select("CVE_ID", replies.parse_reply(fenced).alias("r")).select("CVE_ID", "r.*")
@@ -338,7 +343,7 @@ def error_metrics(spark, sf_dir):
 
 def rule_set_pairs(spark, sf_dir):
     lowered = F.col("_lowered")
-    return spread(raw_records(spark, sf_dir)).withColumn("_lowered", F.lower("Description")).select(
+    return lowered_records(spark, sf_dir).select(
         "CVE_ID", scores.severity(F.col("CVSS_Score")).alias("True_Severity"),
         text.first_match(lowered, fx.COMPONENT_RULES, fx.DEFAULT_COMPONENT).alias("new_label"),
         text.first_match(lowered, fx.RESEARCH_COMPONENT_RULES, fx.DEFAULT_COMPONENT).alias("old_label"))
@@ -384,8 +389,7 @@ def merge_batch(spark, sf_dir):
 
 @query
 def upsert_merge(spark, sf_dir):
-    changes = merge.latest(merge_batch(spark, sf_dir)).select(*TABLE_COLUMNS)
-    merged = merge.upsert(merge_target(spark, sf_dir), changes)
+    merged = merge.upsert(merge_target(spark, sf_dir), merge_batch(spark, sf_dir))
     return merged.select("CVE_ID", "CVSS_Score", "True_Severity", "Exploit_Type")
 
 

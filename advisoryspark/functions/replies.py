@@ -28,20 +28,25 @@ def parse_reply(reply: Column) -> Column:
     return F.from_json(bare, REPLY_SCHEMA)
 
 
-def rule_prediction(description: Column, score: Column, ruleset: str = "current") -> list[Column]:
-    """Severity, labels, confidence and reasoning derived from the rules alone."""
+def rule_prediction(lowered: Column, score: Column, ruleset: str = "current") -> list[Column]:
+    """Severity, labels, confidence and reasoning derived from the rules alone.
+
+    `lowered` is the lower-cased description, best projected beforehand so that
+    all rules share it.
+    """
+    exploits, components, impacts = text.RULESETS[ruleset]
     level = scores.severity(score)
-    exploit = text.exploit_type(description, ruleset)
+    exploit = text.first_match(lowered, exploits, fx.DEFAULT_EXPLOIT)
 
     def described(label: Column) -> Column:
-        return F.when(label == "Unknown", "See description").otherwise(label)
+        return F.coalesce(F.nullif(label, F.lit("Unknown")), F.lit("See description"))
 
     return [
         level.alias("severity"),
         score.alias("cvss_score"),
         exploit.alias("exploit_type"),
-        described(text.component(description, ruleset)).alias("affected_component"),
-        described(text.impact(description, ruleset)).alias("impact"),
+        described(text.first_match(lowered, components, fx.DEFAULT_COMPONENT)).alias("affected_component"),
+        described(text.all_matches(lowered, impacts, fx.DEFAULT_IMPACT)).alias("impact"),
         F.when(score > 0, 85).otherwise(50).alias("confidence"),
         F.concat(F.lit("CVSS "), score.cast("string"), F.lit(" maps to "), level,
                  F.lit(". Pattern matched: "), exploit, F.lit(".")).alias("reasoning"),

@@ -69,6 +69,12 @@ def first_match(lowered: Column, rules: list[tuple[str, str]], default: str) ->
     return label.otherwise(default)
 
 
+def all_matches(lowered: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """Labels of all rules that match, joined in rule order, else `default`."""
+    flags = [F.when(matches_rule(lowered, pattern), name) for name, pattern in rules]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *flags), F.lit("")), F.lit(default))
+
+
 def exploit_type(text: Column, ruleset: str = "current") -> Column:
     return first_match(F.lower(text), RULESETS[ruleset][0], fx.DEFAULT_EXPLOIT)
 
@@ -78,6 +84,4 @@ def component(text: Column, ruleset: str = "current") -> Column:
 
 
 def impact(text: Column, ruleset: str = "current") -> Column:
-    lowered = F.lower(text)
-    flags = [F.when(matches_rule(lowered, p), name) for name, p in RULESETS[ruleset][2]]
-    return F.coalesce(F.nullif(F.concat_ws(", ", *flags), F.lit("")), F.lit(fx.DEFAULT_IMPACT))
+    return all_matches(F.lower(text), RULESETS[ruleset][2], fx.DEFAULT_IMPACT)

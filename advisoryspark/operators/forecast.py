@@ -25,110 +25,116 @@ def yearly_counts(records: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def linear_fit(counts: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """Least-squares line and last period of each series with enough history."""
-    return counts.groupBy("series").agg(
-        F.regr_slope("n", "t").alias("slope"), F.regr_intercept("n", "t").alias("intercept"),
-        F.max("t").alias("last_t"), F.max_by("n", "t").alias("last_n"),
-        F.count(F.lit(1)).alias("points"),
-    ).filter(F.col("points") >= min_points)
-
-
-def future_periods(fits: DataFrame, steps: int = 2) -> DataFrame:
-    """One row per series and coming period, with its step number."""
-    step = F.explode(F.sequence(F.lit(1), F.lit(steps)))
-    return fits.withColumn("step", step).withColumn("t", F.col("last_t") + F.col("step"))
-
-
-def linear_trend(counts: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """History with its fitted line: series, t, actual, linear_trend."""
-    fitted = F.col("intercept") + F.col("slope") * F.col("t")
-    return counts.join(linear_fit(counts, min_points), "series").select(
-        "series", "t", F.col("n").alias("actual"), numpy_round(fitted, 1).alias("linear_trend"))
-
+def fits(counts: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """One row per series with enough history: line, ordered points, last period, AR(1) terms.
 
-def linear_forecast(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
-    fitted = F.col("intercept") + F.col("slope") * F.col("t")
-    return future_periods(linear_fit(counts, min_points), steps).select(
-        "series", "t", numpy_round(fitted, 1).alias("linear_prediction"))
-
-
-def _series_arrays(counts: DataFrame) -> DataFrame:
-    """Counts of each series in order, and their differences."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("t", F.col("n").cast("double").alias("n")))),
-                          lambda p: p["n"])
-    arrays = counts.groupBy("series").agg(ordered.alias("y"))
-    later = F.slice("y", 2, F.size("y") - 1)
-    earlier = F.slice("y", 1, F.size("y") - 1)
-    return arrays.filter(F.size("y") >= 2).withColumn("z", F.zip_with(later, earlier, lambda a, b: a - b))
+    A single aggregation of the counts; every table below is read off these rows
+    without joining the counts again.
+    """
+    points = F.array_sort(F.collect_list(F.struct("t", "n")))
+    lines = counts.groupBy("series").agg(
+        F.regr_slope("n", "t").alias("slope"), F.regr_intercept("n", "t").alias("intercept"),
+        points.alias("points"),
+    ).filter(F.size("points") >= min_points)
+    values = F.transform("points", lambda p: p["n"].cast("double"))
+    steps = F.size("points") - 1
+    diffs = F.zip_with(F.slice(values, 2, steps), F.slice(values, 1, steps), lambda a, b: a - b)
+    last = F.element_at("points", -1)
+    rows = lines.withColumns({
+        "last_t": last["t"], "last_n": last["n"].cast("double"), "z": diffs,
+    })
+    return rows.withColumns({"last_diff": F.element_at("z", -1), "phi": ar1_coefficient(F.col("z"))}).drop("z")
 
 
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda total, x: total + x)
 
 
-def ar1_coefficient(counts: DataFrame) -> DataFrame:
-    """AR(1) coefficient of the differenced series, by exact likelihood.
+def ar1_coefficient(z: Column) -> Column:
+    """AR(1) coefficient of an array of differences, by exact likelihood.
 
     The likelihood equation of a zero-mean AR(1) is a cubic in the coefficient
     with one root in (-1, 1); bisection inside an array fold finds it, so the
     whole fit is a native expression.  Null for constant or too short series.
     """
-    n = F.size("z").cast("double")
-    before = F.slice("z", 1, F.size("z") - 1)
-    after = F.slice("z", 2, F.size("z") - 1)
-    sums = _series_arrays(counts).filter(F.size("z") >= 2).select(
-        "series", "y", "z", n.alias("n_diff"),
-        _sum(F.transform("z", lambda x: x * x)).alias("c"),
+    n = F.size(z)
+    squares = F.transform(z, lambda x: x * x)
+    before, after = F.slice(z, 1, n - 1), F.slice(z, 2, n - 1)
+    sums = F.struct(
+        n.cast("double").alias("m"),
+        _sum(squares).alias("c"),
         _sum(F.zip_with(before, after, lambda a, b: a * b)).alias("b"),
-    ).withColumn("d", F.col("c") - F.pow(F.element_at("z", 1), 2.0) - F.pow(F.element_at("z", -1), 2.0))
-
-    def cubic(x: Column) -> Column:
-        m = F.col("n_diff")
-        return ((((1 - m) * F.col("d") * x + (m - 2) * F.col("b")) * x
-                 + (F.col("c") + m * F.col("d"))) * x - m * F.col("b"))
+        (_sum(squares) - F.element_at(squares, 1) - F.element_at(squares, -1)).alias("d"),
+    )
 
-    def halve(bounds: Column, _step: Column) -> Column:
-        middle = (bounds["lo"] + bounds["hi"]) / 2
-        below = cubic(middle) < 0
-        return F.struct(F.when(below, middle).otherwise(bounds["lo"]).alias("lo"),
-                        F.when(below, bounds["hi"]).otherwise(middle).alias("hi"))
+    def halve(state: Column, _step: Column) -> Column:
+        s, x = state["s"], (state["lo"] + state["hi"]) / 2
+        slope = ((((1 - s["m"]) * s["d"] * x + (s["m"] - 2) * s["b"]) * x
+                  + (s["c"] + s["m"] * s["d"])) * x - s["m"] * s["b"])
+        return F.struct(F.when(slope < 0, x).otherwise(state["lo"]).alias("lo"),
+                        F.when(slope < 0, state["hi"]).otherwise(x).alias("hi"), s.alias("s"))
 
+    start = F.struct(F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"), sums.alias("s"))
     root = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_BISECTIONS)),
-        F.struct(F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")), halve,
-        lambda bounds: (bounds["lo"] + bounds["hi"]) / 2)
-    return sums.select(
-        "series", F.element_at("z", -1).alias("last_diff"),
-        F.when(F.col("c") > 0, root).alias("phi"))
+        F.sequence(F.lit(1), F.lit(_BISECTIONS)), start, halve,
+        lambda state: F.when(state["s"]["c"] > 0, (state["lo"] + state["hi"]) / 2))
+    return F.when(n >= 2, root)
 
 
-def arima110_forecast(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
-    """ARIMA(1,1,0) without constant, whole numbers; the line where it has no solution."""
-    future = future_periods(linear_fit(counts, min_points), steps)
-    line = F.col("intercept") + F.col("slope") * F.col("t")
+def _line(t: Column) -> Column:
+    return F.col("intercept") + F.col("slope") * t
+
+
+def _history(fitted: DataFrame) -> DataFrame:
+    return fitted.withColumn("p", F.explode("points")).withColumns({"t": F.col("p.t"), "actual": F.col("p.n")})
+
+
+def _future(fitted: DataFrame, steps: int) -> DataFrame:
+    """One row per series and coming period."""
+    return fitted.drop("points").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn(
+        "t", F.col("last_t") + F.col("step"))
+
+
+def _arima110() -> Column:
+    """Forecast at `step`: the last difference carried on, or the line where that has no solution."""
     carried = F.aggregate(F.sequence(F.lit(1), F.col("step")), F.lit(0.0),
                           lambda total, k: total + F.pow(F.col("phi"), k.cast("double")))
-    moved = F.col("last_n") + F.col("last_diff") * carried
-    return future.join(ar1_coefficient(counts), "series", "left").select(
-        "series", "t", "step", F.rint(F.coalesce(moved, line)).alias("arima_prediction"))
+    return F.rint(F.coalesce(F.col("last_n") + F.col("last_diff") * carried, _line(F.col("t"))))
+
+
+def linear_trend(counts: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """History with its fitted line: series, t, actual, linear_trend."""
+    return _history(fits(counts, min_points)).select(
+        "series", "t", "actual", numpy_round(_line(F.col("t")), 1).alias("linear_trend"))
+
+
+def linear_forecast(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
+    return _future(fits(counts, min_points), steps).select(
+        "series", "t", numpy_round(_line(F.col("t")), 1).alias("linear_prediction"))
+
+
+def arima110_forecast(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
+    """ARIMA(1,1,0) without constant, in whole numbers."""
+    return _future(fits(counts, min_points), steps).select(
+        "series", "t", "step", _arima110().alias("arima_prediction"))
 
 
 def forecast_table(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
     """series, t, linear_prediction, arima_prediction."""
-    arima = arima110_forecast(counts, steps, min_points).drop("step")
-    return linear_forecast(counts, steps, min_points).join(arima, ["series", "t"])
+    return _future(fits(counts, min_points), steps).select(
+        "series", "t", numpy_round(_line(F.col("t")), 1).alias("linear_prediction"),
+        _arima110().alias("arima_prediction"))
 
 
 def display_series(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
     """History and forecast under each other; the ARIMA line starts at the last actual value."""
-    last = linear_fit(counts, min_points).select("series", "last_t")
-    history = linear_trend(counts, min_points).join(last, "series").select(
-        "series", "t", "actual", F.col("linear_trend").alias("linear"),
-        F.when(F.col("t") == F.col("last_t"), F.col("actual").cast("double")).alias("arima"))
-    coming = forecast_table(counts, steps, min_points).select(
-        "series", "t", F.lit(None).cast("bigint").alias("actual"),
-        F.col("linear_prediction").alias("linear"), F.col("arima_prediction").alias("arima"))
+    fitted = fits(counts, min_points)
+    line = numpy_round(_line(F.col("t")), 1).alias("linear")
+    history = _history(fitted).select(
+        "series", "t", "actual", line,
+        F.when(F.col("t") == F.col("last_t"), F.col("last_n")).alias("arima"))
+    coming = _future(fitted, steps).select(
+        "series", "t", F.lit(None).cast("bigint").alias("actual"), line, _arima110().alias("arima"))
     return history.unionByName(coming)
 
 

@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.functions.scores import one_hot_state, threat_state
 from advisoryspark.operators import chain, evaluation, sequence
+from advisoryspark.session import materialize
 
 FEATURES = ["CVSS_Score"] + ["Prev_State_" + s for s in fx.THREAT_STATES]
 
@@ -37,16 +38,14 @@ def fit(rows: DataFrame) -> LogisticRegressionModel:
     """Multinomial regression of the state on the score and the previous true state.
 
     `rows` come from sequence.ordered_rows.  The penalty 1/n is a unit penalty
-    on the summed loss.
+    on the summed loss.  The training rows are written once and read by every
+    iteration.
     """
-    training = training_rows(rows).select("features", "label").persist()
-    try:
-        n = training.count()
-        return LogisticRegression(
-            family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
-            standardization=False, maxIter=200, tol=1e-8).fit(training)
-    finally:
-        training.unpersist()
+    training = materialize(training_rows(rows).select("features", "label"), "memm")
+    n = training.count()
+    return LogisticRegression(
+        family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
+        standardization=False, maxIter=200).fit(training)
 
 
 def training_accuracy(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:

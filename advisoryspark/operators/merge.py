@@ -1,6 +1,6 @@
 """Merging records by key: upsert, insert-only-new, left and anti joins."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 KEY = "CVE_ID"
 
@@ -22,15 +22,25 @@ def first_seen(batch: DataFrame, order=("seq",), key: str = KEY) -> DataFrame:
     return batch.groupBy(F.col(key).alias("_key")).agg(F.min_by(whole, rank).alias("row")).select("row.*")
 
 
-def upsert(target: DataFrame, changes: DataFrame, key: str = KEY) -> DataFrame:
-    """Target rows whose key is untouched, plus all changes (unique keys on both sides)."""
-    columns = changes.columns
-    return target.join(changes.select(key), key, "left_anti").select(*columns).unionByName(changes)
+def upsert(target: DataFrame, batch: DataFrame, order=("seq",), key: str = KEY) -> DataFrame:
+    """Target rows the batch does not touch, plus the last version of every batch key.
+
+    The target loses its touched keys by an anti join on the bare batch keys,
+    which Spark broadcasts when they are few; its rows are then not moved.
+    """
+    changed = latest(batch, order, key).select(*target.columns)
+    return target.join(batch.select(key), key, "left_anti").select(*target.columns).unionByName(changed)
 
 
 def insert_new(target: DataFrame, batch: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows of the batch whose key the target lacks."""
-    return batch.join(target.select(key), key, "left_anti")
+    """Rows of the batch whose key the target lacks.
+
+    The target keys are cut down to those in the batch first: against a small
+    batch that is a filter inside the target scan, and a large target is never
+    shuffled or broadcast.
+    """
+    present = target.select(key).join(batch.select(key), key, "left_semi")
+    return batch.join(present, key, "left_anti")
 
 
 def attach_predictions(records: DataFrame, predictions: DataFrame, key: str = KEY) -> DataFrame:

@@ -18,6 +18,11 @@ from advisoryspark.session import materialize
 
 MIN_ROWS = 10
 
+# Depth bounds the size of the model the driver holds and of the split statistics
+# (at most 2**MAX_DEPTH leaves a tree) whatever the number of rows.  MLlib grows
+# trees up to depth 30; a small table can be fitted to the last row with that.
+MAX_DEPTH = 12
+
 
 def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
     """Raise unless the table holds the rows a model needs; reads at most that many."""
@@ -25,8 +30,8 @@ def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
         raise ValueError(f"need at least {at_least} records")
 
 
-def forest(trees: int = 50, seed: int = 42, max_depth: int = 30, bins: int = 16) -> RandomForestRegressor:
-    """All features at every split and the deepest trees MLlib grows.
+def forest(trees: int = 50, seed: int = 42, max_depth: int = MAX_DEPTH, bins: int = 16) -> RandomForestRegressor:
+    """Forest with all features at every split.
 
     Split statistics are kept per node, feature and bin, and dominate the cost
     of deep trees; TF-IDF columns are mostly zero, so few bins lose nothing.
@@ -37,7 +42,7 @@ def forest(trees: int = 50, seed: int = 42, max_depth: int = 30, bins: int = 16)
         maxMemoryInMB=1024, cacheNodeIds=True)
 
 
-def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = 30) -> PipelineModel:
+def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH) -> PipelineModel:
     """Text to score: TF-IDF stages followed by the forest, one saveable pipeline.
 
     The vectors are written once; growing the trees reads them again per level.
@@ -61,7 +66,7 @@ def score_errors(records: DataFrame, model: PipelineModel) -> DataFrame:
     return evaluation.regression_errors(model.transform(records), "CVSS_Score", "predicted")
 
 
-def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth: int = 30) -> DataFrame:
+def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth: int = MAX_DEPTH) -> DataFrame:
     """CVE_ID, CVSS_Score, fold and the prediction of a forest that did not see the row.
 
     Folds are contiguous stretches of the chronological order, the first ones a
@@ -98,7 +103,7 @@ def fit_text_classifier(labelled: DataFrame, label: str, size: int = 2000) -> Pi
     vectors = materialize(tfidf.features(weighting, labelled).select(
         F.col(label).cast("string").alias(label), "features"), "labelled")
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
-    regression = LogisticRegression(labelCol="_label", family="multinomial", regParam=0.001, maxIter=100)
+    regression = LogisticRegression(labelCol="_label", family="multinomial", regParam=0.001, maxIter=50, tol=1e-4)
     trained = regression.fit(indexer.transform(vectors))
     names = IndexToString(inputCol="prediction", outputCol="category", labels=indexer.labels)
     return PipelineModel([*weighting.stages, trained, names])
@@ -117,7 +122,7 @@ def classify(records: DataFrame, model: PipelineModel) -> DataFrame:
 METRICS = "rf_mae double, rf_rmse double, hmm_means array<double>, hmm_transition_mat array<array<double>>, memm_accuracy double"
 
 
-def train_all(records: DataFrame, trees: int = 50, max_depth: int = 30) -> dict:
+def train_all(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH) -> dict:
     """Fit every model on the table: score pipeline, HMM, MEMM and a one-row metrics frame."""
     check_enough(records)
     score_model = fit_score_model(records, trees, max_depth)

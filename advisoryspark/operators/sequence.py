@@ -29,24 +29,16 @@ def ordered_rows(df: DataFrame, order=("Year", "CVE_ID"), columns=None) -> DataF
     return materialize(placed, "sequence")
 
 
-def _chunk_ends(rows: DataFrame, value: str) -> DataFrame:
-    """Per chunk: rows before it and the value just before its first row."""
-    ends = rows.groupBy("chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(value, "pos").alias("last_value"))
-    # One row per chunk, so this window sorts a handful of rows.
-    by_chunk = Window.partitionBy(F.lit(1)).orderBy("chunk")
-    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    return ends.select(
-        "chunk",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-        F.lag("last_value").over(by_chunk).alias("value_before"),
-    )
+def _chunk_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_position(rows: DataFrame) -> DataFrame:
     """1-based position of every row in the whole sequence."""
-    offsets = _chunk_ends(rows, "pos").select("chunk", "rows_before")
-    # The broadcast side holds one row per chunk.
+    # One row per chunk, so this window sorts a handful of rows and the
+    # broadcast side is as small.
+    before = Window.partitionBy(F.lit(1)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _chunk_sizes(rows).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
     return (
         rows.join(F.broadcast(offsets), "chunk")
         .withColumn("position", F.col("rows_before") + F.col("pos") + 1)
@@ -56,8 +48,11 @@ def with_position(rows: DataFrame) -> DataFrame:
 
 def with_previous(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Value of the row before in the whole sequence; null for the first row."""
+    by_chunk = Window.partitionBy(F.lit(1)).orderBy("chunk")  # one row per chunk
+    sizes = F.broadcast(_chunk_sizes(rows).withColumnRenamed("chunk", "_chunk"))
+    last_rows = rows.join(sizes, (F.col("chunk") == F.col("_chunk")) & (F.col("pos") == F.col("n") - 1))
+    edges = last_rows.select("chunk", F.lag(value).over(by_chunk).alias("value_before"))
     within = F.lag(value).over(Window.partitionBy("chunk").orderBy("pos"))
-    edges = _chunk_ends(rows, value).select("chunk", "value_before")
     return (
         rows.withColumn(name, within)
         .join(F.broadcast(edges), "chunk")

@@ -7,8 +7,7 @@ characters, idf = ln((1+n)/(1+df)) + 1, rows of length one.
 import math
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                RegexTokenizer, SQLTransformer)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
@@ -16,50 +15,51 @@ from pyspark.sql import DataFrame, functions as F
 from advisoryspark.functions.text import clean_text
 
 MAX_FEATURES = 100
-_CLEANING = (
-    "SELECT *, coalesce(trim(regexp_replace(lower(Description), '[^a-z0-9]+', ' ')), '') AS _cleaned FROM __THIS__"
+_TOKENS = (
+    "SELECT *, split(coalesce(trim(regexp_replace(lower(Description), '[^a-z0-9]+', ' ')), ''), ' ') AS _tokens "
+    "FROM __THIS__"
 )
 
 
-def _terms(cleaned):
-    return F.filter(F.split(cleaned, " "), lambda t: F.length(t) >= 2)
+def top_terms(cleaned: DataFrame, size: int = MAX_FEATURES, column: str = "Cleaned_Description") -> DataFrame:
+    """Most frequent terms of at least two characters with their total count, ties by term.
 
-
-def vocabulary(cleaned: DataFrame, size: int = MAX_FEATURES, column: str = "Cleaned_Description") -> DataFrame:
-    """Most frequent terms with their total count and document frequency, ties by term.
-
-    One pass: each text contributes all its terms to the total and its distinct
-    terms to df.  Tasks combine their counts first, so the shuffle carries one
-    row per task and term.
+    Tasks combine their counts first, so the shuffle carries one row per task and term.
     """
-    terms = _terms(F.col(column))
-    seen = F.concat(
-        F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct(terms),
-                    lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )
     return (
-        cleaned.select(F.explode(seen).alias("s")).select("s.*")
-        .groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+        cleaned.select(F.explode(F.split(column, " ")).alias("term")).filter(F.length("term") >= 2)
+        .groupBy("term").agg(F.count(F.lit(1)).alias("total"))
         .orderBy(F.desc("total"), "term").limit(size)
     )
 
 
-def fit(records: DataFrame, size: int = MAX_FEATURES) -> PipelineModel:
-    """Pipeline from Description to the unit-length `features` vector.
+def document_frequencies(cleaned: DataFrame, terms: list[str], column: str = "Cleaned_Description") -> DataFrame:
+    """Number of texts that hold each of the given terms."""
+    wanted = F.array(*[F.lit(t) for t in terms])
+    held = F.array_intersect(F.split(column, " "), wanted)
+    return cleaned.select(F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
-    The driver receives `size` rows of vocabulary; weighting a text needs no shuffle.
+def vocabulary(cleaned: DataFrame, size: int = MAX_FEATURES, column: str = "Cleaned_Description") -> DataFrame:
+    """term, total, df of the most frequent terms.
+
+    The driver holds the `size` terms between the two passes; document
+    frequencies are only counted for those.
     """
+    top = top_terms(cleaned, size, column).collect()
+    terms = cleaned.sparkSession.createDataFrame(top, "term string, total long")
+    return terms.join(document_frequencies(cleaned, [r["term"] for r in top], column), "term")
+
+
+def fit(records: DataFrame, size: int = MAX_FEATURES) -> PipelineModel:
+    """Pipeline from Description to the unit-length `features` vector; weighting a text needs no shuffle."""
     cleaned = records.select(clean_text(F.col("Description")).alias("Cleaned_Description"))
-    chosen = vocabulary(cleaned, size).collect()
+    chosen = sorted(vocabulary(cleaned, size).collect(), key=lambda r: (-r["total"], r["term"]))
     n = records.count()
-    words = [row["term"] for row in chosen]
-    idf = [math.log((1 + n) / (1 + row["df"])) + 1 for row in chosen]
-    counts = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")
+    idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in chosen]
     return PipelineModel([
-        SQLTransformer(statement=_CLEANING),
-        RegexTokenizer(inputCol="_cleaned", outputCol="_tokens", pattern=" ", minTokenLength=2),
-        counts,
+        SQLTransformer(statement=_TOKENS),
+        CountVectorizerModel.from_vocabulary([r["term"] for r in chosen], inputCol="_tokens", outputCol="_counts"),
         ElementwiseProduct(inputCol="_counts", outputCol="_weighted", scalingVec=Vectors.dense(idf)),
         Normalizer(inputCol="_weighted", outputCol="features", p=2.0),
     ])
@@ -67,12 +67,12 @@ def fit(records: DataFrame, size: int = MAX_FEATURES) -> PipelineModel:
 
 def features(model: PipelineModel, records: DataFrame) -> DataFrame:
     """Records with their feature vector; helper columns removed."""
-    return model.transform(records).drop("_cleaned", "_tokens", "_counts", "_weighted")
+    return model.transform(records).drop("_tokens", "_counts", "_weighted")
 
 
 def weights(model: PipelineModel, records: DataFrame) -> DataFrame:
     """Long form: id, term, weight of every vocabulary term a text holds."""
-    words = F.array(*[F.lit(w) for w in model.stages[2].vocabulary])
+    words = F.array(*[F.lit(w) for w in model.stages[1].vocabulary])
     vectors = features(model, records).select("CVE_ID", vector_to_array("features").alias("v"))
     return (
         vectors.select("CVE_ID", F.posexplode("v").alias("i", "weight")).filter("weight > 0")

@@ -14,7 +14,6 @@ def with_rule_labels(raw: DataFrame, ruleset: str = "current") -> DataFrame:
     """
     exploits, components, impacts = text.RULESETS[ruleset]
     lowered = F.col("_lowered")
-    flags = [F.when(text.matches_rule(lowered, p), name) for name, p in impacts]
     return (
         raw.withColumn("_lowered", F.lower("Description"))
         .withColumns({
@@ -22,7 +21,7 @@ def with_rule_labels(raw: DataFrame, ruleset: str = "current") -> DataFrame:
                 F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit("")),
             "Exploit_Type": text.first_match(lowered, exploits, fx.DEFAULT_EXPLOIT),
             "Affected_Component": text.first_match(lowered, components, fx.DEFAULT_COMPONENT),
-            "Impact": F.coalesce(F.nullif(F.concat_ws(", ", *flags), F.lit("")), F.lit(fx.DEFAULT_IMPACT)),
+            "Impact": text.all_matches(lowered, impacts, fx.DEFAULT_IMPACT),
             "True_Severity": scores.severity(F.col("CVSS_Score")),
         })
         .drop("_lowered")

@@ -25,7 +25,7 @@ def predict_batch(records: DataFrame, max_rows: int | None = None, ruleset: str
     first rows in (Year, CVE_ID) order are predicted and joined back, the others get nulls.
     """
     severity, _, exploit, component, impact, confidence, _ = replies.rule_prediction(
-        F.col("Description"), F.coalesce("CVSS_Score", F.lit(0.0)), ruleset)
+        F.col("_lowered"), F.coalesce("CVSS_Score", F.lit(0.0)), ruleset)
     broken = F.col("Description").isNull()
 
     def or_error(value: Column, substitute) -> Column:
@@ -38,11 +38,14 @@ def predict_batch(records: DataFrame, max_rows: int | None = None, ruleset: str
         "AI_Confidence": or_error(confidence, 0),
         "AI_Impact": or_error(impact, ""),
     }
+
+    def predicted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_lowered", F.lower("Description")).withColumns(columns).drop("_lowered")
+
     if max_rows is None:
-        return records.withColumns(columns)
+        return predicted(records)
     first = listing.head(records.select("CVE_ID", "Year", "Description", "CVSS_Score"), max_rows)
-    predictions = first.withColumns(columns).select("CVE_ID", *columns)
-    return merge.attach_predictions(records, predictions)
+    return merge.attach_predictions(records, predicted(first).select("CVE_ID", *columns))
 
 
 def record_report(records: DataFrame, cve_id: str, predicted_score: Column,

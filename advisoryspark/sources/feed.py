@@ -41,23 +41,25 @@ def first_description(descriptions: Column) -> Column:
     return F.coalesce(F.get(descriptions, F.lit(0))["value"], F.lit(fx.DEFAULT_FIRST_DESCRIPTION))
 
 
-def records(feed: DataFrame, variant: str = "current") -> DataFrame:
+def records(feed: DataFrame, variant: str = "current", keep: tuple[str, ...] = ()) -> DataFrame:
     """One flat record per vulnerability of the feed documents.
 
     variant "research" takes the first text in any language, the year of
-    publication and its own OS default.
+    publication and its own OS default.  `keep` may name source_file and place
+    (the position inside the document).
     """
     research = variant == "research"
     cve = F.col("v.cve")
     cve_id = ids.normalize_id(cve["id"])
     describe = first_description if research else english_description
-    return feed.select(F.explode("vulnerabilities").alias("v")).select(
+    return feed.select("source_file", F.posexplode("vulnerabilities").alias("place", "v")).select(
         cve_id.alias("CVE_ID"),
         describe(cve["descriptions"]).alias("Description"),
         (ids.year_from_published(cve["published"]) if research else ids.year_from_id(cve_id)).alias("Year"),
         base_score(cve["metrics"]).alias("CVSS_Score"),
         first_weakness(cve["weaknesses"]).alias("CWE"),
         F.lit(fx.RESEARCH_OS if research else fx.DEFAULT_OS).alias("OS"),
+        *keep,
     )
 
 

@@ -58,10 +58,10 @@ def create_if_missing(spark: SparkSession, root: str) -> None:
 
 
 def append_changes(batch: DataFrame, root: str, epoch: int) -> None:
-    """Log one batch of inserts and updates; the last row of a key in the batch wins."""
+    """Log one batch of inserts and updates as it is; readers resolve repeated keys by seq."""
     if epoch < 1:
         raise ValueError("epoch 0 is the base")
-    _write_epoch(merge.latest(with_defaults(batch)), root, epoch, "overwrite")
+    _write_epoch(with_defaults(batch), root, epoch, "overwrite")
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
@@ -71,14 +71,14 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     which Spark broadcasts when the changes are small.
     """
     log = spark.read.schema(LOG_SCHEMA).parquet(root)
-    changes = merge.latest(log.filter("epoch > 0"), order=("epoch", "seq"))
-    return merge.upsert(log.filter("epoch = 0"), changes.select(*TABLE_COLUMNS, "seq")).select(*TABLE_COLUMNS)
+    merged = merge.upsert(log.filter("epoch = 0"), log.filter("epoch > 0"), order=("epoch", "seq"))
+    return merged.select(*TABLE_COLUMNS)
 
 
 def keys(spark: SparkSession, root: str, before_epoch: int) -> DataFrame:
     """Ids logged before an epoch; reads the key column of those folders only."""
     log = spark.read.schema(LOG_SCHEMA).parquet(root)
-    return log.filter(F.col("epoch") < before_epoch).select("CVE_ID").distinct()
+    return log.filter(F.col("epoch") < before_epoch).select("CVE_ID")
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:

@@ -12,13 +12,16 @@ from advisoryspark.sources import feed, store
 def import_batch(spark: SparkSession, documents: DataFrame, root: str, epoch: int, **models) -> None:
     """Enrich the records of feed documents that the table lacks and log them as one epoch.
 
-    Epochs from this one on are ignored when looking for known ids, so a
-    replayed batch finds the same new records and writes the same rows again.
+    Of a repeated id the first one counts, in an order that depends on the
+    documents alone.  Epochs from this one on are ignored when looking for
+    known ids, so a replayed batch finds the same new records and writes the
+    same rows again.
     """
-    rows = feed.accepted(feed.records(documents)).withColumn("seq", F.monotonically_increasing_id())
-    known = store.keys(spark, root, before_epoch=epoch)
-    fresh = merge.insert_new(known, merge.latest(rows))
-    enriched = enrich(fresh.drop("seq"), **models).withColumn("seq", F.lit(0).cast("bigint"))
+    origin = ("source_file", "place")
+    rows = feed.accepted(feed.records(documents, keep=origin))
+    first = merge.first_seen(rows, order=(*origin, "Description", "CVSS_Score")).drop(*origin)
+    fresh = merge.insert_new(store.keys(spark, root, before_epoch=epoch), first)
+    enriched = enrich(fresh, **models).withColumn("seq", F.lit(0).cast("bigint"))
     store.append_changes(enriched, root, epoch)
 
 

@@ -31,7 +31,7 @@ def test_coefficient_maximises_the_exact_likelihood(spark):
     rng = np.random.default_rng(9)
     named = {f"s{i}": np.cumsum(rng.integers(-20, 30, 14)) for i in range(8)}
     counts = series(spark, **named)
-    got = {r.series: r.phi for r in forecast.ar1_coefficient(counts).collect()}
+    got = {r.series: r.phi for r in forecast.fits(counts).collect()}
     grid = np.linspace(-0.9999, 0.9999, 20001)
     for name, values in named.items():
         score, _ = forecast._arma11_likelihood(np.diff(values).astype(float), grid, np.zeros_like(grid))
@@ -44,7 +44,7 @@ def test_arima111_beats_or_equals_arima110_in_likelihood(spark):
     counts = series(spark, s=values)
     row = forecast.arima111_forecast(counts).orderBy("t").first()
     z = np.diff(values).astype(float)
-    phi = forecast.ar1_coefficient(counts).first().phi
+    phi = forecast.fits(counts).first().phi
     score, following = forecast._arma11_likelihood(z, np.array([row.phi, phi]), np.array([row.theta, 0.0]))
     assert score[0] >= score[1] - 1e-9
     assert row.arima_prediction == pytest.approx(values[-1] + following[0])

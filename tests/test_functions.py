@@ -122,7 +122,7 @@ def test_reply_forms(spark):
 
 def test_rule_prediction_reasoning(spark):
     row = spark.createDataFrame([("plain text", 0.0)], "d string, s double").select(
-        *replies.rule_prediction(F.col("d"), F.col("s"))).first()
+        *replies.rule_prediction(F.lower("d"), F.col("s"))).first()
     assert row.severity == "UNKNOWN" and row.confidence == 50
     assert row.affected_component == row.impact == "See description"
     assert row.reasoning == "CVSS 0.0 maps to UNKNOWN. Pattern matched: Other."

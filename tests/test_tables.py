@@ -137,7 +137,7 @@ def test_upsert_is_idempotent_and_hot_keys_merge(spark):
     latest = merge.latest(batch)
     assert latest.count() == 101 and latest.filter("CVE_ID = 'A'").first().seq == 4999
     assert merge.first_seen(batch).filter("CVE_ID = 'A'").first().seq == 0
-    once = merge.upsert(latest, latest)
+    once = merge.upsert(latest, batch)
     assert once.exceptAll(latest).isEmpty() and once.count() == 101
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert plan.count("max_by") > plan.count("Window") == 0
