@@ -6,6 +6,9 @@ built from the whole of `documents` once per session and data folder, as the
 stored table that search, counts and models run over.
 """
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
@@ -15,9 +18,10 @@ from advisoryspark.operators import (aggregates, evaluation, forecast, hmm, infe
 from advisoryspark.plans import enrich as plan
 from advisoryspark.plans import reports
 from advisoryspark.schemas import RESEARCH_COLUMNS, TABLE_COLUMNS
-from advisoryspark.session import materialize, spread
-from advisoryspark.sources import store, tables
+from advisoryspark.session import materialize, spread, work_dir
+from advisoryspark.sources import feed, store, tables
 from advisoryspark.sources.testview import raw_records, table
+from advisoryspark.streaming import bulk_import
 
 QUERIES = {}
 _STORED = {}
@@ -273,6 +277,13 @@ def dataset_split(spark, sf_dir):
                        tables.split_name(F.col("doc_id")).alias("part"))
 
 
+@query
+def latest_predictions(spark, sf_dir):
+    """Newest enriched records of one predicted severity."""
+    found = stored(spark, sf_dir).filter(F.col("Predicted_Severity") == "MEDIUM")
+    return listing.page(found, limit=50).select("CVE_ID", "Year", "Predicted_Severity", "Severity_Confidence")
+
+
 # --- aggregates ---------------------------------------------------------------
 
 @query
@@ -366,6 +377,20 @@ def label_comparison(spark, sf_dir):
     return evaluation.compare_labels(rule_set_pairs(spark, sf_dir), F.col("new_label"), F.col("old_label"))
 
 
+@query
+def status_report(spark, sf_dir):
+    """The status summary with model metrics: here those of the mean score per exploit
+    as score model and of the most frequent next state as state model."""
+    errors = error_metrics(spark, sf_dir)
+    pairs = sequence.previous_states(raw_records(spark, sf_dir)).groupBy("prev_state", "state").agg(
+        F.count(F.lit(1)).alias("n"))
+    hits = pairs.groupBy("prev_state").agg(F.max("n").alias("hits"), F.sum("n").alias("n"))
+    accuracy = hits.agg(F.sum("hits") / F.sum("n")).scalar()
+    metrics = errors.select(F.col("mae").alias("rf_mae"), F.col("rmse").alias("rf_rmse"),
+                            accuracy.alias("memm_accuracy"))
+    return aggregates.status_report(stored(spark, sf_dir), metrics)
+
+
 # --- merging ------------------------------------------------------------------
 
 def merge_target(spark, sf_dir):
@@ -554,8 +579,11 @@ def zero_shot_inference(spark, sf_dir):
 
 @query
 def token_sequences(spark, sf_dir):
+    """Model inputs of fixed length: ids and mask, written out as text."""
     cleaned = stored(spark, sf_dir).select("CVE_ID", "Cleaned_Description")
-    return sequences.encode(cleaned, sequences.vocabulary(cleaned))
+    encoded = sequences.encode(cleaned, sequences.vocabulary(cleaned))
+    return encoded.select(
+        "CVE_ID", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
 
 
 # --- sequence models -----------------------------------------------------------------
@@ -590,11 +618,117 @@ def memm_fit(spark, sf_dir):
 @query
 def memm_decode(spark, sf_dir):
     rows = score_sequence(spark, sf_dir)
-    return memm.decode(rows, memm.fit(rows)).select("CVE_ID", "CVSS_Score", "true_state", "state")
+    return memm.decode(rows, *memm.parameters(memm.fit(rows))).select("CVE_ID", "CVSS_Score", "true_state", "state")
 
 
 @query
 def memm_what_if(spark, sf_dir):
     rows = score_sequence(spark, sf_dir)
     model = memm.fit(rows)
-    return memm.what_if(memm.decode(rows, model), model)
+    return memm.what_if(memm.decode(rows, *memm.parameters(model)), model)
+
+
+def observed_model(pairs, states):
+    """HMM parameters read off the observed threat states: shares, moments and transitions."""
+    n = states.count()
+    moments = {r["state"]: r for r in states.groupBy("state").agg(
+        F.avg("CVSS_Score").alias("mean"), F.var_pop("CVSS_Score").alias("variance"),
+        F.count(F.lit(1)).alias("n")).collect()}
+    moves = {(r["prev_state"], r["state"]): r["probability"] for r in sequence.transition_matrix(pairs).collect()}
+    names = fx.THREAT_STATES
+    return {
+        "means": [moments[s]["mean"] for s in names],
+        "variances": [moments[s]["variance"] for s in names],
+        "startprob": [moments[s]["n"] / n for s in names],
+        "transmat": [[moves.get((a, b), 0.0) for b in names] for a in names],
+    }
+
+
+@query
+def hmm_path_observed(spark, sf_dir):
+    """Most likely state path under the model the observed states give."""
+    rows = score_sequence(spark, sf_dir)
+    states = rows.withColumn("state", scores.threat_state(F.col("CVSS_Score")))
+    pairs = sequence.with_previous(states, "state", "prev_state").filter("prev_state IS NOT NULL")
+    return hmm.timeline(hmm.decode(rows, observed_model(pairs, states)))
+
+
+@query
+def memm_path_observed(spark, sf_dir):
+    """Greedy path under weights read off the observed states: normal scores of one
+    common variance, and the logarithm of the observed transitions."""
+    rows = score_sequence(spark, sf_dir)
+    states = rows.withColumn("state", scores.threat_state(F.col("CVSS_Score")))
+    pairs = sequence.with_previous(states, "state", "prev_state").filter("prev_state IS NOT NULL")
+    observed = observed_model(pairs, states)
+    means = np.array(observed["means"])
+    common = float(np.dot(observed["startprob"], observed["variances"]))
+    with np.errstate(divide="ignore"):
+        moves = np.log(np.array(observed["transmat"]))
+    weights = np.concatenate([means[:, None] / common, moves.T], axis=1)
+    decoded = memm.decode(rows, weights, -means ** 2 / (2 * common))
+    return decoded.select("CVE_ID", "true_state", "state")
+
+
+@query
+def hmm_state_order(spark, sf_dir):
+    """State ordering and outlook of three-state models taken from the embeddings."""
+    part = F.transform(F.slice("embedding", 1, 15), lambda x: x.cast("double"))
+    model = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.slice(part, 1, 3).alias("means"), F.slice(part, 4, 3).alias("std_devs"),
+        F.array(F.slice(part, 7, 3), F.slice(part, 10, 3), F.slice(part, 13, 3)).alias("transmat"))
+    ordered = hmm.order_states(model)
+    return hmm.with_next_state(ordered, F.lit(0)).select(
+        "vec_id", F.array_join(F.col("order").cast("array<string>"), " ").alias("state_order"),
+        F.round(F.get("means", 0), 6).alias("low_mean"), F.round(F.get("std_devs", 2), 6).alias("high_std_dev"),
+        F.round(F.get(F.get("transmat", 2), 0), 6).alias("high_to_low"),
+        "predicted_next_state", F.round("probability", 6).alias("probability"),
+        F.round("expected_next_cvss", 6).alias("expected_next_cvss"))
+
+
+# --- feeds, streams and exports -----------------------------------------------------
+
+def feed_files(spark, sf_dir):
+    """The raw records written as feed documents, one a line."""
+    path = f"{work_dir(spark)}/feed-{uuid.uuid4().hex}"
+    feed.as_feed_documents(raw_records(spark, sf_dir), per_document=200).write.json(path)
+    return path
+
+
+@query
+def feed_records(spark, sf_dir):
+    """Nested feed documents read back into flat records."""
+    documents = feed.read_feed(spark, feed_files(spark, sf_dir), multiline=False)
+    return feed.accepted(feed.records(documents))
+
+
+@query
+def stream_import(spark, sf_dir):
+    """The feed documents imported by the stream, then the table it leaves."""
+    base = f"{work_dir(spark)}/import-{uuid.uuid4().hex}"
+    bulk_import.start_import(
+        spark, feed_files(spark, sf_dir), f"{base}/table", f"{base}/rejects", f"{base}/checkpoint",
+        multiline=False).awaitTermination()
+    return store.current(spark, f"{base}/table")
+
+
+@query
+def stream_severity_counts(spark, sf_dir):
+    """Severity counts kept by a stream over the enriched files."""
+    name = f"severity_counts_{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    stored(spark, sf_dir).write.parquet(path)
+    bulk_import.start_severity_counts(
+        spark, path, name, f"{work_dir(spark)}/{name}").awaitTermination()
+    return spark.table(name)
+
+
+@query
+def csv_export(spark, sf_dir):
+    """The export of all records of one severity, read back from its files."""
+    path = f"{work_dir(spark)}/export-{uuid.uuid4().hex}"
+    store.export_csv(listing.filter_records(stored(spark, sf_dir), severity="CRITICAL"), path)
+    return spark.read.schema(
+        "CVE_ID string, Year string, CVSS_Score double, Severity string, Exploit string, Component string, "
+        "Description string").option("header", True).option("multiLine", True).option("escape", '"').option(
+        "enforceSchema", True).csv(path)

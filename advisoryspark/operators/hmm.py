@@ -220,19 +220,19 @@ def order_states(models: DataFrame) -> DataFrame:
         "means": pick("means"), "std_devs": pick("std_devs"), "transmat": rows})
 
 
-def next_state(models: DataFrame, current: Column) -> DataFrame:
-    """Most likely next state, its probability and its mean, for ordered models and
-    the index of the current state."""
-    here = models.withColumn("current", current)
-    row = F.get("transmat", F.col("current"))
+def with_next_state(models: DataFrame, current: Column) -> DataFrame:
+    """Ordered models with the most likely next state, its probability and its mean,
+    for the index of the current state."""
+    here = models.withColumn("_current", current)
+    row = F.get("transmat", F.col("_current"))
     best = first_argmax(row)
     names = F.array(*[F.lit(s) for s in fx.THREAT_STATES])
-    return here.select(
-        F.get(names, F.col("current")).alias("current_state"),
-        F.get(names, best).alias("predicted_next_state"),
-        F.get(row, best).alias("probability"),
-        F.get("means", best).alias("expected_next_cvss"),
-    )
+    return here.withColumns({
+        "current_state": F.get(names, F.col("_current")),
+        "predicted_next_state": F.get(names, best),
+        "probability": F.get(row, best),
+        "expected_next_cvss": F.get("means", best),
+    }).drop("_current")
 
 
 def analysis(rows: DataFrame, model: dict) -> DataFrame:
@@ -241,5 +241,6 @@ def analysis(rows: DataFrame, model: dict) -> DataFrame:
     last = decoded.agg(F.max_by(F.struct("CVSS_Score", "state"), F.struct("chunk", "pos")).alias("last"))
     names = F.array(*[F.lit(s) for s in fx.THREAT_STATES])
     current = last.select((F.array_position(names, F.col("last.state")) - 1).cast("int"))
-    outlook = next_state(model_table(rows.sparkSession, model), current.scalar())
-    return outlook.withColumn("last_cvss", last.select("last.CVSS_Score").scalar())
+    outlook = with_next_state(model_table(rows.sparkSession, model), current.scalar())
+    return outlook.select("current_state", "predicted_next_state", "probability", "expected_next_cvss").withColumn(
+        "last_cvss", last.select("last.CVSS_Score").scalar())

@@ -52,7 +52,7 @@ def training_accuracy(rows: DataFrame, model: LogisticRegressionModel) -> DataFr
     return evaluation.accuracy(model.transform(training_rows(rows)), "label", "prediction")
 
 
-def _parameters(model: LogisticRegressionModel):
+def parameters(model: LogisticRegressionModel) -> tuple[np.ndarray, np.ndarray]:
     """Weights (class by feature) and intercepts over all three states; an unseen
     state beyond the last trained class gets no chance."""
     weights = np.zeros((3, len(FEATURES)))
@@ -63,7 +63,7 @@ def _parameters(model: LogisticRegressionModel):
     return weights, bias
 
 
-def decode(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+def decode(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """Greedy decode: each row uses the state predicted for the row before, the
     first row its true state.
 
@@ -71,8 +71,6 @@ def decode(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     compose, so segments are reduced independently and replayed from their
     known start (see `chain`).
     """
-    weights, bias = _parameters(model)
-
     def steps(scores: np.ndarray, first: bool) -> np.ndarray:
         # (row, previous state, class): the argmax is the predicted state.
         logits = scores[:, None, None] * weights[:, 0] + weights[:, 1:].T[None] + bias

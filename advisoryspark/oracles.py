@@ -202,6 +202,24 @@ def _prompt() -> str:
 
 _PIVOT = ", ".join(f"count(*) FILTER (Exploit_Type = {_text(n)}) AS {chr(34)}{n}{chr(34)}" for n, _ in fx.EXPLOIT_RULES)
 
+_OBSERVED = RAW + """,
+seq AS (
+  SELECT CVE_ID, Year, CVSS_Score AS x, row_number() OVER (ORDER BY Year, CVE_ID) AS t,
+         CASE WHEN CVSS_Score < 4 THEN 1 WHEN CVSS_Score < 7 THEN 2 ELSE 3 END AS s FROM raw),
+mom AS (
+  SELECT s, avg(x) AS m, var_pop(x) AS v, ln(count(*) / (SELECT count(*) FROM seq)) AS lp FROM seq GROUP BY s),
+mv AS (
+  SELECT p, s, ln(n / sum(n) OVER (PARTITION BY p)) AS la FROM (
+    SELECT p, s, count(*) AS n FROM (SELECT s, lag(s) OVER (ORDER BY t) AS p FROM seq) WHERE p IS NOT NULL GROUP BY ALL))"""
+
+_SUMMARY = """SELECT 'total' AS dimension, 'all' AS key, count(*) AS n,
+round(avg(CVSS_Score), 2) AS avg_cvss FROM tab
+UNION ALL SELECT 'severity', True_Severity, count(*), NULL FROM tab GROUP BY ALL
+UNION ALL SELECT 'exploit', Exploit_Type, count(*), NULL FROM tab GROUP BY ALL
+UNION ALL SELECT 'year', Year, count(*), NULL FROM tab GROUP BY ALL
+UNION ALL (SELECT 'component', Affected_Component, count(*) AS c, NULL FROM tab GROUP BY ALL
+ORDER BY c DESC, Affected_Component LIMIT 10)"""
+
 ORACLES = {
     "clean_text": _with(RAW, f"SELECT CVE_ID, {_CLEAN} AS Cleaned_Description FROM low"),
     "token_stats": _with(RAW, f"""SELECT OS, count(*) AS n, CAST(sum(c) AS BIGINT) AS tokens, CAST(max(c) AS BIGINT) AS longest,
@@ -271,13 +289,7 @@ GROUP BY ALL ORDER BY n DESC, Affected_Component LIMIT 10"""),
     "component_share": _with(TAB, """SELECT Affected_Component, count(*) AS n,
 round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 1) AS percent FROM tab GROUP BY ALL"""),
     "yearly_counts": _count("Year"),
-    "stats_grouping_sets": _with(TAB, """SELECT 'total' AS dimension, 'all' AS key, count(*) AS n,
-round(avg(CVSS_Score), 2) AS avg_cvss FROM tab
-UNION ALL SELECT 'severity', True_Severity, count(*), NULL FROM tab GROUP BY ALL
-UNION ALL SELECT 'exploit', Exploit_Type, count(*), NULL FROM tab GROUP BY ALL
-UNION ALL SELECT 'year', Year, count(*), NULL FROM tab GROUP BY ALL
-UNION ALL (SELECT 'component', Affected_Component, count(*) AS c, NULL FROM tab GROUP BY ALL
-ORDER BY c DESC, Affected_Component LIMIT 10)"""),
+    "stats_grouping_sets": _with(TAB, _SUMMARY),
     "year_exploit_pivot": _with(TAB, f"SELECT Year, {_PIVOT} FROM tab WHERE Exploit_Type <> 'Other' GROUP BY Year"),
     "score_bins": _with(RAW, """SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n FROM range(10) r(i)
 LEFT JOIN (SELECT floor(least(9.9, CVSS_Score)) AS b, count(*) AS n FROM raw GROUP BY b) ON b = i"""),
@@ -338,4 +350,87 @@ w AS (
   SELECT CVE_ID, term, tf * (ln((1 + (SELECT count(*) FROM tab)) / (1 + df)) + 1) AS v
   FROM terms JOIN vocab USING (term))""",
         """SELECT CVE_ID, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY CVE_ID)), 6) AS weight FROM w"""),
+    "latest_predictions": _with(TAB, """SELECT CVE_ID, Year, Predicted_Severity, Severity_Confidence FROM tab
+WHERE Predicted_Severity = 'MEDIUM' ORDER BY Year DESC, CVE_ID DESC LIMIT 50"""),
+    "status_report": _with(TAB + f""",
+errors AS (
+  SELECT round(round(avg(abs(CVSS_Score - p)), 6), 3) AS rf_mae,
+         round(round(sqrt(avg((CVSS_Score - p) * (CVSS_Score - p))), 6), 3) AS rf_rmse
+  FROM tab JOIN (SELECT Exploit_Type, round(avg(CVSS_Score), 1) AS p FROM tab GROUP BY ALL) USING (Exploit_Type)),
+states AS (
+  SELECT {_state('CVSS_Score')} AS state, lag({_state('CVSS_Score')}) OVER (ORDER BY Year, CVE_ID) AS prev_state FROM tab),
+acc AS (
+  SELECT round(100.0::DOUBLE * sum(hits) / sum(n), 1) AS memm_accuracy FROM (
+    SELECT max(c) AS hits, sum(c) AS n FROM (
+      SELECT prev_state, count(*) AS c FROM states WHERE prev_state IS NOT NULL GROUP BY prev_state, state)
+    GROUP BY prev_state)),
+s AS ({_SUMMARY})""", "SELECT * FROM s, errors, acc"),
+    "zero_shot_inference": _with(RAW + """,
+w AS (
+  SELECT CVE_ID, [(length(lo) - length(replace(lo, word, ''))) // length(word)
+                  FOR word IN ['critical', 'high', 'medium', 'low']] AS c FROM low),
+v AS (SELECT CVE_ID, [n / (1 + list_sum(c)) FOR n IN c] AS v FROM w)""",
+        """SELECT CVE_ID, list_extract(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], list_position(v, list_max(v))) AS zero_shot_severity,
+round(list_max(v), 3) AS zero_shot_confidence FROM v"""),
+    "token_sequences": _with(TAB + """,
+words AS (
+  SELECT CVE_ID, generate_subscripts(t, 1) AS place, unnest(t) AS token
+  FROM (SELECT CVE_ID, list_filter(string_split(Cleaned_Description, ' '), lambda x: x <> '') AS t FROM tab)),
+vocab AS (
+  SELECT token, 1 + row_number() OVER (ORDER BY n DESC, token) AS token_id
+  FROM (SELECT token, count(*) AS n FROM words GROUP BY token) QUALIFY token_id <= 30001),
+ids AS (
+  SELECT CVE_ID, list(coalesce(token_id, 1) ORDER BY place) AS ids
+  FROM words LEFT JOIN vocab USING (token) WHERE place <= 128 GROUP BY CVE_ID)""",
+        """SELECT CVE_ID, array_to_string(list_resize(ids, 128, 0), ' ') AS input_ids,
+array_to_string(list_resize([1 FOR i IN ids], 128, 0), ' ') AS attention_mask FROM ids"""),
+    "hmm_path_observed": _rec(_OBSERVED + f""",
+par AS (
+  SELECT {", ".join(f"coalesce((SELECT la FROM mv WHERE p = {i} AND s = {j}), '-Infinity'::DOUBLE) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
+         {", ".join(f"(SELECT lp FROM mom WHERE s = {j}) AS p{j}" for j in (1, 2, 3))}),
+dens AS (
+  SELECT t, {", ".join(f"(SELECT -0.5 * (ln(2 * pi() * v) + (x - m) ** 2 / v) FROM mom WHERE s = {j}) AS b{j}" for j in (1, 2, 3))}
+  FROM seq),
+fw(t, d1, d2, d3, k1, k2, k3) AS (
+  SELECT t, p1 + b1, p2 + b2, p3 + b3, 0, 0, 0 FROM dens, par WHERE t = 1
+  UNION ALL
+  SELECT dens.t, {", ".join(f"greatest(d1 + a1{j}, d2 + a2{j}, d3 + a3{j}) + b{j}" for j in (1, 2, 3))},
+         {", ".join(f"CASE greatest(d1 + a1{j}, d2 + a2{j}, d3 + a3{j}) WHEN d1 + a1{j} THEN 1 WHEN d2 + a2{j} THEN 2 ELSE 3 END" for j in (1, 2, 3))}
+  FROM fw JOIN dens ON dens.t = fw.t + 1, par),
+path(t, s) AS (
+  SELECT t, CASE greatest(d1, d2, d3) WHEN d1 THEN 1 WHEN d2 THEN 2 ELSE 3 END FROM fw
+  WHERE t = (SELECT max(t) FROM fw)
+  UNION ALL
+  SELECT fw.t - 1, CASE path.s WHEN 1 THEN k1 WHEN 2 THEN k2 ELSE k3 END
+  FROM path JOIN fw ON fw.t = path.t WHERE fw.t > 1)""",
+        """SELECT CVE_ID AS cve_id, x AS cvss, Year AS year,
+list_extract(['Low Threat', 'Medium Threat', 'High Threat'], path.s) AS state FROM path JOIN seq USING (t)"""),
+    "memm_path_observed": _rec(_OBSERVED + f""",
+par AS (
+  SELECT {", ".join(f"coalesce((SELECT la FROM mv WHERE p = {i} AND s = {j}), '-Infinity'::DOUBLE) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
+         {", ".join(f"(SELECT m FROM mom WHERE s = {j}) AS m{j}" for j in (1, 2, 3))},
+         (SELECT sum(exp(lp) * v) FROM mom) AS v),
+path(t, k) AS (
+  SELECT t, s FROM seq WHERE t = 1
+  UNION ALL
+  SELECT t, CASE greatest(l1, l2, l3) WHEN l1 THEN 1 WHEN l2 THEN 2 ELSE 3 END FROM (
+    SELECT seq.t, {", ".join(f"m{j} / v * x + CASE k WHEN 1 THEN a1{j} WHEN 2 THEN a2{j} ELSE a3{j} END - m{j} ** 2 / (2 * v) AS l{j}" for j in (1, 2, 3))}
+    FROM path JOIN seq ON seq.t = path.t + 1, par))""",
+        """SELECT CVE_ID, list_extract(['Low Threat', 'Medium Threat', 'High Threat'], s) AS true_state,
+list_extract(['Low Threat', 'Medium Threat', 'High Threat'], k) AS state FROM path JOIN seq USING (t)"""),
+    "hmm_state_order": """WITH e AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:15]] AS p,
+         [q.i FOR q IN list_sort([{'m': embedding[k], 'i': k - 1} FOR k IN [1, 2, 3]])] AS o FROM embeddings),
+r AS (
+  SELECT vec_id, o, p, [p[6 + 3 * o[1] + o[k] + 1] FOR k IN [1, 2, 3]] AS low_row FROM e),
+b AS (SELECT *, list_position(low_row, list_max(low_row)) AS best FROM r)
+SELECT vec_id, array_to_string(o, ' ') AS state_order, round(p[o[1] + 1], 6) AS low_mean,
+  round(p[3 + o[3] + 1], 6) AS high_std_dev, round(p[6 + 3 * o[3] + o[1] + 1], 6) AS high_to_low,
+  list_extract(['Low Threat', 'Medium Threat', 'High Threat'], best) AS predicted_next_state,
+  round(list_max(low_row), 6) AS probability, round(p[o[best] + 1], 6) AS expected_next_cvss FROM b""",
+    "feed_records": _with(RAW, "SELECT CVE_ID, Description, Year, CVSS_Score, CWE, 'Cross-Platform' AS OS FROM raw"),
+    "stream_import": _with(TAB, "SELECT * EXCLUDE (doc_id) REPLACE ('Cross-Platform' AS OS) FROM tab"),
+    "stream_severity_counts": _count("True_Severity"),
+    "csv_export": _with(TAB, """SELECT CVE_ID, Year, CVSS_Score, True_Severity AS Severity, Exploit_Type AS Exploit,
+Affected_Component AS Component, Description FROM tab WHERE True_Severity = 'CRITICAL'"""),
 }

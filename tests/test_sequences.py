@@ -101,13 +101,13 @@ def test_order_states(spark):
 def test_memm_decode_equals_row_by_row(rows):
     placed, scores = rows
     model = memm.fit(placed)
-    weights, bias = memm._parameters(model)
+    weights, bias = memm.parameters(model)
     state = int(np.digitize(scores[0], [4.0, 7.0]))
     expected = [state]
     for s in scores[1:]:
         state = int((weights[:, 0] * s + weights[:, 1 + state] + bias).argmax())
         expected.append(state)
-    decoded = memm.decode(placed, model)
+    decoded = memm.decode(placed, weights, bias)
     got = [r.state for r in decoded.orderBy("Year", "CVE_ID").collect()]
     assert got == [fx.THREAT_STATES[s] for s in expected]
     step = memm.what_if(decoded, model, 8.5).first()
@@ -121,7 +121,7 @@ def test_memm_equals_penalised_likelihood(rows):
     """The fit minimises the summed loss plus half the squared weights."""
     placed, scores = rows
     model = memm.fit(placed)
-    weights, bias = memm._parameters(model)
+    weights, bias = memm.parameters(model)
     states = np.digitize(scores, [4.0, 7.0])
     x = np.concatenate([scores[1:, None], np.eye(3)[states[:-1]]], axis=1)
     logits = x @ weights.T + bias
