@@ -420,8 +420,8 @@ def upsert_merge(spark, sf_dir):
 
 @query
 def insert_new_only(spark, sf_dir):
-    batch = merge.first_seen(merge_batch(spark, sf_dir))
-    return merge.insert_new(merge_target(spark, sf_dir), batch).select("CVE_ID", "CVSS_Score", "True_Severity")
+    fresh = merge.insert_new(merge_target(spark, sf_dir), merge_batch(spark, sf_dir))
+    return merge.first_seen(fresh).select("CVE_ID", "CVSS_Score", "True_Severity")
 
 
 @query
@@ -524,15 +524,26 @@ def tfidf_weights(spark, sf_dir):
     return tfidf.weights(tfidf.fit(records), records).withColumn("weight", F.round("weight", 6))
 
 
-_SCORE_MODELS = {}
+_MODELS = {}
+
+
+def trained(spark, sf_dir, name, train):
+    """A model of a data folder, trained on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MODELS:
+        _MODELS[key] = train()
+    return _MODELS[key]
 
 
 def score_model(spark, sf_dir):
-    """Score pipeline of a data folder, trained on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SCORE_MODELS:
-        _SCORE_MODELS[key] = models.fit_score_model(stored(spark, sf_dir))
-    return _SCORE_MODELS[key]
+    return trained(spark, sf_dir, "score", lambda: models.fit_score_model(stored(spark, sf_dir)))
+
+
+def quality_model(spark, sf_dir):
+    """Quality label of the labelled documents, learned from their text."""
+    human = table(spark, sf_dir, "labels").select(document_id(spark, sf_dir), "quality")
+    labelled_records = stored(spark, sf_dir).select("CVE_ID", "Description").join(human, "CVE_ID")
+    return trained(spark, sf_dir, "quality", lambda: models.fit_text_classifier(labelled_records, "quality"))
 
 
 @query
@@ -556,11 +567,35 @@ def oof_score(spark, sf_dir):
 
 @query
 def text_classifier(spark, sf_dir):
-    """Quality label of the labelled documents learned, then applied to all records."""
-    human = table(spark, sf_dir, "labels").select(document_id(spark, sf_dir), "quality")
+    """The learned quality label applied to all records."""
     records = stored(spark, sf_dir).select("CVE_ID", "Description")
-    model = models.fit_text_classifier(records.join(human, "CVE_ID"), "quality")
-    return models.classify(records, model).select("CVE_ID", "category", "category_confidence")
+    return models.classify(records, quality_model(spark, sf_dir)).select(
+        "CVE_ID", "category", "category_confidence")
+
+
+def length_category():
+    """Stand-in for a category model: long and short texts."""
+    def predict(texts):
+        return [("LABEL_1" if len(t) > 1000 else "LABEL_0", len(t) / (len(t) + 1000)) for t in texts]
+    return predict
+
+
+@query
+def category_inference(spark, sf_dir):
+    docs = spread(raw_records(spark, sf_dir)).select("CVE_ID", "Description")
+    found = inference.predict_category(F.col("Description"), length_category)
+    return docs.select("CVE_ID", found.alias("p")).select(
+        "CVE_ID", F.col("p.label").alias("BERT_Category"), F.col("p.score").alias("BERT_Confidence"))
+
+
+@query
+def record_report(spark, sf_dir):
+    """Ad-hoc report of one stored record from the score, category and severity models."""
+    scored = models.predict_scores(stored(spark, sf_dir), score_model(spark, sf_dir))
+    found = models.classify(scored, quality_model(spark, sf_dir))
+    category = F.struct(F.col("category").alias("label"), F.col("category_confidence").alias("score"))
+    guess = inference.top_label(inference.label_scores(F.col("Description"), word_scorer, fx.ZERO_SHOT_LABELS))
+    return reports.record_report(found, "CVE-2019-1007", F.col("predicted"), category, guess)
 
 
 def word_scorer():

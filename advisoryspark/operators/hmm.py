@@ -49,39 +49,50 @@ def _compose(a, b):
 def _summary(x: np.ndarray, model: dict, first: bool):
     """Weight (3x3), statistics (18x3x3) and log scale of consecutive rows.
 
-    Rows are laid out in lanes that advance together, then the lanes are composed.
+    Rows are laid out in lanes that advance together.  With the products of
+    the steps up to each row and after it, all statistics of a lane are plain
+    matrix products over its rows; the lanes are then composed in order.
     """
     steps, top = _step_weights(x, model, first)
-    length = max(1, int(np.sqrt(len(x))))
+    length = max(1, int(np.sqrt(len(x)) / 2))
     count = -(-len(x) // length)
     fill = count * length - len(x)
-    real = np.concatenate([np.ones(len(x)), np.zeros(fill)]).reshape(count, length)
+
+    def lanes(values: np.ndarray, padding) -> np.ndarray:
+        padded = np.concatenate([values, np.broadcast_to(padding, (fill, *values.shape[1:]))])
+        return padded.reshape(count, length, *values.shape[1:])
+
+    real, steps, x = lanes(np.ones(len(x)), 0.0), lanes(steps, np.eye(STATES)), lanes(x, 0.0)
+    before, after = np.empty_like(steps), np.empty_like(steps)
+    scale, rest = np.empty((count, length)), np.empty((count, length))
+    product = np.broadcast_to(np.eye(STATES), (count, STATES, STATES))
+    for k in range(length):
+        before[:, k] = product
+        product = product @ steps[:, k]
+        scale[:, k] = product.max(axis=(1, 2))
+        product = product / scale[:, k, None, None]
+    weight, log_scale = product, np.log(scale).sum(axis=1)
+    # `before` is scaled by the steps so far, so steps scaled alike keep all rows comparable.
+    steps = steps / scale[..., None, None]
+    product = np.broadcast_to(np.eye(STATES), (count, STATES, STATES))
+    for k in reversed(range(length)):
+        after[:, k] = product
+        product = steps[:, k] @ product
+
     moved = real.copy()
     if first:
         moved[0, 0] = 0.0  # the first row starts the chain, it is no transition
-    steps = np.concatenate([steps, np.repeat(np.eye(STATES)[None], fill, axis=0)]).reshape(count, length, STATES, STATES)
-    x = np.concatenate([x, np.zeros(fill)]).reshape(count, length)
-
-    weight = np.repeat(np.eye(STATES)[None], count, axis=0)
-    stats = np.zeros((count, _STATS, STATES, STATES))
-    log_scale = np.zeros(count)
-    for k in range(length):
-        step = steps[:, k]
-        stats = stats @ step[:, None]
-        after = weight @ step
-        for j in range(STATES):
-            ends = np.zeros_like(after)
-            ends[:, :, j] = after[:, :, j] * real[:, k, None]
-            stats[:, j] += ends
-            stats[:, 3 + j] += ends * x[:, k, None, None]
-            stats[:, 6 + j] += ends * (x[:, k] ** 2)[:, None, None]
-            for i in range(STATES):
-                stats[:, 9 + 3 * i + j, :, j] += weight[:, :, i] * step[:, None, i, j] * moved[:, k, None]
-        scale = after.max(axis=(1, 2))
-        weight = after / scale[:, None, None]
-        stats /= scale[:, None, None, None]
-        log_scale += np.log(scale)
-    log_scale += np.add.reduceat(np.concatenate([top, np.zeros(fill)]), np.arange(0, count * length, length))
+    stats = np.empty((count, _STATS, STATES, STATES))
+    for j in range(STATES):
+        tail = after[:, :, j, :]
+        arrive = [before[..., i] * steps[:, :, None, i, j] for i in range(STATES)]
+        visits = (sum(arrive) * real[..., None]).transpose(0, 2, 1)
+        stats[:, j] = visits @ tail
+        stats[:, 3 + j] = (visits * x[:, None]) @ tail
+        stats[:, 6 + j] = (visits * x[:, None] ** 2) @ tail
+        for i in range(STATES):
+            stats[:, 9 + 3 * i + j] = (arrive[i] * moved[..., None]).transpose(0, 2, 1) @ tail
+    log_scale = log_scale + lanes(top, 0.0).sum(axis=1)
     total = (weight[0], stats[0], log_scale[0])
     for lane in range(1, count):
         total = _compose(total, (weight[lane], stats[lane], log_scale[lane]))

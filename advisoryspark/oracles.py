@@ -365,6 +365,8 @@ acc AS (
       SELECT prev_state, count(*) AS c FROM states WHERE prev_state IS NOT NULL GROUP BY prev_state, state)
     GROUP BY prev_state)),
 s AS ({_SUMMARY})""", "SELECT * FROM s, errors, acc"),
+    "category_inference": _with(RAW, """SELECT CVE_ID, CASE WHEN n > 1000 THEN 'LABEL_1' ELSE 'LABEL_0' END AS BERT_Category,
+round(n / (n + 1000), 3) AS BERT_Confidence FROM (SELECT CVE_ID, length(Description) AS n FROM raw)"""),
     "zero_shot_inference": _with(RAW + """,
 w AS (
   SELECT CVE_ID, [(length(lo) - length(replace(lo, word, ''))) // length(word)

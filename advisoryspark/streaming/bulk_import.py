@@ -19,9 +19,9 @@ def import_batch(spark: SparkSession, documents: DataFrame, root: str, epoch: in
     """
     origin = ("source_file", "place")
     rows = feed.accepted(feed.records(documents, keep=origin))
-    first = merge.first_seen(rows, order=(*origin, "Description", "CVSS_Score")).drop(*origin)
-    fresh = merge.insert_new(store.keys(spark, root, before_epoch=epoch), first)
-    enriched = enrich(fresh, **models).withColumn("seq", F.lit(0).cast("bigint"))
+    fresh = merge.insert_new(store.keys(spark, root, before_epoch=epoch), rows)
+    first = merge.first_seen(fresh, order=(*origin, "Description", "CVSS_Score")).drop(*origin)
+    enriched = enrich(first, **models).withColumn("seq", F.lit(0).cast("bigint"))
     store.append_changes(enriched, root, epoch)
 
 
