@@ -45,19 +45,27 @@ def class_report(scored: DataFrame, actual: str, predicted: str) -> DataFrame:
         ratio(F.col("hits"), F.col("claimed")).alias("precision"),
         ratio(F.col("hits"), F.col("support")).alias("recall"),
         ratio(2 * F.col("hits"), F.col("claimed") + F.col("support")).alias("f1"),
-        "support", "hits",
+        "support",
     )
     measures = ["precision", "recall", "f1"]
-    macro = classes.agg(*[F.avg(m).alias(m) for m in measures], F.sum("support").alias("support"))
-    weighted = classes.agg(
-        *[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(m) for m in measures],
-        F.sum("support").alias("support"))
-    overall = classes.agg(
-        *[(F.sum("hits") / F.sum("support")).alias(m) for m in measures], F.sum("support").alias("support"))
-    rows = classes.drop("hits")
-    for name, part in (("macro avg", macro), ("weighted avg", weighted), ("accuracy", overall)):
-        rows = rows.unionByName(part.withColumn("label", F.lit(name)))
-    return rows.select("label", *[F.round(m, 6).alias(m) for m in measures], "support")
+
+    def part(kind: str, label: Column, weight: Column, values=measures) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), weight.cast("double").alias("weight"),
+                        *[F.col(v).alias(m) for m, v in zip(measures, values)], "support")
+
+    # Every class row also counts towards the three summary rows; accuracy is
+    # the recall weighted by support.
+    one, support = F.lit(1), F.col("support")
+    parts = classes.select(F.explode(F.array(
+        part("class", F.col("label"), one),
+        part("summary", F.lit("macro avg"), one),
+        part("summary", F.lit("weighted avg"), support),
+        part("summary", F.lit("accuracy"), support, ["recall"] * 3),
+    )).alias("p")).select("p.*")
+    return parts.groupBy("kind", "label").agg(
+        *[F.round(F.sum(F.col(m) * F.col("weight")) / F.sum("weight"), 6).alias(m) for m in measures],
+        F.sum("support").alias("support"),
+    ).drop("kind")
 
 
 def compare_labels(records: DataFrame, first: Column, second: Column) -> DataFrame:

@@ -43,7 +43,7 @@ def fits(counts: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     rows = lines.withColumns({
         "last_t": last["t"], "last_n": last["n"].cast("double"), "z": diffs,
     })
-    return rows.withColumns({"last_diff": F.element_at("z", -1), "phi": ar1_coefficient(F.col("z"))}).drop("z")
+    return rows.withColumns({"last_diff": F.get("z", F.size("z") - 1), "phi": ar1_coefficient(F.col("z"))}).drop("z")
 
 
 def _sum(array: Column) -> Column:
@@ -64,7 +64,7 @@ def ar1_coefficient(z: Column) -> Column:
         n.cast("double").alias("m"),
         _sum(squares).alias("c"),
         _sum(F.zip_with(before, after, lambda a, b: a * b)).alias("b"),
-        (_sum(squares) - F.element_at(squares, 1) - F.element_at(squares, -1)).alias("d"),
+        (_sum(squares) - F.get(squares, F.lit(0)) - F.get(squares, n - 1)).alias("d"),
     )
 
     def halve(state: Column, _step: Column) -> Column:

@@ -5,12 +5,12 @@ import os
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.operators import evaluation, hmm, memm, sequence, tfidf
@@ -18,10 +18,11 @@ from advisoryspark.session import materialize
 
 MIN_ROWS = 10
 
-# Depth bounds the size of the model the driver holds and of the split statistics
-# (at most 2**MAX_DEPTH leaves a tree) whatever the number of rows.  MLlib grows
-# trees up to depth 30; a small table can be fitted to the last row with that.
-MAX_DEPTH = 12
+# Small tables are fitted to the last row, with the deepest trees MLlib grows.  Beyond
+# that depth is bounded: at most 2**BOUNDED_DEPTH leaves a tree keep the model on the
+# driver and the split statistics small whatever the number of rows.
+SMALL_TABLE = 500
+FULL_DEPTH, BOUNDED_DEPTH = 30, 12
 
 
 def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
@@ -30,27 +31,28 @@ def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
         raise ValueError(f"need at least {at_least} records")
 
 
-def forest(trees: int = 50, seed: int = 42, max_depth: int = MAX_DEPTH, bins: int = 16) -> RandomForestRegressor:
+def forest(trees: int, rows: int, max_depth: int | None = None, seed: int = 42, bins: int = 16) -> RandomForestRegressor:
     """Forest with all features at every split.
 
     Split statistics are kept per node, feature and bin, and dominate the cost
     of deep trees; TF-IDF columns are mostly zero, so few bins lose nothing.
     """
+    depth = max_depth or (FULL_DEPTH if rows <= SMALL_TABLE else BOUNDED_DEPTH)
     return RandomForestRegressor(
         labelCol="CVSS_Score", featuresCol="features", predictionCol="predicted",
-        numTrees=trees, maxDepth=max_depth, maxBins=bins, featureSubsetStrategy="all", seed=seed,
+        numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="all", seed=seed,
         maxMemoryInMB=1024, cacheNodeIds=True)
 
 
-def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH) -> PipelineModel:
+def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int | None = None) -> PipelineModel:
     """Text to score: TF-IDF stages followed by the forest, one saveable pipeline.
 
     The vectors are written once; growing the trees reads them again per level.
     """
     check_enough(records)
     weighting = tfidf.fit(records)
-    vectors = tfidf.features(weighting, records).select("CVSS_Score", "features")
-    trained = forest(trees, max_depth=max_depth).fit(materialize(vectors, "vectors"))
+    vectors = materialize(tfidf.features(weighting, records).select("CVSS_Score", "features"), "vectors")
+    trained = forest(trees, vectors.count(), max_depth).fit(vectors)
     return PipelineModel([*weighting.stages, trained])
 
 
@@ -66,7 +68,7 @@ def score_errors(records: DataFrame, model: PipelineModel) -> DataFrame:
     return evaluation.regression_errors(model.transform(records), "CVSS_Score", "predicted")
 
 
-def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth: int = MAX_DEPTH) -> DataFrame:
+def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth: int | None = None) -> DataFrame:
     """CVE_ID, CVSS_Score, fold and the prediction of a forest that did not see the row.
 
     Folds are contiguous stretches of the chronological order, the first ones a
@@ -77,7 +79,7 @@ def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth:
     vectors = tfidf.features(weighting, records).select("CVE_ID", "Year", "CVSS_Score", "features")
     n = records.count()
     if n < folds:
-        model = forest(trees, max_depth=max_depth).fit(vectors)
+        model = forest(trees, n, max_depth).fit(vectors)
         return model.transform(vectors).select("CVE_ID", "CVSS_Score", F.lit(0).alias("fold"), "predicted")
     size, extra = divmod(n, folds)
     index = F.col("position") - 1
@@ -88,7 +90,7 @@ def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth:
     rows = materialize(rows.select("CVE_ID", "CVSS_Score", "features", "fold"), "folds")
 
     def held_out(k: int) -> DataFrame:
-        model = forest(trees, max_depth=max_depth).fit(rows.filter(F.col("fold") != k))
+        model = forest(trees, n, max_depth).fit(rows.filter(F.col("fold") != k))
         return model.transform(rows.filter(F.col("fold") == k)).select(
             "CVE_ID", "CVSS_Score", "fold", "predicted")
 
@@ -122,7 +124,7 @@ def classify(records: DataFrame, model: PipelineModel) -> DataFrame:
 METRICS = "rf_mae double, rf_rmse double, hmm_means array<double>, hmm_transition_mat array<array<double>>, memm_accuracy double"
 
 
-def train_all(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH) -> dict:
+def train_all(records: DataFrame, trees: int = 50, max_depth: int | None = None) -> dict:
     """Fit every model on the table: score pipeline, HMM, MEMM and a one-row metrics frame."""
     check_enough(records)
     score_model = fit_score_model(records, trees, max_depth)

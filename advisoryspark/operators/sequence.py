@@ -17,7 +17,11 @@ _ROW_BITS = 33
 
 
 def ordered_rows(df: DataFrame, order=("Year", "CVE_ID"), columns=None) -> DataFrame:
-    """Rows in sequence order with chunk and pos, written once."""
+    """Rows in sequence order with chunk and pos, written once.
+
+    `order` ends in the unique key of the table, so no range can be hot.  Only
+    the named columns enter the sort.
+    """
     rows = df if columns is None else df.select(*columns)
     placed = (
         rows.orderBy(*order)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from advisoryspark import fixed_values as fx
 from advisoryspark.functions import replies, scores
 from advisoryspark.operators import listing, merge
 from advisoryspark.plans.enrich import enrich

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def get_session(app: str = "advisoryspark", master: str | None = None, **conf) -> SparkSession:
     """Session with the settings this package relies on; `conf` overrides them."""
@@ -35,9 +37,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="advisoryspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="advisoryspark-")
+    return _LOCAL_DIRS[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

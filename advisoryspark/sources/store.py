@@ -27,6 +27,10 @@ def with_defaults(records: DataFrame) -> DataFrame:
         if field.name not in records.columns:
             records = records.withColumn(field.name, F.lit(None).cast(field.dataType))
     filled = {
+        "Year": F.coalesce("Year", F.lit(fx.DEFAULT_YEAR)),
+        "CVSS_Score": F.coalesce("CVSS_Score", F.lit(fx.DEFAULT_SCORE)),
+        "CWE": F.coalesce("CWE", F.lit(fx.DEFAULT_CWE)),
+        "OS": F.coalesce("OS", F.lit(fx.DEFAULT_OS)),
         "Cleaned_Description": F.coalesce(F.nullif("Cleaned_Description", F.lit("")),
                                           text.clean_text(F.col("Description"))),
         "Predicted_Severity": F.coalesce("Predicted_Severity", "True_Severity"),
@@ -82,9 +86,13 @@ def keys(spark: SparkSession, root: str, before_epoch: int) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
-    """Write the current table as the base of a fresh root."""
+    """Write the current table as the base of a fresh root, sorted by year and id.
+
+    The sort gives every file and row group a narrow range of ids, so lookups
+    by id or year skip nearly all of them.
+    """
     merged = current(spark, root).withColumn("seq", F.lit(0).cast("bigint"))
-    _write_epoch(merged, new_root, 0, "errorifexists")
+    _write_epoch(merged.orderBy("Year", "CVE_ID"), new_root, 0, "errorifexists")
 
 
 def reset(spark: SparkSession, root: str) -> None:
