@@ -18,7 +18,7 @@ from advisoryspark.operators import (aggregates, evaluation, forecast, hmm, infe
 from advisoryspark.plans import enrich as plan
 from advisoryspark.plans import reports
 from advisoryspark.schemas import RESEARCH_COLUMNS, TABLE_COLUMNS
-from advisoryspark.session import materialize, spread, work_dir
+from advisoryspark.session import materialize, work_dir
 from advisoryspark.sources import feed, store, tables
 from advisoryspark.sources.testview import raw_records, table
 from advisoryspark.streaming import bulk_import
@@ -36,31 +36,31 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched table of a data folder, written on first use."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        _STORED[key] = materialize(plan.enrich(spread(raw_records(spark, sf_dir))), "enriched")
+        _STORED[key] = materialize(plan.enrich(raw_records(spark, sf_dir)), "enriched")
     return _STORED[key]
 
 
 def labelled(spark, sf_dir, ruleset="current"):
-    return plan.with_rule_labels(spread(raw_records(spark, sf_dir)), ruleset)
+    return plan.with_rule_labels(raw_records(spark, sf_dir), ruleset)
 
 
 def lowered_records(spark, sf_dir):
     """Raw records with their lower-cased text as its own projection."""
-    return spread(raw_records(spark, sf_dir)).withColumn("_lowered", F.lower("Description"))
+    return raw_records(spark, sf_dir).withColumn("_lowered", F.lower("Description"))
 
 
 # --- scalar functions -------------------------------------------------------
 
 @query
 def clean_text(spark, sf_dir):
-    return spread(raw_records(spark, sf_dir)).select(
+    return raw_records(spark, sf_dir).select(
         "CVE_ID", text.clean_text(F.col("Description")).alias("Cleaned_Description"))
 
 
 @query
 def token_stats(spark, sf_dir):
     words = text.tokens(text.clean_text(F.col("Description")))
-    counted = spread(raw_records(spark, sf_dir)).select("OS", F.size(words).alias("token_count"))
+    counted = raw_records(spark, sf_dir).select("OS", F.size(words).alias("token_count"))
     return counted.groupBy("OS").agg(
         F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"),
         F.max("token_count").cast("bigint").alias("longest"),
@@ -90,7 +90,7 @@ def research_rules_labels(spark, sf_dir):
 @query
 def page_component_labels(spark, sf_dir):
     """Component and impact rules over the whole html of every page."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.component(F.col("html")).alias("component"),
                         text.impact(F.col("html")).alias("impact"))
 
@@ -187,7 +187,7 @@ def zero_shot_labels(spark, sf_dir):
 
 @query
 def enrich_rules(spark, sf_dir):
-    return plan.enrich(spread(raw_records(spark, sf_dir)))
+    return plan.enrich(raw_records(spark, sf_dir))
 
 
 @query
@@ -202,7 +202,7 @@ def research_storage(spark, sf_dir):
 @query
 def lookup_with_source(spark, sf_dir):
     """Stored records and enriched feed records that are not stored, with their source."""
-    return reports.lookup_sources(merge_target(spark, sf_dir), spread(raw_records(spark, sf_dir))).select(
+    return reports.lookup_sources(merge_target(spark, sf_dir), raw_records(spark, sf_dir)).select(
         "CVE_ID", "Exploit_Type", "True_Severity", "source")
 
 
@@ -427,7 +427,7 @@ def insert_new_only(spark, sf_dir):
 @query
 def write_defaults(spark, sf_dir):
     """Raw records on the write path: missing columns filled, cleaned text recomputed."""
-    raw = spread(raw_records(spark, sf_dir)).withColumn("True_Severity", scores.severity(F.col("CVSS_Score")))
+    raw = raw_records(spark, sf_dir).withColumn("True_Severity", scores.severity(F.col("CVSS_Score")))
     return store.with_defaults(raw).select(
         "CVE_ID", "Cleaned_Description", "Predicted_Severity", "Severity_Confidence",
         "BERT_Category", "BERT_Confidence")
@@ -582,7 +582,7 @@ def length_category():
 
 @query
 def category_inference(spark, sf_dir):
-    docs = spread(raw_records(spark, sf_dir)).select("CVE_ID", "Description")
+    docs = raw_records(spark, sf_dir).select("CVE_ID", "Description")
     found = inference.predict_category(F.col("Description"), length_category)
     return docs.select("CVE_ID", found.alias("p")).select(
         "CVE_ID", F.col("p.label").alias("BERT_Category"), F.col("p.score").alias("BERT_Confidence"))
@@ -608,7 +608,7 @@ def word_scorer():
 
 @query
 def zero_shot_inference(spark, sf_dir):
-    docs = spread(raw_records(spark, sf_dir)).select("CVE_ID", "Description")
+    docs = raw_records(spark, sf_dir).select("CVE_ID", "Description")
     return inference.zero_shot_severity(docs, word_scorer).drop("Description")
 
 

@@ -1,16 +1,16 @@
 """Session settings and the shared work folder."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 
 def get_session(app: str = "advisoryspark", master: str | None = None, **conf) -> SparkSession:
-    """Session with the settings this package relies on; `conf` overrides them."""
+    """Session with the settings this package was measured with; `conf` overrides them.
+
+    No operator depends on them: any session gives the same rows.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -26,21 +26,18 @@ def get_session(app: str = "advisoryspark", master: str | None = None, **conf) -
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir where the session names one.
+    """Folder for intermediate tables, named by the session alone.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a missing setting is an error, as a machine-local folder would be
-    lost with its machine.
+    spark.checkpoint.dir where it is set, else a folder of the warehouse, which
+    every session has and all its executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="advisoryspark-")
-    return _LOCAL_DIRS[app]
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "advisoryspark-work")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path under the work folder that nothing else uses."""
+    return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,16 +47,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     column pruning for the passes that follow.
     """
     spark = df.sparkSession
-    path = os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
-
-    For CPU-heavy text work on inputs of a few files.  A large input has more
-    splits than the cluster has cores and passes through without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table whose last reader is done."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
