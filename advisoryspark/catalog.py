@@ -9,6 +9,7 @@ stored table that search, counts and models run over.
 import uuid
 
 import numpy as np
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
@@ -40,6 +41,34 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORED[key]
 
 
+def mean_score_model(spark, sf_dir):
+    """Score model whose result SQL can compute: the mean score of each weakness, rounded to one digit.
+
+    A row per weakness comes to the driver and becomes one SQL transformer.
+    """
+    def train():
+        means = raw_records(spark, sf_dir).groupBy("CWE").agg(F.round(F.avg("CVSS_Score"), 1).alias("mean")).collect()
+        whens = " ".join(f"WHEN '{r['CWE']}' THEN {r['mean']}D" for r in sorted(means))
+        return SQLTransformer(statement=f"SELECT *, CASE CWE {whens} END AS predicted FROM __THIS__")
+    return trained(spark, sf_dir, "mean_score", train)
+
+
+def length_category_model():
+    """Category model whose result SQL can compute: long and short texts."""
+    return SQLTransformer(statement=(
+        "SELECT *, if(length(Description) > 1000, 'LABEL_1', 'LABEL_0') AS category, "
+        "round(length(Description) / (length(Description) + 1000D), 3) AS category_confidence FROM __THIS__"))
+
+
+def scored(spark, sf_dir):
+    """The table enriched with both models, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "scored")
+    if key not in _STORED:
+        _STORED[key] = materialize(plan.enrich(
+            raw_records(spark, sf_dir), mean_score_model(spark, sf_dir), length_category_model()), "scored")
+    return _STORED[key]
+
+
 def labelled(spark, sf_dir, ruleset="current"):
     return plan.with_rule_labels(raw_records(spark, sf_dir), ruleset)
 
@@ -113,9 +142,9 @@ def threat_states(spark, sf_dir):
 @query
 def score_confidence(spark, sf_dir):
     """Confidence of the mean score of each weakness as prediction."""
-    raw = raw_records(spark, sf_dir)
+    raw = raw_records(spark, sf_dir).select("CVE_ID", "CWE", "CVSS_Score")
     means = raw.groupBy("CWE").agg(F.round(F.avg("CVSS_Score"), 1).alias("predicted"))
-    return raw.join(means, "CWE").select(
+    return merge.join_labels(raw, means, "CWE").select(
         "CVE_ID", "predicted",
         scores.confidence(F.col("CVSS_Score"), F.col("predicted")).alias("confidence"))
 
@@ -174,13 +203,24 @@ def report_excerpts(spark, sf_dir):
 
 @query
 def zero_shot_labels(spark, sf_dir):
-    """Label clean-up and first maximum over score arrays taken from the embeddings."""
-    four = F.slice("embedding", 1, 4)
+    """Label clean-up and first maximum over four scores: the sums of every fourth embedding value."""
     names = F.array(*[F.lit(n) for n in fx.ZERO_SHOT_LABELS])
-    best = scores.first_argmax(four)
-    return table(spark, sf_dir, "embeddings").select(
+    best = scores.first_argmax(F.col("four"))
+    return folded(table(spark, sf_dir, "embeddings"), 4).select(
         "vec_id", replies.zero_shot_label(F.get(names, best)).alias("label"),
-        F.round(F.get(four, best).cast("double"), 3).alias("score"))
+        F.round(F.get("four", best), 3).alias("score"))
+
+
+def folded(vectors, n):
+    """vec_id and an array of n sums over the whole vector, value i counting for sum i modulo n.
+
+    Values are rounded to a millionth before they are summed, as integers, so the order of the sum does not matter.
+    """
+    whole = F.transform("embedding", lambda x, i: F.struct(F.round(x.cast("double") * 1000000).cast("bigint").alias("x"),
+                                                           (i % n).alias("k")))
+    sums = [F.aggregate(F.filter(whole, lambda e: e["k"] == number), F.lit(0).cast("bigint"),
+                        lambda total, e: total + e["x"]).cast("double") / 1000000 for number in range(n)]
+    return vectors.select("vec_id", F.array(*sums).alias("four" if n == 4 else "part"))
 
 
 # --- enrichment and composite plans -----------------------------------------
@@ -279,11 +319,90 @@ def dataset_split(spark, sf_dir):
 
 @query
 def latest_predictions(spark, sf_dir):
-    """Newest enriched records of one predicted severity."""
-    found = stored(spark, sf_dir).filter(F.col("Predicted_Severity") == "MEDIUM")
+    """Newest enriched records of one predicted severity, from the table the score model filled."""
+    found = scored(spark, sf_dir).filter(F.col("Predicted_Severity") == "MEDIUM")
     return listing.page(found, limit=50).select("CVE_ID", "Year", "Predicted_Severity", "Severity_Confidence")
 
 
+@query
+def enrich_models(spark, sf_dir):
+    """Model columns of the enriched table, from a score and a category model."""
+    return scored(spark, sf_dir).select("CVE_ID", "Predicted_Severity", "Severity_Confidence", "BERT_Category",
+                                        "BERT_Confidence")
+
+
+@query
+def lookup_models(spark, sf_dir):
+    """Lookup of stored and unknown records, the unknown with the models' columns and a zero-shot severity."""
+    raw = raw_records(spark, sf_dir)
+    guess = inference.top_label(inference.label_scores(F.col("Description"), word_scorer, fx.ZERO_SHOT_LABELS))
+    return reports.lookup_sources(
+        merge_target(spark, sf_dir), raw.unionByName(raw), guess, score_model=mean_score_model(spark, sf_dir),
+        category_model=length_category_model()).select(
+            "CVE_ID", "source", "Predicted_Severity", "BERT_Category", "zero_shot_severity", "zero_shot_confidence")
+
+
+@query
+def lookup_stored(spark, sf_dir):
+    """The lookup logged in the table: what was unknown is stored with the source it came from."""
+    root = f"{work_dir(spark)}/lookup-{uuid.uuid4().hex}/table"
+    store.create_if_missing(spark, root)
+    store.append_changes(merge_target(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")), root)
+    found = reports.lookup_and_store(root, raw_records(spark, sf_dir), score_model=mean_score_model(spark, sf_dir))
+    return found.select("CVE_ID", "source", "Predicted_Severity")
+
+
+@query
+def pages_by_key(spark, sf_dir):
+    """The second page by the last key of the first."""
+    found = listing.filter_records(stored(spark, sf_dir), search="kernel")
+    last = listing.page_after(found, 25).collect()[-1]
+    return listing.page_after(found, 25, last["Year"], last["CVE_ID"]).select("CVE_ID", "Year")
+
+
+@query
+def head_rows(spark, sf_dir):
+    return listing.head(stored(spark, sf_dir).select("CVE_ID", "Year", "Impact"), 50)
+
+
+@query
+def seeded_table(spark, sf_dir):
+    """Seeds put into an empty table, then the records: severities of both."""
+    root = f"{work_dir(spark)}/seeded-{uuid.uuid4().hex}/table"
+    store.create_if_missing(spark, root)
+    store.seed_if_empty(spark, root)
+    store.append_changes(stored(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")), root)
+    if store.seed_if_empty(spark, root):
+        raise ValueError("the table was taken as empty")
+    return aggregates.count_by(store.current(spark, root), "True_Severity")
+
+
+@query
+def reset_table(spark, sf_dir):
+    """Records whose id a table lacks after it was reset to its seeds."""
+    root = f"{work_dir(spark)}/reset-{uuid.uuid4().hex}/table"
+    store.create_if_missing(spark, root)
+    store.append_changes(stored(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")), root)
+    store.reset(spark, root)
+    return merge.insert_new(store.current(spark, root), stored(spark, sf_dir)).select("CVE_ID", "Year")
+
+
+@query
+def older_table(spark, sf_dir):
+    """A table from before the category columns, read with them as nulls."""
+    old = stored(spark, sf_dir).drop("BERT_Category", "BERT_Confidence")
+    return store.add_missing_columns(old).select("CVE_ID", "Impact", "BERT_Category", "BERT_Confidence")
+
+
+@query
+def prediction_log(spark, sf_dir):
+    """Two model versions logged one after the other; predictions of each by severity."""
+    path = f"{work_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    for version, rows in (("v1", stored(spark, sf_dir)), ("v2", scored(spark, sf_dir))):
+        store.log_predictions(rows.select("CVE_ID", "Predicted_Severity"), path, version)
+    return spark.read.parquet(path).groupBy("model_version", "Predicted_Severity").agg(F.count("scored_at").alias("n"))
+
+
 # --- aggregates ---------------------------------------------------------------
 
 @query
@@ -348,7 +467,7 @@ def error_metrics(spark, sf_dir):
     """Errors of predicting the mean score of each exploit type."""
     records = stored(spark, sf_dir).select("CVSS_Score", "Exploit_Type")
     means = records.groupBy("Exploit_Type").agg(F.round(F.avg("CVSS_Score"), 1).alias("predicted"))
-    errors = evaluation.regression_errors(records.join(means, "Exploit_Type"), "CVSS_Score", "predicted")
+    errors = evaluation.regression_errors(merge.join_labels(records, means, "Exploit_Type"), "CVSS_Score", "predicted")
     return errors.select(F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), "n")
 
 
@@ -437,8 +556,7 @@ def write_defaults(spark, sf_dir):
 
 @query
 def chronological_index(spark, sf_dir):
-    rows = sequence.ordered_rows(raw_records(spark, sf_dir), columns=("CVE_ID", "Year", "CVSS_Score"))
-    return sequence.with_position(rows).select("CVE_ID", "Year", "position")
+    return sequence.with_position(score_sequence(spark, sf_dir)).select("CVE_ID", "Year", "position")
 
 
 @query
@@ -560,6 +678,46 @@ def rf_errors(spark, sf_dir):
     return models.score_errors(stored(spark, sf_dir), score_model(spark, sf_dir))
 
 
+@query
+def oof_folds(spark, sf_dir):
+    """Fold of every record of the out-of-fold prediction."""
+    return models.fold_numbers(stored(spark, sf_dir))
+
+
+@query
+def rf_score_range(spark, sf_dir):
+    """Every record has a predicted score, a severity and a confidence in their ranges."""
+    found = rf_score(spark, sf_dir)
+    return found.select("CVE_ID", F.col("predicted").between(0, 10).alias("score_fits"),
+                        (F.col("Predicted_Severity") == scores.severity(F.col("predicted"))).alias("severity_fits"),
+                        F.col("Severity_Confidence").between(0.6, 1).alias("confidence_fits"))
+
+
+@query
+def text_classifier_range(spark, sf_dir):
+    """Every record has one of the learned labels with a probability."""
+    found = text_classifier(spark, sf_dir)
+    return found.select("CVE_ID", F.col("category").isin("0", "1").alias("label_fits"),
+                        F.col("category_confidence").between(0.5, 1).alias("confidence_fits"))
+
+
+@query
+def tfidf_unseen(spark, sf_dir):
+    """Weights of records the vocabulary and frequencies were not counted on."""
+    records = stored(spark, sf_dir).select("CVE_ID", "Year", "Description")
+    fitted = tfidf.fit(records.filter("Year < '2023'"))
+    return tfidf.weights(fitted, records.filter("Year >= '2023'")).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def record_report_models(spark, sf_dir):
+    """The report of one record from models whose results SQL can compute."""
+    found = length_category_model().transform(models.predict_scores(stored(spark, sf_dir), mean_score_model(spark, sf_dir)))
+    category = F.struct(F.col("category").alias("label"), F.col("category_confidence").alias("score"))
+    guess = inference.top_label(inference.label_scores(F.col("Description"), word_scorer, fx.ZERO_SHOT_LABELS))
+    return reports.record_report(found, "CVE-2019-1007", F.col("predicted"), category, guess)
+
+
 @query
 def oof_score(spark, sf_dir):
     return models.out_of_fold(stored(spark, sf_dir))
@@ -616,15 +774,19 @@ def zero_shot_inference(spark, sf_dir):
 def token_sequences(spark, sf_dir):
     """Model inputs of fixed length: ids and mask, written out as text."""
     cleaned = stored(spark, sf_dir).select("CVE_ID", "Cleaned_Description")
-    encoded = sequences.encode(cleaned, sequences.vocabulary(cleaned))
+    encoded = sequences.encode(cleaned, sequences.vocabulary(cleaned, 30_000))
     return encoded.select(
-        "CVE_ID", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
+        "CVE_ID", "n_unknown", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
 
 
 # --- sequence models -----------------------------------------------------------------
 
 def score_sequence(spark, sf_dir):
-    return sequence.ordered_rows(raw_records(spark, sf_dir), columns=("CVE_ID", "Year", "CVSS_Score"))
+    """The chronological sequence of a data folder, sorted and written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "sequence")
+    if key not in _STORED:
+        _STORED[key] = sequence.ordered_rows(raw_records(spark, sf_dir), columns=("CVE_ID", "Year", "CVSS_Score"))
+    return _STORED[key]
 
 
 @query
@@ -632,6 +794,21 @@ def hmm_fit(spark, sf_dir):
     return hmm.model_table(spark, hmm.fit(score_sequence(spark, sf_dir)))
 
 
+@query
+def hmm_em_step(spark, sf_dir):
+    """One Baum-Welch step from the start model, as one row."""
+    rows = score_sequence(spark, sf_dir)
+    model = hmm.em_step(rows, hmm.start_model(rows))
+    six = lambda x: F.transform(x, lambda v: F.round(v, 6))
+    return spark.createDataFrame(
+        [(model["means"], model["variances"], model["startprob"], sum(model["transmat"], []), model["log_likelihood"][0])],
+        "means array<double>, variances array<double>, startprob array<double>, transmat array<double>, "
+        "log_likelihood double").select(*(
+            F.round(F.get(c, F.lit(i)), 6).alias(f"{c}_{i}") for c, n in (
+                ("means", 3), ("variances", 3), ("startprob", 3), ("transmat", 9)) for i in range(n)),
+            F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
 @query
 def hmm_decode(spark, sf_dir):
     rows = score_sequence(spark, sf_dir)
@@ -695,21 +872,35 @@ def memm_path_observed(spark, sf_dir):
     rows = score_sequence(spark, sf_dir)
     states = rows.withColumn("state", scores.threat_state(F.col("CVSS_Score")))
     pairs = sequence.with_previous(states, "state", "prev_state").filter("prev_state IS NOT NULL")
-    observed = observed_model(pairs, states)
+    decoded = memm.decode(rows, *observed_weights(observed_model(pairs, states)))
+    return decoded.select("CVE_ID", "true_state", "state")
+
+
+def observed_weights(observed):
     means = np.array(observed["means"])
     common = float(np.dot(observed["startprob"], observed["variances"]))
     with np.errstate(divide="ignore"):
         moves = np.log(np.array(observed["transmat"]))
-    weights = np.concatenate([means[:, None] / common, moves.T], axis=1)
-    decoded = memm.decode(rows, weights, -means ** 2 / (2 * common))
-    return decoded.select("CVE_ID", "true_state", "state")
+    return np.concatenate([means[:, None] / common, moves.T], axis=1), -means ** 2 / (2 * common)
+
+
+@query
+def memm_outlook_observed(spark, sf_dir):
+    """What-if result and decode accuracy under the observed weights."""
+    rows = score_sequence(spark, sf_dir)
+    states = rows.withColumn("state", scores.threat_state(F.col("CVSS_Score")))
+    pairs = sequence.with_previous(states, "state", "prev_state").filter("prev_state IS NOT NULL")
+    weights = observed_weights(observed_model(pairs, states))
+    result = memm.outlook(memm.decode(rows, *weights), *weights)
+    return result.select("current_state", "predicted_next_state", F.round("probability", 6).alias("probability"),
+                         F.round("accuracy", 6).alias("accuracy"))
 
 
 @query
 def hmm_state_order(spark, sf_dir):
     """State ordering and outlook of three-state models taken from the embeddings."""
-    part = F.transform(F.slice("embedding", 1, 15), lambda x: x.cast("double"))
-    model = table(spark, sf_dir, "embeddings").select(
+    part = F.col("part")
+    model = folded(table(spark, sf_dir, "embeddings"), 15).select(
         "vec_id", F.slice(part, 1, 3).alias("means"), F.slice(part, 4, 3).alias("std_devs"),
         F.array(F.slice(part, 7, 3), F.slice(part, 10, 3), F.slice(part, 13, 3)).alias("transmat"))
     ordered = hmm.order_states(model)
@@ -730,6 +921,15 @@ def feed_files(spark, sf_dir):
     return path
 
 
+@query
+def feed_fallbacks(spark, sf_dir):
+    """Feed entries with scores of older versions or none, without weakness, and with a second language."""
+    path = f"{work_dir(spark)}/feed-{uuid.uuid4().hex}"
+    feed.as_feed_documents(raw_records(spark, sf_dir), per_document=200, fallbacks=True).write.json(path)
+    documents = feed.read_feed(spark, path, multiline=False)
+    return feed.accepted(feed.records(documents)).select("CVE_ID", "Description", "CVSS_Score", "CWE")
+
+
 @query
 def feed_records(spark, sf_dir):
     """Nested feed documents read back into flat records."""
@@ -739,11 +939,15 @@ def feed_records(spark, sf_dir):
 
 @query
 def stream_import(spark, sf_dir):
-    """The feed documents imported by the stream, then the table it leaves."""
+    """Two feeds with overlapping ids imported into one table by streams of their own, then the table they leave."""
     base = f"{work_dir(spark)}/import-{uuid.uuid4().hex}"
-    bulk_import.start_import(
-        spark, feed_files(spark, sf_dir), f"{base}/table", f"{base}/rejects", f"{base}/checkpoint",
-        multiline=False).awaitTermination()
+    raw = raw_records(spark, sf_dir)
+    late = raw.filter("Year >= '2020'").withColumn("CVSS_Score", F.lit(1.5))
+    for name, records in (("first", raw.filter("Year < '2023'")), ("second", late)):
+        feed.as_feed_documents(records, per_document=200).write.json(f"{base}/{name}")
+        bulk_import.start_import(
+            spark, f"{base}/{name}", f"{base}/table", f"{base}/rejects", f"{base}/checkpoint-{name}",
+            multiline=False).awaitTermination()
     return store.current(spark, f"{base}/table")
 
 

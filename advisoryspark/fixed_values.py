@@ -134,10 +134,8 @@ DEFAULT_OS = "Cross-Platform"
 RESEARCH_OS = "Unknown"
 DEFAULT_SCORE = 0.0
 FALLBACK_PREDICTED_SCORE = 5.0
-SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN"]
 THREAT_STATES = ["Low Threat", "Medium Threat", "High Threat"]
 ZERO_SHOT_LABELS = ["critical severity", "high severity", "medium severity", "low severity"]
-NEWS_LABELS = ["World", "Sports", "Business", "Sci/Tech"]
 
 # Id formats.
 ID_FORMAT = r"^CVE-\d{4}-\d{4,}$"

@@ -100,12 +100,20 @@ def _summary(x: np.ndarray, model: dict, first: bool):
 
 
 def _expectations(scores: DataFrame, model: dict, first_chunk: int):
-    """Log likelihood and expected statistics of the whole sequence, in one pass."""
+    """Log likelihood and expected statistics of the whole sequence, in one pass.
+
+    A task may see its rows in any cut and from any number of files: each batch
+    is sorted by place and cut wherever a place is missing, and a stretch is
+    only composed with the one that ends right before it.
+    """
     def fold(batches):
         run = None  # chunk, first pos, next pos, summary
         for pdf in batches:
-            for chunk_id, part in pdf.groupby("chunk", sort=False):
-                x, start = part["CVSS_Score"].to_numpy(), int(part["pos"].iloc[0])
+            pdf = pdf.sort_values(["chunk", "pos"])
+            gap = (pdf["chunk"].diff() != 0) | (pdf["pos"].diff() != 1)
+            for _, part in pdf.groupby(gap.cumsum(), sort=False):
+                chunk_id, start = int(part["chunk"].iloc[0]), int(part["pos"].iloc[0])
+                x = part["CVSS_Score"].to_numpy()
                 here = _summary(x, model, chunk_id == first_chunk and start == 0)
                 if run and run[0] == chunk_id and run[2] == start:
                     run = (chunk_id, run[1], start + len(x), _compose(run[3], here))
@@ -121,11 +129,10 @@ def _expectations(scores: DataFrame, model: dict, first_chunk: int):
         return pd.DataFrame({"chunk": [run[0]], "pos": [run[1]], "w": [w.ravel()], "s": [s.ravel()], "c": [c]})
 
     runs = scores.mapInPandas(fold, "chunk int, pos long, w array<double>, s array<double>, c double")
-    # One row per task and chunk.
-    ordered = runs.toPandas().sort_values(["chunk", "pos"])
+    # One row for each stretch of consecutive rows a task has read.
     total = None
-    for w, s, c in zip(ordered["w"], ordered["s"], ordered["c"]):
-        part = (w.reshape(STATES, STATES), s.reshape(_STATS, STATES, STATES), c)
+    for row in sorted(runs.collect(), key=lambda r: (r["chunk"], r["pos"])):
+        part = (np.reshape(row["w"], (STATES, STATES)), np.reshape(row["s"], (_STATS, STATES, STATES)), row["c"])
         total = part if total is None else _compose(total, part)
     # Any state before the first row gives the same start.
     mass = total[0][0].sum()
@@ -134,15 +141,17 @@ def _expectations(scores: DataFrame, model: dict, first_chunk: int):
 
 def start_model(scores: DataFrame) -> dict:
     """Means at the middle of each third of the scores, common variance, even transitions."""
-    stats = scores.agg(
-        F.percentile_approx("CVSS_Score", [1 / 6, 1 / 2, 5 / 6], 10000).alias("q"),
-        F.var_pop("CVSS_Score").alias("v"), F.count(F.lit(1)).alias("n")).first()
-    spread = max(np.sqrt(stats["v"]), 0.1)
-    means = list(stats["q"])
+    # Exact quantiles from the counts per score, of which there are about a hundred.
+    counts = sorted((r["CVSS_Score"], r["count"]) for r in scores.groupBy("CVSS_Score").count().collect())
+    values, weights = np.array(counts, float).T
+    variance = float(np.average((values - np.average(values, weights=weights)) ** 2, weights=weights))
+    reached = np.cumsum(weights) / weights.sum()
+    means = [float(values[np.searchsorted(reached, q - 1e-12)]) for q in (1 / 6, 1 / 2, 5 / 6)]
+    spread = max(np.sqrt(variance), 0.1)
     if len(set(means)) < STATES:  # few distinct scores: keep the states apart
         means = [means[1] - spread, means[1], means[1] + spread]
     even = [1 / STATES] * STATES
-    return {"means": means, "variances": [float(stats["v"]) + VARIANCE_PRIOR] * STATES,
+    return {"means": means, "variances": [variance + VARIANCE_PRIOR] * STATES,
             "transmat": [even] * STATES, "startprob": even}
 
 
@@ -167,6 +176,13 @@ def fit(rows: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance: float
         scores.unpersist()
 
 
+def em_step(rows: DataFrame, model: dict) -> dict:
+    """The model after one Baum-Welch step, with the log likelihood of the one before."""
+    first_chunk = rows.agg(F.min("chunk")).first()[0]
+    likelihood, stats = _expectations(rows.select("chunk", "pos", "CVSS_Score"), model, first_chunk)
+    return {**_maximise(stats), "log_likelihood": [float(likelihood)]}
+
+
 def _maximise(stats: np.ndarray) -> dict:
     count, total, squares = stats[0:3], stats[3:6], stats[6:9]
     moves = stats[9:].reshape(STATES, STATES)

@@ -1,15 +1,14 @@
 """Search, filters, paging and lookup over the enriched table."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from advisoryspark import fixed_values as fx
 from advisoryspark.functions.text import excerpt
-from advisoryspark.operators import sequence
 
 SEARCHED = ("CVE_ID", "Description", "Affected_Component")
 
-# Offsets up to here are served by a top-n; deeper pages by position.
-TOP_N_LIMIT = 10_000
-
 
 def search_predicate(term: str) -> Column:
     """Case-insensitive substring match in any searched column.
@@ -41,21 +40,27 @@ def filter_records(records: DataFrame, search: str = "", severity: str = "ALL",
 def page(records: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """Rows offset+1 .. offset+limit, newest year first, then id descending (text order).
 
-    A shallow page is a top-n per task and a small merge.  A deep page would
-    drag `offset` rows to one place, so it is cut by row position instead.
+    Rows that repeat an id follow a hash of all their columns, so the pages are
+    a cut of one fixed order.  Costs grow with `offset + limit`; to go through
+    a large result use `page_after`.
     """
-    if offset + limit <= TOP_N_LIMIT:
-        return records.orderBy(F.desc("Year"), F.desc("CVE_ID")).offset(offset).limit(limit)
-    newest_first = (F.desc("Year"), F.desc("CVE_ID"))
-    keys = sequence.ordered_rows(records, order=newest_first, columns=("CVE_ID", "Year"))
-    position = F.col("position")
-    wanted = (
-        sequence.with_position(keys)
-        .filter((position > offset) & (position <= offset + limit)).select("CVE_ID")
-    )
-    if limit <= TOP_N_LIMIT:
-        wanted = F.broadcast(wanted)
-    return records.join(wanted, "CVE_ID").select(*records.columns).orderBy(*newest_first)
+    return records.orderBy(*newest_first(records)).offset(offset).limit(limit)
+
+
+def newest_first(records: DataFrame) -> list[Column]:
+    return [F.desc("Year"), F.desc("CVE_ID"), F.xxhash64(*records.columns)]
+
+
+def page_after(records: DataFrame, limit: int = 100, year: str | None = None, cve_id: str | None = None) -> DataFrame:
+    """The `limit` rows that follow (year, cve_id), the last key of the page before; the first page without.
+
+    The key is a filter on the scan, so every page costs the same top-n.  Ids
+    are the table's unique key; rows that repeat the last id are passed by.
+    """
+    if year is not None:
+        after = (F.col("Year") < year) | ((F.col("Year") == year) & (F.col("CVE_ID") < cve_id))
+        records = records.filter(after)
+    return records.orderBy(*newest_first(records)).limit(limit)
 
 
 def page_envelope(matching: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
@@ -72,8 +77,11 @@ def page_envelope(matching: DataFrame, limit: int = 25, offset: int = 0) -> Data
 
 
 def lookup(records: DataFrame, cve_id: str) -> DataFrame:
-    """The record with exactly this id."""
-    return records.filter(F.col("CVE_ID") == cve_id.strip().upper())
+    """The record with exactly this id; a malformed id is refused."""
+    wanted = cve_id.strip().upper()
+    if not re.fullmatch(fx.ID_FORMAT, wanted):
+        raise ValueError(f"malformed id {cve_id!r}")
+    return records.filter(F.col("CVE_ID") == wanted)
 
 
 def head(records: DataFrame, n: int, order=("Year", "CVE_ID")) -> DataFrame:

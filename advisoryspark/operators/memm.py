@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from advisoryspark import fixed_values as fx
-from advisoryspark.functions.scores import one_hot_state, threat_state
+from advisoryspark.functions.scores import first_argmax, one_hot_state, threat_state
 from advisoryspark.operators import chain, evaluation, sequence
 from advisoryspark.session import materialize
 
@@ -86,14 +86,34 @@ def decode(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
 
 
 def what_if(decoded: DataFrame, model: LogisticRegressionModel, next_score: float = 8.5) -> DataFrame:
-    """Label and probability of each state for a given next score after the last row."""
-    last = decoded.agg(F.max_by("state", F.struct("chunk", "pos")).alias("current_state"))
+    """Label and probability of each state for a given next score after the last row,
+    with the share of rows whose decoded state is their true one."""
+    last = decoded.agg(F.max_by("state", F.struct("chunk", "pos")).alias("current_state"), decode_accuracy())
     row = _assembled(last.select(
-        "current_state", F.lit(float(next_score)).alias("CVSS_Score"), *one_hot_state(F.col("current_state"))))
+        "current_state", "accuracy", F.lit(float(next_score)).alias("CVSS_Score"), *one_hot_state(F.col("current_state"))))
     names = F.array(*[F.lit(s) for s in fx.THREAT_STATES])
     chances = vector_to_array("probability")
     return model.transform(row).select(
         "current_state", F.col("CVSS_Score").alias("simulated_cvss"),
         F.get(names, F.col("prediction").cast("int")).alias("predicted_next_state"),
-        F.map_from_arrays(F.slice(names, 1, F.size(chances)), chances).alias("probabilities"),
+        F.map_from_arrays(F.slice(names, 1, F.size(chances)), chances).alias("probabilities"), "accuracy",
     )
+
+
+def decode_accuracy() -> Column:
+    """Share of decoded rows whose state is their true state."""
+    return F.avg((F.col("state") == F.col("true_state")).cast("double")).alias("accuracy")
+
+
+def outlook(decoded: DataFrame, weights: np.ndarray, bias: np.ndarray, next_score: float = 8.5) -> DataFrame:
+    """The what-if result for given weights: state after the last row, its probability, decode accuracy."""
+    last = decoded.agg(F.max_by("state", F.struct("chunk", "pos")).alias("current_state"), decode_accuracy())
+    names = F.array(*[F.lit(s) for s in fx.THREAT_STATES])
+    per_state = F.array(*[F.array(*[F.lit(float(weights[k, 0] * next_score + weights[k, 1 + p] + bias[k]))
+                                    for k in range(3)]) for p in range(3)])
+    logits = F.get(per_state, (F.array_position(names, F.col("current_state")) - 1).cast("int"))
+    top = F.array_max(logits)
+    best = first_argmax(logits)
+    chance = 1 / F.aggregate(logits, F.lit(0.0), lambda total, x: total + F.exp(x - top))
+    return last.select("current_state", "accuracy", F.get(names, best).alias("predicted_next_state"),
+                       chance.alias("probability"))

@@ -33,14 +33,22 @@ def upsert(target: DataFrame, batch: DataFrame, order=("seq",), key: str = KEY)
 
 
 def insert_new(target: DataFrame, batch: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows of the batch whose key the target lacks.
+    """Rows of the batch whose key the target lacks: one anti join on the target's bare keys."""
+    return batch.join(target.select(key), key, "left_anti")
 
-    The target keys are cut down to those in the batch first: against a small
-    batch that is a filter inside the target scan, and a large target is never
-    shuffled or broadcast.
+
+#: Labels a broadcast table may hold.
+MAX_LABELS = 100_000
+
+
+def join_labels(records: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Records joined with a table of one row per label.
+
+    A label may hold a third of the records, so its table is broadcast where it
+    is small, which its rows are counted for; else Spark plans the join.
     """
-    present = target.select(key).join(batch.select(key), key, "left_semi")
-    return batch.join(present, key, "left_anti")
+    small = labels.limit(MAX_LABELS + 1).count() <= MAX_LABELS
+    return records.join(F.broadcast(labels) if small else labels, key)
 
 
 def attach_predictions(records: DataFrame, predictions: DataFrame, key: str = KEY) -> DataFrame:

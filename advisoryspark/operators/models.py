@@ -2,6 +2,7 @@
 
 import json
 import os
+import uuid
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -10,6 +11,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
@@ -18,11 +20,10 @@ from advisoryspark.session import materialize
 
 MIN_ROWS = 10
 
-# Small tables are fitted to the last row, with the deepest trees MLlib grows.  Beyond
-# that depth is bounded: at most 2**BOUNDED_DEPTH leaves a tree keep the model on the
-# driver and the split statistics small whatever the number of rows.
-SMALL_TABLE = 500
-FULL_DEPTH, BOUNDED_DEPTH = 30, 12
+# Model parameters of the forest, the same for every table.  A tree has at most
+# 2**MAX_DEPTH leaves, which bounds the model on the driver; a feature is split at
+# quantiles of its values, MAX_BINS of them, where an exact search would try each value.
+MAX_DEPTH, MAX_BINS = 12, 32
 
 
 def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
@@ -31,20 +32,20 @@ def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
         raise ValueError(f"need at least {at_least} records")
 
 
-def forest(trees: int, rows: int, max_depth: int | None = None, seed: int = 42, bins: int = 16) -> RandomForestRegressor:
+def forest(trees: int, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = 42) -> RandomForestRegressor:
     """Forest with all features at every split.
 
     Split statistics are kept per node, feature and bin, and dominate the cost
-    of deep trees; TF-IDF columns are mostly zero, so few bins lose nothing.
+    of deep trees.
     """
-    depth = max_depth or (FULL_DEPTH if rows <= SMALL_TABLE else BOUNDED_DEPTH)
     return RandomForestRegressor(
         labelCol="CVSS_Score", featuresCol="features", predictionCol="predicted",
-        numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="all", seed=seed,
+        numTrees=trees, maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy="all", seed=seed,
         maxMemoryInMB=1024, cacheNodeIds=True)
 
 
-def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int | None = None) -> PipelineModel:
+def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH,
+                    max_bins: int = MAX_BINS) -> PipelineModel:
     """Text to score: TF-IDF stages followed by the forest, one saveable pipeline.
 
     The vectors are written once; growing the trees reads them again per level.
@@ -52,7 +53,7 @@ def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int | None =
     check_enough(records)
     weighting = tfidf.fit(records)
     vectors = materialize(tfidf.features(weighting, records).select("CVSS_Score", "features"), "vectors")
-    trained = forest(trees, vectors.count(), max_depth).fit(vectors)
+    trained = forest(trees, max_depth, max_bins).fit(vectors)
     return PipelineModel([*weighting.stages, trained])
 
 
@@ -68,29 +69,40 @@ def score_errors(records: DataFrame, model: PipelineModel) -> DataFrame:
     return evaluation.regression_errors(model.transform(records), "CVSS_Score", "predicted")
 
 
-def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth: int | None = None) -> DataFrame:
-    """CVE_ID, CVSS_Score, fold and the prediction of a forest that did not see the row.
+def fold_numbers(records: DataFrame, folds: int = 3) -> DataFrame:
+    """CVE_ID and fold: contiguous stretches of the chronological order, the first ones a
+    row longer when the count does not divide; with fewer rows than folds all are in fold 0.
 
-    Folds are contiguous stretches of the chronological order, the first ones a
-    row longer when the count does not divide; fewer rows than folds fall back
-    to one fit on everything.  The TF-IDF stages are fitted on all rows.
+    Only ids and years are sorted.
     """
-    weighting = tfidf.fit(records)
-    vectors = tfidf.features(weighting, records).select("CVE_ID", "Year", "CVSS_Score", "features")
     n = records.count()
     if n < folds:
-        model = forest(trees, n, max_depth).fit(vectors)
-        return model.transform(vectors).select("CVE_ID", "CVSS_Score", F.lit(0).alias("fold"), "predicted")
+        return records.select("CVE_ID", F.lit(0).alias("fold"))
     size, extra = divmod(n, folds)
     index = F.col("position") - 1
     longer = extra * (size + 1)
     fold = F.when(index < longer, F.floor(index / (size + 1))).otherwise(
         extra + F.floor((index - longer) / size)).cast("int")
-    rows = sequence.with_position(sequence.ordered_rows(vectors)).withColumn("fold", fold)
-    rows = materialize(rows.select("CVE_ID", "CVSS_Score", "features", "fold"), "folds")
+    placed = sequence.with_position(sequence.ordered_rows(records, columns=("CVE_ID", "Year")))
+    return placed.select("CVE_ID", fold.alias("fold"))
+
+
+def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth: int = MAX_DEPTH,
+                max_bins: int = MAX_BINS) -> DataFrame:
+    """CVE_ID, CVSS_Score, fold and the prediction of a forest that did not see the row.
+
+    Fewer rows than folds fall back to one fit on everything.  The TF-IDF stages
+    are fitted on all rows.
+    """
+    weighting = tfidf.fit(records)
+    vectors = tfidf.features(weighting, records).select("CVE_ID", "CVSS_Score", "features")
+    rows = materialize(vectors.join(fold_numbers(records, folds), "CVE_ID"), "folds")
+    if records.limit(folds).count() < folds:
+        model = forest(trees, max_depth, max_bins).fit(rows)
+        return model.transform(rows).select("CVE_ID", "CVSS_Score", "fold", "predicted")
 
     def held_out(k: int) -> DataFrame:
-        model = forest(trees, n, max_depth).fit(rows.filter(F.col("fold") != k))
+        model = forest(trees, max_depth, max_bins).fit(rows.filter(F.col("fold") != k))
         return model.transform(rows.filter(F.col("fold") == k)).select(
             "CVE_ID", "CVSS_Score", "fold", "predicted")
 
@@ -100,7 +112,11 @@ def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth:
 
 
 def fit_text_classifier(labelled: DataFrame, label: str, size: int = 2000) -> PipelineModel:
-    """Description to category: TF-IDF and multinomial logistic regression."""
+    """Description to category: TF-IDF and multinomial logistic regression.
+
+    `size` is a parameter of the model: its features are the `size` most frequent
+    terms of the labelled texts, and rarer terms have no weight.
+    """
     weighting = tfidf.fit(labelled, size)
     vectors = materialize(tfidf.features(weighting, labelled).select(
         F.col(label).cast("string").alias(label), "features"), "labelled")
@@ -112,11 +128,14 @@ def fit_text_classifier(labelled: DataFrame, label: str, size: int = 2000) -> Pi
 
 
 def classify(records: DataFrame, model: PipelineModel) -> DataFrame:
-    """Records with the category and the probability of it, three digits."""
+    """Records with the category and the probability of it, three digits.
+
+    A model that gives no probability vector gives `category_confidence` itself.
+    """
     scored = tfidf.features(model, records)
-    confidence = F.round(F.array_max(vector_to_array("probability")), 3)
-    return scored.withColumn("category_confidence", confidence).drop(
-        "features", "rawPrediction", "probability", "prediction")
+    if "probability" in scored.columns:
+        scored = scored.withColumn("category_confidence", F.round(F.array_max(vector_to_array("probability")), 3))
+    return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
 # --- all models together ---------------------------------------------------------
@@ -124,7 +143,7 @@ def classify(records: DataFrame, model: PipelineModel) -> DataFrame:
 METRICS = "rf_mae double, rf_rmse double, hmm_means array<double>, hmm_transition_mat array<array<double>>, memm_accuracy double"
 
 
-def train_all(records: DataFrame, trees: int = 50, max_depth: int | None = None) -> dict:
+def train_all(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH) -> dict:
     """Fit every model on the table: score pipeline, HMM, MEMM and a one-row metrics frame."""
     check_enough(records)
     score_model = fit_score_model(records, trees, max_depth)
@@ -139,32 +158,48 @@ def train_all(records: DataFrame, trees: int = 50, max_depth: int | None = None)
 
 
 def save(models: dict, path: str) -> None:
-    """Write the four models' files and the metrics; the metrics go last and mark a complete set."""
-    models["score"].write().overwrite().save(os.path.join(path, "score"))
-    models["memm"].write().overwrite().save(os.path.join(path, "memm"))
+    """Write the set into a folder of its own and then publish it by one new pointer file.
+
+    A crash leaves the set published before; readers never see parts of two sets.
+    """
     spark = models["metrics"].sparkSession
+    published = _published(spark, path)
+    version = f"{(int(published.split('-')[0]) if published else 0) + 1:06d}-{uuid.uuid4().hex}"
+    own = os.path.join(path, "sets", version)
+    models["score"].write().save(os.path.join(own, "score"))
+    models["memm"].write().save(os.path.join(own, "memm"))
     hidden = spark.createDataFrame([(json.dumps(models["hmm"]),)], "parameters string")
-    hidden.coalesce(1).write.mode("overwrite").json(os.path.join(path, "hmm"))
-    models["metrics"].coalesce(1).write.mode("overwrite").json(os.path.join(path, "metrics"))
+    hidden.coalesce(1).write.json(os.path.join(own, "hmm"))
+    models["metrics"].coalesce(1).write.json(os.path.join(own, "metrics"))
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(
+        os.path.join(path, "published"))
 
 
-def load(spark: SparkSession, path: str) -> dict | None:
-    """The saved set, or None unless all of it is there."""
+def _published(spark: SparkSession, path: str) -> str | None:
+    """Name of the newest published set; the number in front grows with every save."""
     try:
-        metrics = spark.read.schema(METRICS).json(os.path.join(path, "metrics"))
-        hidden = spark.read.schema("parameters string").json(os.path.join(path, "hmm")).first()
-        return {
-            "score": PipelineModel.load(os.path.join(path, "score")),
-            "memm": LogisticRegressionModel.load(os.path.join(path, "memm")),
-            "hmm": json.loads(hidden["parameters"]),
-            "metrics": metrics,
-        }
-    except Exception as error:  # a missing part surfaces as an analysis or a Java error
-        if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
+        return spark.read.schema("version string").json(os.path.join(path, "published")).agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
             return None
         raise
 
 
+def load(spark: SparkSession, path: str) -> dict | None:
+    """The set published last, or None if there is none."""
+    version = _published(spark, path)
+    if version is None:
+        return None
+    own = os.path.join(path, "sets", version)
+    hidden = spark.read.schema("parameters string").json(os.path.join(own, "hmm")).first()
+    return {
+        "score": PipelineModel.load(os.path.join(own, "score")),
+        "memm": LogisticRegressionModel.load(os.path.join(own, "memm")),
+        "hmm": json.loads(hidden["parameters"]),
+        "metrics": spark.read.schema(METRICS).json(os.path.join(own, "metrics")),
+    }
+
+
 def load_or_train(records: DataFrame, path: str, **options) -> dict:
     found = load(records.sparkSession, path)
     if found is None:

@@ -14,6 +14,8 @@ from advisoryspark.session import materialize
 
 # Bits of monotonically_increasing_id that count the rows of one partition.
 _ROW_BITS = 33
+# Rows of a chunk that one window holds.
+SEGMENT = 100_000
 
 
 def ordered_rows(df: DataFrame, order=("Year", "CVE_ID"), columns=None) -> DataFrame:
@@ -50,19 +52,27 @@ def with_position(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_previous(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Value of the row before in the whole sequence; null for the first row."""
+def with_previous(rows: DataFrame, value: str, name: str, segment: int = SEGMENT) -> DataFrame:
+    """Value of the row before in the whole sequence; null for the first row.
+
+    A chunk is cut into segments of `segment` rows, and the last row of each is
+    also handed to the next one, so a window holds a segment whatever the size
+    of a chunk.  The last row of a chunk goes to the first segment of the next.
+    """
     by_chunk = Window.partitionBy(F.lit(1)).orderBy("chunk")  # one row per chunk
-    sizes = F.broadcast(_chunk_sizes(rows).withColumnRenamed("chunk", "_chunk"))
-    last_rows = rows.join(sizes, (F.col("chunk") == F.col("_chunk")) & (F.col("pos") == F.col("n") - 1))
-    edges = last_rows.select("chunk", F.lag(value).over(by_chunk).alias("value_before"))
-    within = F.lag(value).over(Window.partitionBy("chunk").orderBy("pos"))
-    return (
-        rows.withColumn(name, within)
-        .join(F.broadcast(edges), "chunk")
-        .withColumn(name, F.when(F.col("pos") == 0, F.col("value_before")).otherwise(F.col(name)))
-        .drop("value_before")
-    )
+    chunks = _chunk_sizes(rows).select(F.col("chunk").alias("_chunk"), F.col("n").alias("_n"),
+                                       F.lead("chunk").over(by_chunk).alias("_next"))
+    here = F.struct(F.col("chunk").alias("c"), F.floor(F.col("pos") / segment).alias("s"), F.col("pos").alias("p"),
+                    F.lit(False).alias("handed"))
+    last = F.col("pos") == F.col("_n") - 1
+    onward = F.struct(F.when(last, F.col("_next")).otherwise(F.col("chunk")).alias("c"),
+                      F.when(last, 0).otherwise(F.floor((F.col("pos") + 1) / segment)).alias("s"),
+                      F.when(last, -1).otherwise(F.col("pos")).alias("p"), F.lit(True).alias("handed"))
+    places = F.when(last | (F.col("pos") % segment == segment - 1), F.array(here, onward)).otherwise(F.array(here))
+    placed = (rows.join(F.broadcast(chunks), F.col("chunk") == F.col("_chunk"))
+              .withColumn("_place", F.explode(places)).filter("_place.c IS NOT NULL"))
+    before = F.lag(value).over(Window.partitionBy("_place.c", "_place.s").orderBy("_place.p"))
+    return placed.withColumn(name, before).filter("NOT _place.handed").select(*rows.columns, name)
 
 
 def state_rows(records: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def vocabulary(cleaned: DataFrame, size: int = MAX_FEATURES, column: str = "Clea
 
 def fit(records: DataFrame, size: int = MAX_FEATURES) -> PipelineModel:
     """Pipeline from Description to the unit-length `features` vector; weighting a text needs no shuffle."""
-    cleaned = records.select(clean_text(F.col("Description")).alias("Cleaned_Description"))
+    kept = F.col("Cleaned_Description") if "Cleaned_Description" in records.columns else clean_text(F.col("Description"))
+    cleaned = records.select(kept.alias("Cleaned_Description"))
     chosen = sorted(vocabulary(cleaned, size).collect(), key=lambda r: (-r["total"], r["term"]))
     n = records.count()
     idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in chosen]

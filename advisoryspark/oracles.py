@@ -220,7 +220,126 @@ UNION ALL SELECT 'year', Year, count(*), NULL FROM tab GROUP BY ALL
 UNION ALL (SELECT 'component', Affected_Component, count(*) AS c, NULL FROM tab GROUP BY ALL
 ORDER BY c DESC, Affected_Component LIMIT 10)"""
 
+_GREEDY = f""",
+par AS (
+  SELECT {", ".join(f"coalesce((SELECT la FROM mv WHERE p = {i} AND s = {j}), '-Infinity'::DOUBLE) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
+         {", ".join(f"(SELECT m FROM mom WHERE s = {j}) AS m{j}" for j in (1, 2, 3))},
+         (SELECT sum(exp(lp) * v) FROM mom) AS v),
+path(t, k) AS (
+  SELECT t, s FROM seq WHERE t = 1
+  UNION ALL
+  SELECT t, CASE greatest(l1, l2, l3) WHEN l1 THEN 1 WHEN l2 THEN 2 ELSE 3 END FROM (
+    SELECT seq.t, {", ".join(f"m{j} / v * x + CASE k WHEN 1 THEN a1{j} WHEN 2 THEN a2{j} ELSE a3{j} END - m{j} ** 2 / (2 * v) AS l{j}" for j in (1, 2, 3))}
+    FROM path JOIN seq ON seq.t = path.t + 1, par))"""
+
+
+def _folded(n: int) -> str:
+    """List of n sums over the whole embedding, value i counting for sum i modulo n."""
+    return (f"[CAST(coalesce(list_sum([CAST(round(CAST(embedding[i] AS DOUBLE) * 1000000) AS BIGINT) "
+            f"FOR i IN range(1, len(embedding) + 1) IF (i - 1) % {n} = k]), 0) AS DOUBLE) / 1000000 FOR k IN range({n})]")
+
+
+def _em_step() -> str:
+    """Forward-backward over the sequence from the start model, then the new parameters."""
+    j3, ij = (1, 2, 3), [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+    return RAW + f""",
+seq AS (SELECT CVSS_Score AS x, row_number() OVER (ORDER BY Year, CVE_ID) AS t FROM raw),
+ranked AS (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM seq),
+par AS (
+  SELECT {", ".join(f"min(x) FILTER (r >= n * {q}.0 / 6 - 1e-9) AS m{j}" for j, q in zip(j3, (1, 3, 5)))},
+         var_pop(x) + 0.01 AS v FROM ranked),
+dens AS (
+  SELECT t, x, {", ".join(f"exp(-0.5 * (x - m{j}) ** 2 / v) / sqrt(2 * pi() * v) AS b{j}" for j in j3)} FROM seq, par),
+fw(t, f1, f2, f3, c) AS (
+  SELECT t, b1 / (b1 + b2 + b3), b2 / (b1 + b2 + b3), b3 / (b1 + b2 + b3), (b1 + b2 + b3) / 3 FROM dens WHERE t = 1
+  UNION ALL
+  SELECT d.t, b1 / (b1 + b2 + b3), b2 / (b1 + b2 + b3), b3 / (b1 + b2 + b3), (f1 + f2 + f3) * (b1 + b2 + b3) / 3
+  FROM fw JOIN dens d ON d.t = fw.t + 1),
+bw(t, g1, g2, g3) AS (
+  SELECT max(t), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM dens
+  UNION ALL
+  SELECT bw.t - 1, {", ".join("(b1 * g1 + b2 * g2 + b3 * g3) / 3 / c" for _ in j3)}
+  FROM bw JOIN dens d USING (t) JOIN fw USING (t) WHERE bw.t > 1),
+both_ways AS (SELECT t, x, {", ".join(f"b{j}, f{j}, g{j}, f{j} * g{j} AS w{j}" for j in j3)}, c
+  FROM dens JOIN fw USING (t) JOIN bw USING (t)),
+moved AS (SELECT *, {", ".join(f"lag(f{j}) OVER (ORDER BY t) AS p{j}" for j in j3)} FROM both_ways),
+sums AS (
+  SELECT {", ".join(f"sum(w{j}) AS n{j}, sum(w{j} * x) AS s{j}, sum(w{j} * x * x) AS q{j}" for j in j3)},
+         {", ".join(f"sum(p{i} / 3 * b{j} * g{j} / c) AS k{i}{j}" for i, j in ij)}, sum(ln(c)) AS ll,
+         {", ".join(f"max(w{j}) FILTER (t = 1) AS a{j}" for j in j3)} FROM moved)"""
+
+
+_EM_RESULT = "SELECT " + ", ".join(
+    [f"round(s{j} / n{j}, 6) AS means_{j - 1}" for j in (1, 2, 3)]
+    + [f"round((0.01 + q{j} - n{j} * (s{j} / n{j}) ** 2) / n{j}, 6) AS variances_{j - 1}" for j in (1, 2, 3)]
+    + [f"round(a{j} / (a1 + a2 + a3), 6) AS startprob_{j - 1}" for j in (1, 2, 3)]
+    + [f"round(k{i}{j} / (k{i}1 + k{i}2 + k{i}3), 6) AS transmat_{3 * i + j - 4}" for i in (1, 2, 3) for j in (1, 2, 3)]
+    + ["round(ll, 6) AS log_likelihood FROM sums"])
+
+_MODELLED = TAB + f""",
+means AS (SELECT CWE, round(avg(CVSS_Score), 1) AS p FROM raw GROUP BY CWE),
+mod AS (
+  SELECT doc_id, CVE_ID, Year, Description, p, {_severity('p')} AS Predicted_Severity,
+         round(1 - least(0.4::DOUBLE, abs(CVSS_Score - p) / 10), 2) AS Severity_Confidence,
+         CASE WHEN length(Description) > 1000 THEN 'LABEL_1' ELSE 'LABEL_0' END AS BERT_Category,
+         round(length(Description) / (length(Description) + 1000), 3) AS BERT_Confidence
+  FROM tab JOIN means USING (CWE)),
+guessed AS (
+  SELECT CVE_ID, v FROM (SELECT CVE_ID, [n / (1 + list_sum(c)) FOR n IN c] AS v FROM (
+    SELECT CVE_ID, [(length(lo) - length(replace(lo, word, ''))) // length(word)
+                    FOR word IN ['critical', 'high', 'medium', 'low']] AS c FROM low)))"""
+_GUESS = """list_extract(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], list_position(v, list_max(v)))"""
+_LOW_IDS = "SELECT doc_id FROM labels WHERE quality = 0"
+
 ORACLES = {
+    "hmm_em_step": _rec(_em_step(), _EM_RESULT),
+    "enrich_models": _with(_MODELLED, "SELECT CVE_ID, Predicted_Severity, Severity_Confidence, BERT_Category, BERT_Confidence FROM mod"),
+    "lookup_models": _with(_MODELLED, f"""SELECT CVE_ID, CASE WHEN fresh THEN 'feed' ELSE 'local_database' END AS source,
+CASE WHEN fresh THEN Predicted_Severity ELSE 'MEDIUM' END AS Predicted_Severity,
+CASE WHEN fresh THEN BERT_Category ELSE 'N/A' END AS BERT_Category,
+CASE WHEN fresh THEN {_GUESS} END AS zero_shot_severity, CASE WHEN fresh THEN round(list_max(v), 3) END AS zero_shot_confidence
+FROM (SELECT *, doc_id IN ({_LOW_IDS}) AS fresh FROM mod JOIN guessed USING (CVE_ID))"""),
+    "lookup_stored": _with(_MODELLED, f"""SELECT CVE_ID, CASE WHEN fresh THEN 'feed' ELSE 'local_database' END AS source,
+CASE WHEN fresh THEN Predicted_Severity ELSE 'MEDIUM' END AS Predicted_Severity
+FROM (SELECT *, doc_id IN ({_LOW_IDS}) AS fresh FROM mod)"""),
+    "pages_by_key": _with(TAB, """SELECT CVE_ID, Year FROM tab
+WHERE CVE_ID ILIKE '%kernel%' OR Description ILIKE '%kernel%' OR Affected_Component ILIKE '%kernel%'
+ORDER BY Year DESC, CVE_ID DESC LIMIT 25 OFFSET 25"""),
+    "head_rows": _with(TAB, "SELECT CVE_ID, Year, Impact FROM tab ORDER BY Year, CVE_ID LIMIT 50"),
+    "seeded_table": _with(TAB, f"""SELECT True_Severity, count(*) AS n FROM (
+  SELECT CVE_ID, True_Severity FROM tab
+  UNION ALL SELECT CVE_ID, True_Severity FROM (VALUES {", ".join(f"({_text(r[0])}, {_text(r[-1])})" for r in fx.SEED_RECORDS)})
+    s(CVE_ID, True_Severity) WHERE CVE_ID NOT IN (SELECT CVE_ID FROM tab)) GROUP BY ALL"""),
+    "reset_table": _with(TAB, f"""SELECT CVE_ID, Year FROM tab
+WHERE CVE_ID NOT IN ({", ".join(_text(r[0]) for r in fx.SEED_RECORDS)})"""),
+    "older_table": _with(TAB, "SELECT CVE_ID, Impact, NULL::VARCHAR AS BERT_Category, NULL::DOUBLE AS BERT_Confidence FROM tab"),
+    "prediction_log": _with(_MODELLED, """SELECT 'v1' AS model_version, 'MEDIUM' AS Predicted_Severity, count(*) AS n FROM tab
+UNION ALL SELECT 'v2', Predicted_Severity, count(*) FROM mod GROUP BY ALL"""),
+    "oof_folds": _with(TAB, """SELECT CVE_ID, CAST(CASE WHEN i < extra * (size + 1) THEN i // (size + 1)
+  ELSE extra + (i - extra * (size + 1)) // size END AS INT) AS fold
+FROM (SELECT CVE_ID, row_number() OVER (ORDER BY Year, CVE_ID) - 1 AS i, count(*) OVER () // 3 AS size,
+             count(*) OVER () % 3 AS extra FROM tab)"""),
+    "rf_score_range": _with(TAB, "SELECT CVE_ID, true AS score_fits, true AS severity_fits, true AS confidence_fits FROM tab"),
+    "text_classifier_range": _with(TAB, "SELECT CVE_ID, true AS label_fits, true AS confidence_fits FROM tab"),
+    "record_report_models": _with(_MODELLED, f"""SELECT CVE_ID AS cve_id, BERT_Category AS bert_category,
+BERT_Confidence AS bert_confidence, {_GUESS} AS zero_shot_severity, round(list_max(v), 3) AS zero_shot_confidence,
+p AS rf_predicted_cvss, Predicted_Severity AS rf_predicted_severity
+FROM mod JOIN guessed USING (CVE_ID) WHERE CVE_ID = 'CVE-2019-1007'"""),
+    "tfidf_unseen": _with(TAB + """,
+terms AS (
+  SELECT CVE_ID, Year, term, count(*) AS tf
+  FROM (SELECT CVE_ID, Year, unnest(string_split(Cleaned_Description, ' ')) AS term FROM tab)
+  WHERE length(term) >= 2 GROUP BY ALL),
+vocab AS (
+  SELECT term, count(*) AS df, sum(tf) AS total FROM terms WHERE Year < '2023' GROUP BY term
+  ORDER BY total DESC, term LIMIT 100),
+w AS (
+  SELECT CVE_ID, term, tf * (ln((1 + (SELECT count(*) FROM tab WHERE Year < '2023')) / (1 + df)) + 1) AS v
+  FROM terms JOIN vocab USING (term) WHERE Year >= '2023')""",
+        """SELECT CVE_ID, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY CVE_ID)), 6) AS weight FROM w"""),
+    "feed_fallbacks": _with(RAW, f"""SELECT CVE_ID, CASE WHEN k = 9 THEN {_text(fx.DEFAULT_DESCRIPTION)} ELSE Description END AS Description,
+CASE WHEN k < 4 THEN CVSS_Score WHEN k < 6 THEN CVSS_Score + 0.25 WHEN k < 8 THEN CVSS_Score + 0.5 ELSE 0 END AS CVSS_Score,
+CASE WHEN k % 2 = 0 THEN CWE ELSE 'N/A' END AS CWE FROM (SELECT *, CAST(right(CVE_ID, 1) AS INT) AS k FROM raw)"""),
     "clean_text": _with(RAW, f"SELECT CVE_ID, {_CLEAN} AS Cleaned_Description FROM low"),
     "token_stats": _with(RAW, f"""SELECT OS, count(*) AS n, CAST(sum(c) AS BIGINT) AS tokens, CAST(max(c) AS BIGINT) AS longest,
 round(avg(c), 4) AS mean_tokens
@@ -253,10 +372,10 @@ CASE WHEN ok THEN CAST(confidence AS DOUBLE) END AS confidence, CASE WHEN ok THE
 FROM (SELECT *, CWE <> 'N/A' AS ok FROM pred)"""),
     "report_excerpts": _with(TAB, """SELECT CVE_ID, substr(Description, 1, 120) || '...' AS raw_excerpt,
 substr(Cleaned_Description, 1, 120) || '...' AS cleaned_excerpt FROM tab"""),
-    "zero_shot_labels": """SELECT vec_id, upper(replace(list_extract(['critical severity', 'high severity', 'medium severity',
+    "zero_shot_labels": f"""SELECT vec_id, upper(replace(list_extract(['critical severity', 'high severity', 'medium severity',
 'low severity'], list_position(four, list_max(four))), ' severity', '')) AS label,
-round(CAST(list_max(four) AS DOUBLE), 3) AS score
-FROM (SELECT vec_id, embedding[1:4] AS four FROM embeddings)""",
+round(list_max(four), 3) AS score
+FROM (SELECT vec_id, {_folded(4)} AS four FROM embeddings)""",
     "enrich_rules": _with(TAB, "SELECT * EXCLUDE (doc_id) FROM tab"),
     "research_storage": _count("Exploit_Type"),
     "lookup_with_source": _with(TARGET, """SELECT CVE_ID, Exploit_Type, True_Severity,
@@ -350,7 +469,7 @@ w AS (
   SELECT CVE_ID, term, tf * (ln((1 + (SELECT count(*) FROM tab)) / (1 + df)) + 1) AS v
   FROM terms JOIN vocab USING (term))""",
         """SELECT CVE_ID, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY CVE_ID)), 6) AS weight FROM w"""),
-    "latest_predictions": _with(TAB, """SELECT CVE_ID, Year, Predicted_Severity, Severity_Confidence FROM tab
+    "latest_predictions": _with(_MODELLED, """SELECT CVE_ID, Year, Predicted_Severity, Severity_Confidence FROM mod
 WHERE Predicted_Severity = 'MEDIUM' ORDER BY Year DESC, CVE_ID DESC LIMIT 50"""),
     "status_report": _with(TAB + f""",
 errors AS (
@@ -384,7 +503,8 @@ vocab AS (
 ids AS (
   SELECT CVE_ID, list(coalesce(token_id, 1) ORDER BY place) AS ids
   FROM words LEFT JOIN vocab USING (token) WHERE place <= 128 GROUP BY CVE_ID)""",
-        """SELECT CVE_ID, array_to_string(list_resize(ids, 128, 0), ' ') AS input_ids,
+        """SELECT CVE_ID, CAST(len(list_filter(ids, lambda i: i = 1)) AS INT) AS n_unknown,
+array_to_string(list_resize(ids, 128, 0), ' ') AS input_ids,
 array_to_string(list_resize([1 FOR i IN ids], 128, 0), ' ') AS attention_mask FROM ids"""),
     "hmm_path_observed": _rec(_OBSERVED + f""",
 par AS (
@@ -407,22 +527,11 @@ path(t, s) AS (
   FROM path JOIN fw ON fw.t = path.t WHERE fw.t > 1)""",
         """SELECT CVE_ID AS cve_id, x AS cvss, Year AS year,
 list_extract(['Low Threat', 'Medium Threat', 'High Threat'], path.s) AS state FROM path JOIN seq USING (t)"""),
-    "memm_path_observed": _rec(_OBSERVED + f""",
-par AS (
-  SELECT {", ".join(f"coalesce((SELECT la FROM mv WHERE p = {i} AND s = {j}), '-Infinity'::DOUBLE) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
-         {", ".join(f"(SELECT m FROM mom WHERE s = {j}) AS m{j}" for j in (1, 2, 3))},
-         (SELECT sum(exp(lp) * v) FROM mom) AS v),
-path(t, k) AS (
-  SELECT t, s FROM seq WHERE t = 1
-  UNION ALL
-  SELECT t, CASE greatest(l1, l2, l3) WHEN l1 THEN 1 WHEN l2 THEN 2 ELSE 3 END FROM (
-    SELECT seq.t, {", ".join(f"m{j} / v * x + CASE k WHEN 1 THEN a1{j} WHEN 2 THEN a2{j} ELSE a3{j} END - m{j} ** 2 / (2 * v) AS l{j}" for j in (1, 2, 3))}
-    FROM path JOIN seq ON seq.t = path.t + 1, par))""",
+    "memm_path_observed": _rec(_OBSERVED + _GREEDY,
         """SELECT CVE_ID, list_extract(['Low Threat', 'Medium Threat', 'High Threat'], s) AS true_state,
 list_extract(['Low Threat', 'Medium Threat', 'High Threat'], k) AS state FROM path JOIN seq USING (t)"""),
-    "hmm_state_order": """WITH e AS (
-  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:15]] AS p,
-         [q.i FOR q IN list_sort([{'m': embedding[k], 'i': k - 1} FOR k IN [1, 2, 3]])] AS o FROM embeddings),
+    "hmm_state_order": "WITH f AS (SELECT vec_id, " + _folded(15) + """ AS p FROM embeddings), e AS (
+  SELECT vec_id, p, [q.i FOR q IN list_sort([{'m': p[k], 'i': k - 1} FOR k IN [1, 2, 3]])] AS o FROM f),
 r AS (
   SELECT vec_id, o, p, [p[6 + 3 * o[1] + o[k] + 1] FOR k IN [1, 2, 3]] AS low_row FROM e),
 b AS (SELECT *, list_position(low_row, list_max(low_row)) AS best FROM r)
@@ -431,7 +540,20 @@ SELECT vec_id, array_to_string(o, ' ') AS state_order, round(p[o[1] + 1], 6) AS
   list_extract(['Low Threat', 'Medium Threat', 'High Threat'], best) AS predicted_next_state,
   round(list_max(low_row), 6) AS probability, round(p[o[best] + 1], 6) AS expected_next_cvss FROM b""",
     "feed_records": _with(RAW, "SELECT CVE_ID, Description, Year, CVSS_Score, CWE, 'Cross-Platform' AS OS FROM raw"),
-    "stream_import": _with(TAB, "SELECT * EXCLUDE (doc_id) REPLACE ('Cross-Platform' AS OS) FROM tab"),
+    "stream_import": _with(TAB, f"""SELECT * EXCLUDE (doc_id) REPLACE ('Cross-Platform' AS OS,
+CASE WHEN Year < '2023' THEN CVSS_Score ELSE 1.5 END AS CVSS_Score,
+CASE WHEN Year < '2023' THEN True_Severity ELSE {_severity('1.5::DOUBLE')} END AS True_Severity,
+CASE WHEN Year < '2023' THEN Severity_Confidence ELSE round(1 - least(0.4::DOUBLE, abs(1.5 - 5.0::DOUBLE) / 10), 2) END
+  AS Severity_Confidence) FROM tab"""),
+    "memm_outlook_observed": _rec(_OBSERVED + _GREEDY + """,
+last AS (SELECT k FROM path WHERE t = (SELECT max(t) FROM path)),
+lg AS (SELECT k, """ + ", ".join(f"m{j} / v * 8.5 + CASE k WHEN 1 THEN a1{j} WHEN 2 THEN a2{j} ELSE a3{j} END - m{j} ** 2 / (2 * v) AS l{j}"
+                            for j in (1, 2, 3)) + """ FROM last, par)""",
+        """SELECT list_extract(['Low Threat', 'Medium Threat', 'High Threat'], k) AS current_state,
+list_extract(['Low Threat', 'Medium Threat', 'High Threat'],
+  CASE greatest(l1, l2, l3) WHEN l1 THEN 1 WHEN l2 THEN 2 ELSE 3 END) AS predicted_next_state,
+round(1 / (exp(l1 - greatest(l1, l2, l3)) + exp(l2 - greatest(l1, l2, l3)) + exp(l3 - greatest(l1, l2, l3))), 6) AS probability,
+(SELECT round(avg(CAST(path.k = s AS INT)), 6) FROM path JOIN seq USING (t)) AS accuracy FROM lg"""),
     "stream_severity_counts": _count("True_Severity"),
     "csv_export": _with(TAB, """SELECT CVE_ID, Year, CVSS_Score, True_Severity AS Severity, Exploit_Type AS Exploit,
 Affected_Component AS Component, Description FROM tab WHERE True_Severity = 'CRITICAL'"""),

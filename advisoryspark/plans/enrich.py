@@ -1,9 +1,11 @@
 """Raw records to the enriched 15-column table, in one projection."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml import Transformer
+from pyspark.sql import DataFrame, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.functions import scores, text
+from advisoryspark.operators import models
 from advisoryspark.schemas import TABLE_COLUMNS
 
 
@@ -28,19 +30,23 @@ def with_rule_labels(raw: DataFrame, ruleset: str = "current") -> DataFrame:
     )
 
 
-def enrich(raw: DataFrame, predicted_score: Column | None = None,
-           category: Column | None = None, category_confidence: Column | None = None,
+def enrich(raw: DataFrame, score_model: Transformer | None = None, category_model: Transformer | None = None,
            ruleset: str = "current") -> DataFrame:
     """Whole enriched row.
 
-    Without a score model the predicted score falls back to its default; without
-    a category model the category columns keep theirs.
+    `score_model` adds a column `predicted` (as the score pipeline does) and
+    `category_model` adds `category` and `probability` or `category_confidence`;
+    both run as transforms in the same pass.  Without a score model the predicted
+    score falls back to its default; without a category model the category
+    columns keep theirs.
     """
-    predicted = F.lit(fx.FALLBACK_PREDICTED_SCORE) if predicted_score is None else predicted_score
-    labelled = with_rule_labels(raw, ruleset)
-    return labelled.withColumns({
+    scored = models.predict_scores(with_rule_labels(raw, ruleset), score_model)
+    if category_model is not None:
+        scored = models.classify(scored, category_model)
+    predicted = F.col("predicted")
+    return scored.withColumns({
         "Predicted_Severity": scores.severity(predicted),
         "Severity_Confidence": scores.confidence(F.col("CVSS_Score"), predicted),
-        "BERT_Category": F.lit("N/A") if category is None else category,
-        "BERT_Confidence": F.lit(0.0) if category_confidence is None else category_confidence,
+        "BERT_Category": F.lit("N/A") if category_model is None else F.col("category"),
+        "BERT_Confidence": F.lit(0.0) if category_model is None else F.col("category_confidence"),
     }).select(*TABLE_COLUMNS)

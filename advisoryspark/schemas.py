@@ -2,15 +2,6 @@
 
 from pyspark.sql import types as T
 
-RECORD_SCHEMA = T.StructType([
-    T.StructField("CVE_ID", T.StringType()),
-    T.StructField("Description", T.StringType()),
-    T.StructField("Year", T.StringType()),
-    T.StructField("CVSS_Score", T.DoubleType()),
-    T.StructField("CWE", T.StringType()),
-    T.StructField("OS", T.StringType()),
-])
-
 TABLE_SCHEMA = T.StructType([
     T.StructField("CVE_ID", T.StringType()),
     T.StructField("Description", T.StringType()),

@@ -83,19 +83,35 @@ def rejected(feed: DataFrame) -> DataFrame:
     return broken.unionByName(bad_id)
 
 
-def as_feed_documents(raw: DataFrame, per_document: int = 2000) -> DataFrame:
+def as_feed_documents(raw: DataFrame, per_document: int = 2000, fallbacks: bool = False) -> DataFrame:
     """Pack flat records into feed documents of at most `per_document` entries.
 
-    Each input partition is cut into runs, so no shuffle and no unbounded list.
+    Each input partition is cut into runs, so no list is longer than a run; the
+    runs are grouped by one shuffle.  With `fallbacks` entries lack the newest
+    scores, the weakness or the English text, by the last digit of their id.
     """
+    def text(lang: str, value: Column) -> Column:
+        return F.struct(F.lit(lang).alias("lang"), value.alias("value"))
+
+    def metric(score: Column, present: Column) -> Column:
+        return F.when(present, F.array(F.struct(F.struct(score.alias("baseScore")).alias("cvssData"))))
+
+    score, always = F.col("CVSS_Score"), F.lit(True)
+    descriptions, weaknesses = F.array(text("en", F.col("Description"))), F.array(
+        F.struct(F.array(text("en", F.col("CWE"))).alias("description")))
+    metrics = F.struct(metric(score, always).alias("cvssMetricV31"))
+    if fallbacks:  # the last digit of the id chooses what an entry lacks
+        case = F.substring("CVE_ID", -1, 1).cast("int")
+        metrics = F.struct(metric(score, case < 4).alias("cvssMetricV31"),
+                           metric(score + 0.25, case < 6).alias("cvssMetricV30"),
+                           metric(score + 0.5, case < 8).alias("cvssMetricV2"))
+        descriptions = F.when(case == 9, F.array(text("es", F.lit("otro")))).otherwise(
+            F.array(text("es", F.lit("otro")), text("en", F.col("Description"))))
+        weaknesses = F.when(case % 2 == 0, weaknesses)
     entry = F.struct(F.struct(
         F.col("CVE_ID").alias("id"),
         F.concat(F.col("Year"), F.lit("-01-01T00:00:00.000")).alias("published"),
-        F.array(F.struct(F.lit("en").alias("lang"), F.col("Description").alias("value"))).alias("descriptions"),
-        F.struct(F.array(F.struct(F.struct(F.col("CVSS_Score").alias("baseScore")).alias("cvssData")))
-                 .alias("cvssMetricV31")).alias("metrics"),
-        F.array(F.struct(F.array(F.struct(F.lit("en").alias("lang"), F.col("CWE").alias("value")))
-                         .alias("description"))).alias("weaknesses"),
+        descriptions.alias("descriptions"), metrics.alias("metrics"), weaknesses.alias("weaknesses"),
     ).alias("cve"))
     run = F.floor(F.monotonically_increasing_id() / per_document)
     return (

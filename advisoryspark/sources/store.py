@@ -1,12 +1,17 @@
 """The enriched table as an append-only parquet log, and its exports.
 
-Layout: <root>/epoch=N/.  Epoch 0 holds the base with unique keys, later epochs
-hold change batches.  Writing a batch costs what the batch holds, whatever the
-size of the table, and writing the same epoch again replaces it, so a replayed
-micro-batch changes nothing.  `current` resolves the newest version of each key;
-`compact` writes that result as the base of a fresh root.
+Layout: <root>/epoch=N/batch=TAG/.  Epoch 0 holds the base with unique keys, later
+epochs hold change batches.  A batch is known by its tag: a new tag gets the
+number after the newest epoch of the log, and writing a tag again replaces what
+it wrote, so a replayed micro-batch changes nothing and batches of different
+origin never replace one another.  Writing a batch costs what the batch holds,
+whatever the size of the table.  `current` resolves the newest version of each
+key; `compact` writes that result as the base of a fresh root.
 """
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from advisoryspark import fixed_values as fx
@@ -18,6 +23,7 @@ from advisoryspark.sources.tables import seed_records
 LOG_SCHEMA = T.StructType(TABLE_SCHEMA.fields + [
     T.StructField("seq", T.LongType()),
     T.StructField("epoch", T.IntegerType()),
+    T.StructField("batch", T.StringType()),
 ])
 
 
@@ -51,38 +57,59 @@ def add_missing_columns(old: DataFrame) -> DataFrame:
     return empty.unionByName(old, allowMissingColumns=True)
 
 
-def _write_epoch(records: DataFrame, root: str, epoch: int, mode: str) -> None:
-    records.select(*TABLE_COLUMNS, "seq").write.mode(mode).parquet(f"{root}/epoch={epoch}")
+BASE = "base"
+
+
+def _write_batch(records: DataFrame, root: str, epoch: int, tag: str, mode: str) -> None:
+    records.select(*TABLE_COLUMNS, "seq").write.mode(mode).parquet(f"{root}/epoch={epoch}/batch={tag}")
+
+
+def _batches(spark: SparkSession, root: str) -> dict[str, int]:
+    """Epoch of each batch in the log, from the folder names."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/epoch=*/batch=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    paths = [status.getPath() for status in found]
+    return {p.getName().split("=", 1)[1]: int(p.getParent().getName().split("=", 1)[1]) for p in paths}
 
 
 def create_if_missing(spark: SparkSession, root: str) -> None:
     """Empty table with the fixed schema; an existing one is left alone."""
     empty = spark.createDataFrame([], LOG_SCHEMA)
-    _write_epoch(empty, root, 0, "ignore")
+    _write_batch(empty, root, 0, BASE, "ignore")
 
 
-def append_changes(batch: DataFrame, root: str, epoch: int) -> None:
-    """Log one batch of inserts and updates as it is; readers resolve repeated keys by seq."""
-    if epoch < 1:
-        raise ValueError("epoch 0 is the base")
-    _write_epoch(with_defaults(batch), root, epoch, "overwrite")
+def append_changes(batch: DataFrame, root: str, tag: str | None = None) -> None:
+    """Log one batch of inserts and updates as it is; readers resolve repeated keys by epoch and seq.
 
+    Without a tag the batch is one of its own; a tag written before keeps its epoch.
+    """
+    tag = tag or f"manual-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", tag) or tag == BASE:
+        raise ValueError(f"unfit batch tag {tag!r}")
+    known = _batches(batch.sparkSession, root)
+    epoch = known.get(tag, max(known.values(), default=0) + 1)
+    _write_batch(with_defaults(batch), root, epoch, tag, "overwrite")
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """Newest version of every key.
+
+def log(spark: SparkSession, root: str) -> DataFrame:
+    """All logged versions with their epoch and batch."""
+    return spark.read.schema(LOG_SCHEMA).parquet(root)
+
+
+def current(spark: SparkSession, root: str, with_batch: bool = False) -> DataFrame:
+    """Newest version of every key, with the batch it came from if asked for.
 
     Only the change batches are grouped; the base is anti-joined on their keys,
     which Spark broadcasts when the changes are small.
     """
-    log = spark.read.schema(LOG_SCHEMA).parquet(root)
-    merged = merge.upsert(log.filter("epoch = 0"), log.filter("epoch > 0"), order=("epoch", "seq"))
-    return merged.select(*TABLE_COLUMNS)
+    versions = log(spark, root)
+    merged = merge.upsert(versions.filter("epoch = 0"), versions.filter("epoch > 0"), order=("epoch", "batch", "seq"))
+    return merged.select(*TABLE_COLUMNS, *(["batch"] if with_batch else []))
 
 
-def keys(spark: SparkSession, root: str, before_epoch: int) -> DataFrame:
-    """Ids logged before an epoch; reads the key column of those folders only."""
-    log = spark.read.schema(LOG_SCHEMA).parquet(root)
-    return log.filter(F.col("epoch") < before_epoch).select("CVE_ID")
+def keys(spark: SparkSession, root: str, except_batch: str) -> DataFrame:
+    """Ids logged by all other batches; reads the key column of their folders only."""
+    return log(spark, root).filter(F.col("batch") != except_batch).select("CVE_ID")
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
@@ -92,19 +119,22 @@ def compact(spark: SparkSession, root: str, new_root: str) -> None:
     by id or year skip nearly all of them.
     """
     merged = current(spark, root).withColumn("seq", F.lit(0).cast("bigint"))
-    _write_epoch(merged.orderBy("Year", "CVE_ID"), new_root, 0, "errorifexists")
+    _write_batch(merged.orderBy("Year", "CVE_ID"), new_root, 0, BASE, "errorifexists")
 
 
 def reset(spark: SparkSession, root: str) -> None:
     """Replace all content by the seed records."""
     seeds = seed_records(spark).withColumn("seq", F.lit(0).cast("bigint"))
-    seeds.withColumn("epoch", F.lit(0)).write.mode("overwrite").partitionBy("epoch").option(
-        "partitionOverwriteMode", "static").parquet(root)
+    seeds.withColumns({"epoch": F.lit(0), "batch": F.lit(BASE)}).write.mode("overwrite").partitionBy(
+        "epoch", "batch").option("partitionOverwriteMode", "static").parquet(root)
 
 
 def seed_if_empty(spark: SparkSession, root: str) -> bool:
-    """Load the seed records into an empty table; reads at most one row to decide."""
-    if not current(spark, root).isEmpty():
+    """Load the seed records into an empty table.
+
+    A log without rows is an empty table, as every version counts as a record.
+    """
+    if not log(spark, root).select("CVE_ID").isEmpty():
         return False
     reset(spark, root)
     return True

@@ -9,20 +9,20 @@ from advisoryspark.schemas import FEED_SCHEMA, TABLE_SCHEMA
 from advisoryspark.sources import feed, store
 
 
-def import_batch(spark: SparkSession, documents: DataFrame, root: str, epoch: int, **models) -> None:
-    """Enrich the records of feed documents that the table lacks and log them as one epoch.
+def import_batch(spark: SparkSession, documents: DataFrame, root: str, tag: str, **models) -> None:
+    """Enrich the records of feed documents that the table lacks and log them as the batch `tag`.
 
     Of a repeated id the first one counts, in an order that depends on the
-    documents alone.  Epochs from this one on are ignored when looking for
-    known ids, so a replayed batch finds the same new records and writes the
-    same rows again.
+    documents alone.  What the batch itself has logged is ignored when looking
+    for known ids, so a replayed batch finds the same new records and writes
+    the same rows again.  `models` are the score and category model of `enrich`.
     """
     origin = ("source_file", "place")
     rows = feed.accepted(feed.records(documents, keep=origin))
-    fresh = merge.insert_new(store.keys(spark, root, before_epoch=epoch), rows)
+    fresh = merge.insert_new(store.keys(spark, root, except_batch=tag), rows)
     first = merge.first_seen(fresh, order=(*origin, "Description", "CVSS_Score")).drop(*origin)
     enriched = enrich(first, **models).withColumn("seq", F.lit(0).cast("bigint"))
-    store.append_changes(enriched, root, epoch)
+    store.append_changes(enriched, root, tag)
 
 
 def start_import(spark: SparkSession, feed_dir: str, root: str, reject_dir: str, checkpoint: str,
@@ -31,6 +31,8 @@ def start_import(spark: SparkSession, feed_dir: str, root: str, reject_dir: str,
 
     Broken documents and records with malformed ids go to `reject_dir` and
     stop nothing.  The models are not retrained here; that is its own job.
+    A batch is tagged with the stream's id, which its checkpoint keeps, so other
+    imports into the same table, before or after, keep their batches.
     """
     store.create_if_missing(spark, root)
     stream = (
@@ -41,10 +43,11 @@ def start_import(spark: SparkSession, feed_dir: str, root: str, reject_dir: str,
 
     def handle(documents: DataFrame, batch_id: int) -> None:
         session = documents.sparkSession
+        tag = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         documents.persist()
         try:
-            import_batch(session, documents, root, batch_id + 1, **models)
-            feed.rejected(documents).write.mode("overwrite").json(f"{reject_dir}/epoch={batch_id + 1}")
+            import_batch(session, documents, root, tag, **models)
+            feed.rejected(documents).write.mode("overwrite").json(f"{reject_dir}/batch={tag}")
         finally:
             documents.unpersist()
 

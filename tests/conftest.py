@@ -6,16 +6,20 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from advisoryspark.session import get_session  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = get_session(
-        "tests", master="local[8]",
-        spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false", spark__checkpoint__dir=str(tmp_path_factory.mktemp("work")),
-        spark__sql__streaming__forceDeleteTempCheckpointLocation="true")
+    """A plain session: nothing here but its size and its folders, so no operator leans on other settings."""
+    os.environ["PYTHONPATH"] = ROOT
+    session = (
+        SparkSession.builder.appName("tests").master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("work")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

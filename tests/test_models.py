@@ -66,6 +66,12 @@ def test_out_of_fold_covers_each_row_once(records, many_chunks):
     assert models.out_of_fold(records.limit(2), trees=2, max_depth=3).count() == 2
 
 
+def test_settings_do_not_follow_the_size():
+    assert models.forest(3).getMaxDepth() == models.MAX_DEPTH and models.forest(3).getMaxBins() == models.MAX_BINS
+    import inspect
+    assert "rows" not in inspect.signature(models.forest).parameters
+
+
 def test_saved_set_is_complete_or_absent(spark, records, trained, tmp_path):
     path = str(tmp_path / "models")
     assert models.load(spark, path) is None
@@ -76,8 +82,11 @@ def test_saved_set_is_complete_or_absent(spark, records, trained, tmp_path):
     assert before.exceptAll(after).isEmpty()
     assert loaded["hmm"]["means"] == trained["hmm"]["means"]
     assert loaded["metrics"].first() == trained["metrics"].first()
+    other = {**trained, "hmm": {**trained["hmm"], "means": [1.0, 2.0, 3.0]}}
+    models.save(other, path)
+    assert models.load(spark, path)["hmm"]["means"] == [1.0, 2.0, 3.0]
     partial = str(tmp_path / "partial")
-    trained["score"].write().save(partial + "/score")
+    trained["score"].write().save(partial + "/sets/000001-x/score")
     assert models.load(spark, partial) is None
 
 

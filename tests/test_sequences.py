@@ -73,6 +73,26 @@ def test_expected_statistics_equal_forward_backward(rows):
     assert np.allclose(stats, expected, rtol=1e-8)
 
 
+@pytest.mark.parametrize("arrow", ["false", "true"])
+def test_any_file_layout_gives_the_same_statistics(spark, rows, tmp_path, arrow):
+    placed, scores = rows
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "29")
+    try:
+        path = str(tmp_path / "many")
+        placed.write.option("maxRecordsPerFile", 37).parquet(path)
+        scattered = spark.read.parquet(path)
+        first = placed.agg(F.min("chunk")).first()[0]
+        likelihood, stats = hmm._expectations(scattered.select("chunk", "pos", "CVSS_Score"), MODEL, first)
+    finally:
+        for key in ("spark.sql.execution.arrow.pyspark.enabled", "spark.sql.files.maxPartitionBytes",
+                    "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(key)
+    expected_likelihood, expected = forward_backward(scores, MODEL)
+    assert likelihood == pytest.approx(expected_likelihood, rel=1e-9) and np.allclose(stats, expected, rtol=1e-8)
+
+
 def test_fit_improves_and_is_ordered(rows):
     placed, _ = rows
     model = hmm.fit(placed, max_iterations=12)
@@ -112,6 +132,8 @@ def test_memm_decode_equals_row_by_row(rows):
     assert got == [fx.THREAT_STATES[s] for s in expected]
     step = memm.what_if(decoded, model, 8.5).first()
     assert step.current_state == got[-1] and step.simulated_cvss == 8.5
+    true = [fx.THREAT_STATES[s] for s in np.digitize(scores, [4.0, 7.0])]
+    assert step.accuracy == pytest.approx(np.mean([a == b for a, b in zip(got, true)]))
     assert sum(step.probabilities.values()) == pytest.approx(1.0)
     assert step.predicted_next_state == max(step.probabilities, key=step.probabilities.get)
     assert memm.training_accuracy(placed, model).first().accuracy > 0.95
@@ -134,8 +156,9 @@ def test_memm_equals_penalised_likelihood(rows):
 def test_previous_state_crosses_chunks(rows):
     placed, scores = rows
     states = [fx.THREAT_STATES[i] for i in np.digitize(scores, [4.0, 7.0])]
-    got = sequence.with_previous(placed.withColumn("state", threat_state(F.col("CVSS_Score"))), "state", "prev")
-    assert [r.prev for r in got.orderBy("Year", "CVE_ID").collect()] == [None] + states[:-1]
+    for segment in (7, 500, sequence.SEGMENT):
+        got = sequence.with_previous(placed.withColumn("state", threat_state(F.col("CVSS_Score"))), "state", "prev", segment)
+        assert [r.prev for r in got.orderBy("Year", "CVE_ID").collect()] == [None] + states[:-1]
 
 
 def test_short_sequences(spark):

@@ -42,7 +42,8 @@ def test_one_or_many_batches_and_replay(spark, small, feed_dir, tmp_path):
     assert store.current(spark, root).count() == expected.count()
     documents = feed.read_feed(spark, feed_dir, multiline=False)
     one = str(tmp_path / "one" / "table")
-    bulk_import.import_batch(spark, documents, one, 1)
+    bulk_import.import_batch(spark, documents, one, "again")
+    bulk_import.import_batch(spark, documents, one, "again")
     assert store.current(spark, one).exceptAll(expected).isEmpty()
     assert store.current(spark, one).count() == expected.count()
 
@@ -52,13 +53,36 @@ def test_known_ids_are_skipped(spark, small, feed_dir, tmp_path):
     store.create_if_missing(spark, root)
     edited = enrich(raw_records(spark, small)).withColumn("Impact", F.lit("edited")).withColumn(
         "seq", F.lit(0).cast("bigint"))
-    store.append_changes(edited.filter("Year < '2024'"), root, 1)
-    bulk_import.import_batch(spark, feed.read_feed(spark, feed_dir, multiline=False), root, 2)
+    store.append_changes(edited.filter("Year < '2024'"), root)
+    bulk_import.import_batch(spark, feed.read_feed(spark, feed_dir, multiline=False), root, "import")
     got = store.current(spark, root)
     assert got.count() == 200
     assert got.filter("Impact = 'edited'").count() == edited.filter("Year < '2024'").count()
 
 
+def test_imports_into_one_table_keep_each_other(spark, small, tmp_path):
+    raw = raw_records(spark, small)
+    root, base = str(tmp_path / "table"), tmp_path
+
+    def load(name, records, checkpoint):
+        feed.as_feed_documents(records, per_document=20).repartition(3).write.json(str(base / name))
+        bulk_import.start_import(spark, str(base / name), root, str(base / "rejects"), str(base / checkpoint), 1,
+                                 multiline=False).awaitTermination()
+        return store.current(spark, root).count()
+
+    n_early = raw.filter("Year < '2020'").count()
+    assert load("early", raw.filter("Year < '2020'"), "c1") == n_early
+    assert load("rest", raw, "c2") == 200
+    # A manual change survives an import, and a lost checkpoint imports nothing twice.
+    edited = enrich(raw.limit(1)).withColumn("Impact", F.lit("edited")).withColumn("seq", F.lit(0).cast("bigint"))
+    store.append_changes(edited, root)
+    assert load("again", raw, "c3") == 200
+    bulk_import.start_import(spark, str(base / "rest"), root, str(base / "rejects"), str(base / "c4"),
+                             multiline=False).awaitTermination()
+    got = store.current(spark, root)
+    assert got.count() == 200 and got.filter("Impact = 'edited'").count() == 1
+
+
 def test_streaming_counts(spark, small, tmp_path):
     table_dir = str(tmp_path / "arriving")
     records = enrich(raw_records(spark, small))

@@ -86,8 +86,8 @@ def test_log_keeps_last_write(spark, tmp_path):
     assert store.current(spark, root).count() == 0
     first = changes(spark, [("A", "One.", "2020", 5.0, "MEDIUM", 1), ("A", "Two!", "2020", 9.0, "CRITICAL", 2),
                             ("B", "Bee", "2021", 1.0, "LOW", 1)])
-    store.append_changes(first, root, 1)
-    store.append_changes(changes(spark, [("B", "Bee two", "2021", 7.0, "HIGH", 1), ("C", "", "2022", 0.0, "UNKNOWN", 1)]), root, 2)
+    store.append_changes(first, root, "first")
+    store.append_changes(changes(spark, [("B", "Bee two", "2021", 7.0, "HIGH", 1), ("C", "", "2022", 0.0, "UNKNOWN", 1)]), root)
 
     def state():
         return {r.CVE_ID: (r.Description, r.Cleaned_Description, r.CVSS_Score, r.Predicted_Severity,
@@ -98,7 +98,7 @@ def test_log_keeps_last_write(spark, tmp_path):
                 "B": ("Bee two", "bee two", 7.0, "HIGH", 1.0, "N/A", 0.0),
                 "C": ("", "", 0.0, "UNKNOWN", 1.0, "N/A", 0.0)}
     assert state() == expected
-    store.append_changes(first, root, 1)  # the same epoch again changes nothing
+    store.append_changes(first, root, "first")  # the same batch again changes nothing
     assert state() == expected
     store.create_if_missing(spark, root)
     assert state() == expected
@@ -107,14 +107,14 @@ def test_log_keeps_last_write(spark, tmp_path):
     assert store.current(spark, fresh).exceptAll(store.current(spark, root)).isEmpty()
     assert store.current(spark, fresh).count() == 3
     with pytest.raises(ValueError):
-        store.append_changes(first, root, 0)
+        store.append_changes(first, root, "base")
 
 
 def test_seed_and_reset(spark, tmp_path):
     root = str(tmp_path / "table")
     store.create_if_missing(spark, root)
     assert store.seed_if_empty(spark, root) and not store.seed_if_empty(spark, root)
-    store.append_changes(changes(spark, [("A", "x", "2020", 5.0, "MEDIUM", 1)]), root, 1)
+    store.append_changes(changes(spark, [("A", "x", "2020", 5.0, "MEDIUM", 1)]), root)
     assert store.current(spark, root).count() == 14
     store.reset(spark, root)
     seeds = store.current(spark, root)
@@ -165,14 +165,26 @@ def test_prediction_log_appends(spark, tmp_path):
             spark.read.parquet(path).groupBy("model_version").count().collect()} == {("v1", 13), ("v2", 13)}
 
 
-def test_deep_page_equals_shallow_order(spark, small, monkeypatch):
+def test_pages_are_cuts_of_one_order(spark, small):
     records = raw_records(spark, small)
-    shallow = [r.CVE_ID for r in listing.page(records, 20, 60).collect()]
-    monkeypatch.setattr(listing, "TOP_N_LIMIT", 10)
-    deep = [r.CVE_ID for r in listing.page(records, 20, 60).collect()]
     everything = sorted(((r.Year, r.CVE_ID) for r in records.collect()), reverse=True)
-    assert shallow == deep == [i for _, i in everything[60:80]]
+    assert [r.CVE_ID for r in listing.page(records, 20, 60).collect()] == [i for _, i in everything[60:80]]
     assert listing.page(records, 20, 10_000_000).count() == 0
+    following = listing.page_after(records, 20, *everything[59])
+    assert [r.CVE_ID for r in following.collect()] == [i for _, i in everything[60:80]]
+    assert [r.CVE_ID for r in listing.page_after(records, 3).collect()] == [i for _, i in everything[:3]]
+
+
+def test_pages_with_repeated_ids(spark, small):
+    records = raw_records(spark, small)
+    twice = records.unionByName(records.withColumn("OS", F.lit("other"))).select("CVE_ID", "Year", "OS")
+    pages = [r for at in range(0, 400, 37) for r in listing.page(twice.repartition(5), 37, at).collect()]
+    assert sorted(pages) == sorted(twice.collect())
+
+
+def test_malformed_lookup_is_refused(spark, small):
+    with pytest.raises(ValueError):
+        listing.lookup(raw_records(spark, small), "CVE-20-1")
 
 
 def test_lookup_is_exact(spark):
@@ -192,6 +204,14 @@ def test_batch_prediction_with_limit_and_errors(spark):
     assert all(r.AI_Severity is not None for r in reports.predict_batch(rows).collect())
 
 
+def test_lookup_of_repeated_feed_ids(spark, small):
+    raw = raw_records(spark, small)
+    have = enrich(raw.filter("Year < '2024'"))
+    again = raw.withColumn("Description", F.concat(F.lit("zz "), "Description"))
+    got = reports.lookup_sources(have, again.unionByName(raw))
+    assert got.count() == raw.count() and got.filter("Description LIKE 'zz %'").isEmpty()
+
+
 def test_lookup_sources(spark, small):
     raw = raw_records(spark, small)
     have = enrich(raw.filter("Year < '2024'"))
