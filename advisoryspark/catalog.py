@@ -501,7 +501,7 @@ def status_report(spark, sf_dir):
     """The status summary with model metrics: here those of the mean score per exploit
     as score model and of the most frequent next state as state model."""
     errors = error_metrics(spark, sf_dir)
-    pairs = sequence.previous_states(raw_records(spark, sf_dir)).groupBy("prev_state", "state").agg(
+    pairs = sequence.previous_states(score_sequence(spark, sf_dir)).groupBy("prev_state", "state").agg(
         F.count(F.lit(1)).alias("n"))
     hits = pairs.groupBy("prev_state").agg(F.max("n").alias("hits"), F.sum("n").alias("n"))
     accuracy = hits.agg(F.sum("hits") / F.sum("n")).scalar()
@@ -561,12 +561,12 @@ def chronological_index(spark, sf_dir):
 
 @query
 def prev_state(spark, sf_dir):
-    return sequence.previous_states(raw_records(spark, sf_dir)).select("CVE_ID", "state", "prev_state")
+    return sequence.previous_states(score_sequence(spark, sf_dir)).select("CVE_ID", "state", "prev_state")
 
 
 @query
 def transition_matrix(spark, sf_dir):
-    pairs = sequence.previous_states(raw_records(spark, sf_dir))
+    pairs = sequence.previous_states(score_sequence(spark, sf_dir))
     return sequence.transition_matrix(pairs).withColumn("probability", F.round("probability", 6))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from advisoryspark import fixed_values as fx
 from advisoryspark.functions.scores import first_argmax, one_hot_state, threat_state
 from advisoryspark.operators import chain, evaluation, sequence
-from advisoryspark.session import materialize
+from advisoryspark.session import scratch
 
 FEATURES = ["CVSS_Score"] + ["Prev_State_" + s for s in fx.THREAT_STATES]
 
@@ -38,14 +38,14 @@ def fit(rows: DataFrame) -> LogisticRegressionModel:
     """Multinomial regression of the state on the score and the previous true state.
 
     `rows` come from sequence.ordered_rows.  The penalty 1/n is a unit penalty
-    on the summed loss.  The training rows are written once and read by every
-    iteration.
+    on the summed loss.  The training rows are written for the fit and read by
+    every iteration.
     """
-    training = materialize(training_rows(rows).select("features", "label"), "memm")
-    n = training.count()
-    return LogisticRegression(
-        family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
-        standardization=False, maxIter=200).fit(training)
+    with scratch(training_rows(rows).select("features", "label"), "memm") as training:
+        n = training.count()
+        return LogisticRegression(
+            family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
+            standardization=False, maxIter=200).fit(training)
 
 
 def training_accuracy(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:

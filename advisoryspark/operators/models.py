@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.operators import evaluation, hmm, memm, sequence, tfidf
-from advisoryspark.session import materialize
+from advisoryspark.session import materialize, scratch
 
 MIN_ROWS = 10
 
@@ -48,12 +48,12 @@ def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DE
                     max_bins: int = MAX_BINS) -> PipelineModel:
     """Text to score: TF-IDF stages followed by the forest, one saveable pipeline.
 
-    The vectors are written once; growing the trees reads them again per level.
+    The vectors are written for the fit; growing the trees reads them again per level.
     """
     check_enough(records)
     weighting = tfidf.fit(records)
-    vectors = materialize(tfidf.features(weighting, records).select("CVSS_Score", "features"), "vectors")
-    trained = forest(trees, max_depth, max_bins).fit(vectors)
+    with scratch(tfidf.features(weighting, records).select("CVSS_Score", "features"), "vectors") as vectors:
+        trained = forest(trees, max_depth, max_bins).fit(vectors)
     return PipelineModel([*weighting.stages, trained])
 
 
@@ -118,11 +118,11 @@ def fit_text_classifier(labelled: DataFrame, label: str, size: int = 2000) -> Pi
     terms of the labelled texts, and rarer terms have no weight.
     """
     weighting = tfidf.fit(labelled, size)
-    vectors = materialize(tfidf.features(weighting, labelled).select(
-        F.col(label).cast("string").alias(label), "features"), "labelled")
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
     regression = LogisticRegression(labelCol="_label", family="multinomial", regParam=0.001, maxIter=50, tol=1e-4)
-    trained = regression.fit(indexer.transform(vectors))
+    with scratch(tfidf.features(weighting, labelled).select(
+            F.col(label).cast("string").alias(label), "features"), "labelled") as vectors:
+        indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
+        trained = regression.fit(indexer.transform(vectors))
     names = IndexToString(inputCol="prediction", outputCol="category", labels=indexer.labels)
     return PipelineModel([*weighting.stages, trained, names])
 

@@ -75,15 +75,10 @@ def with_previous(rows: DataFrame, value: str, name: str, segment: int = SEGMENT
     return placed.withColumn(name, before).filter("NOT _place.handed").select(*rows.columns, name)
 
 
-def state_rows(records: DataFrame) -> DataFrame:
-    """Id, year, score and threat state of every record in chronological order."""
-    rows = ordered_rows(records, columns=("CVE_ID", "Year", "CVSS_Score"))
-    return rows.withColumn("state", threat_state(F.col("CVSS_Score")))
-
-
-def previous_states(records: DataFrame) -> DataFrame:
-    """State and previous state of every record but the first."""
-    return with_previous(state_rows(records), "state", "prev_state").filter("prev_state IS NOT NULL")
+def previous_states(rows: DataFrame) -> DataFrame:
+    """State and previous state of every row of the sequence but the first; `rows` come from ordered_rows."""
+    states = rows.withColumn("state", threat_state(F.col("CVSS_Score")))
+    return with_previous(states, "state", "prev_state").filter("prev_state IS NOT NULL")
 
 
 def last_observation(records: DataFrame) -> DataFrame:

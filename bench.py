@@ -19,7 +19,8 @@ HEADLINE = [
     "search_filter", "page_listing", "exact_lookup", "class_report", "upsert_merge", "insert_new_only",
     "chronological_index", "prev_state", "transition_matrix", "forecast_yearly", "arima110_forecast",
     "forecast_by_exploit", "arima111", "tfidf_vocabulary", "tfidf_weights",
-    "hmm_fit", "hmm_decode", "memm_fit", "memm_decode", "rf_score",
+    "hmm_fit", "hmm_decode", "memm_fit", "memm_decode", "rf_score", "oof_score",
+    "token_sequences", "text_classifier", "stream_import",
 ]
 
 

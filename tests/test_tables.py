@@ -143,6 +143,31 @@ def test_upsert_is_idempotent_and_hot_keys_merge(spark):
     assert plan.count("max_by") > plan.count("Window") == 0
 
 
+def joins(spark, df):
+    """Joins of the plan when nothing may be broadcast by size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_plans_of_merges(spark, small):
+    records = enrich(raw_records(spark, small))
+    assert joins(spark, lambda: merge.insert_new(records, records.limit(5))) == (1, 0)
+    means = records.groupBy("CWE").agg(F.avg("CVSS_Score").alias("mean"))
+    assert joins(spark, lambda: merge.join_labels(records, means, "CWE")) == (0, 1)
+    # More labels than may be broadcast: the join is left to the planner, with the same rows.
+    wide = merge.join_labels(records, means, "CWE")
+    merge_limit, merge.MAX_LABELS = merge.MAX_LABELS, 2
+    try:
+        assert joins(spark, lambda: merge.join_labels(records, means, "CWE")) == (1, 0)
+        assert merge.join_labels(records, means, "CWE").exceptAll(wide).isEmpty()
+    finally:
+        merge.MAX_LABELS = merge_limit
+
+
 def test_csv_export(spark, tmp_path):
     rows = tables.seed_records(spark).withColumn(
         "Description", F.concat(F.lit('say "hi", then\nleave: '), "CVE_ID"))
