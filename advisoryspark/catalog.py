@@ -799,7 +799,6 @@ def hmm_em_step(spark, sf_dir):
     """One Baum-Welch step from the start model, as one row."""
     rows = score_sequence(spark, sf_dir)
     model = hmm.em_step(rows, hmm.start_model(rows))
-    six = lambda x: F.transform(x, lambda v: F.round(v, 6))
     return spark.createDataFrame(
         [(model["means"], model["variances"], model["startprob"], sum(model["transmat"], []), model["log_likelihood"][0])],
         "means array<double>, variances array<double>, startprob array<double>, transmat array<double>, "

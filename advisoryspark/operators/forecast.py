@@ -29,7 +29,8 @@ def fits(counts: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """One row per series with enough history: line, ordered points, last period, AR(1) terms.
 
     A single aggregation of the counts; every table below is read off these rows
-    without joining the counts again.
+    without joining the counts again.  A series' points are one row per day or
+    year, so their array is bounded by the calendar; `t` must not be finer.
     """
     points = F.array_sort(F.collect_list(F.struct("t", "n")))
     lines = counts.groupBy("series").agg(
@@ -155,10 +156,14 @@ def _arma11_likelihood(z: np.ndarray, phi: np.ndarray, theta: np.ndarray):
 def arima111_forecast(counts: DataFrame, steps: int = 2, min_points: int = MIN_POINTS) -> DataFrame:
     """ARIMA(1,1,1) without constant, one small fit per series, all series in parallel.
 
-    A group holds one counted series.  The likelihood is maximised on a grid
-    over the open square that is narrowed around its best cell.
+    A group holds one counted series, a row per day or year; one of fewer than
+    `min_points` rows gives none.  The likelihood is maximised on a grid over
+    the open square that is narrowed around its best cell.
     """
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_points:
+            return pd.DataFrame({"series": [], "t": [], "phi": [], "theta": [], "arima_prediction": []}).astype(
+                {"series": "object", "t": "int32"})
         pdf = pdf.sort_values("t")
         y = pdf["n"].to_numpy(float)
         z = np.diff(y)
@@ -178,7 +183,5 @@ def arima111_forecast(counts: DataFrame, steps: int = 2, min_points: int = MIN_P
         return pd.DataFrame({"series": pdf["series"].iloc[0], "t": int(pdf["t"].iloc[-1]) + ahead,
                              "phi": phi, "theta": theta, "arima_prediction": path})
 
-    enough = counts.groupBy("series").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") >= min_points)
-    kept = counts.join(enough.select("series"), "series", "left_semi")
-    return kept.groupBy("series").applyInPandas(
+    return counts.groupBy("series").applyInPandas(
         fit, "series string, t int, phi double, theta double, arima_prediction double")

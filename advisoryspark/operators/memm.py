@@ -45,7 +45,7 @@ def fit(rows: DataFrame) -> LogisticRegressionModel:
         n = training.count()
         return LogisticRegression(
             family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
-            standardization=False, maxIter=200).fit(training)
+            standardization=False, maxIter=200, tol=1e-10).fit(training)
 
 
 def training_accuracy(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:

@@ -153,3 +153,28 @@ def test_token_sequences(spark):
     assert rows["b"].input_ids == [0] * 4 and rows["b"].attention_mask == [0] * 4
     assert rows["c"].input_ids == [2] * 4 and rows["c"].attention_mask == [1] * 4
     assert rows["d"].input_ids == [3, 2, 0, 0]
+
+
+LABELLED_BY_HAND = [
+    ("A remote code execution flaw in the linux kernel lets users run arbitrary code", "RCE", "Linux Kernel"),
+    ("Cross site scripting in a wordpress plugin", "XSS", "WordPress"),
+    ("SQL injection in mysql admin panel", "SQLi", "Database"),
+    ("Heap overflow and out-of-bounds write in openssl", "Buffer Overflow", "OpenSSL"),
+    ("Elevation of privilege in win32k", "Privilege Escalation", "Windows Kernel"),
+    ("Denial of service crash in nginx via infinite loop", "DoS", "Nginx"),
+    ("Shell injection in router firmware", "Command Injection", "Network Device"),
+    ("Information disclosure of sensitive data in a rest endpoint", "Info Disclosure", "API / Service"),
+    ("Authentication bypass in spring boot login", "Auth Bypass", "Spring Framework"),
+    ("Directory traversal in file upload", "Path Traversal", "File System"),
+    ("CSRF in the smtp gateway", "CSRF", "Network Device"),
+    ("Open redirect in the vpn portal", "Open Redirect", "Network Device"),
+    ("Certificate check missing in docker", "Other", "Container"),
+    ("Nothing of note", "Other", "Unknown"),
+]
+
+
+def test_labels_by_hand(spark):
+    """Labels written down from the meaning of the rules, independent of the table of patterns."""
+    got = spark.createDataFrame([(t,) for t, _, _ in LABELLED_BY_HAND], "t string").select(
+        "t", text.exploit_type(F.col("t")).alias("e"), text.component(F.col("t")).alias("c")).collect()
+    assert [(r.t, r.e, r.c) for r in got] == LABELLED_BY_HAND
