@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from advisoryspark.session import materialize  # noqa: F401  every operator takes it from here
 
-#: Bytes of text an operator looks at in one numpy step; longer texts make a step of their own.
-STEP_BYTES = 16 << 20
+#: Bytes of text an operator looks at in one numpy step, where a word may take some hundred bytes; longer texts make
+#: a step of their own.
+STEP_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,13 +25,20 @@ def texts(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def each_step(batches: Iterator[pa.RecordBatch], column: str,
+def text_of(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """The column, or the field of a struct column, that `path` names ("text", "row.text")."""
+    name, _, field = path.partition(".")
+    column = batch.column(name)
+    return (column.field(field) if field else column).cast(pa.binary()).fill_null(b"")
+
+
+def each_step(batches: Iterator[pa.RecordBatch], path: str,
               fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Apply `fn` to runs of rows that hold about STEP_BYTES of `column`."""
+    """Apply `fn` to runs of rows that hold about STEP_BYTES of the text at `path`."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.binary_length(text_of(batch, path)).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from advisoryspark.llm.common import each_step, fold_table, materialize, mixed, texts, word_hashes, word_table
 
-CLASSES = 64
+CLASSES = 32
 #: Frequent words that are classes of their own; the last class is the end of the text.
-SINGLE = 23
+SINGLE = 11
 ENDINGS = 512
-#: Hashed rows of weights.
+#: Hashed rows of weights; they are sorted as 16-bit numbers.
 ROWS = 1 << 15
 BLOCK = 1 << 10
 #: Words whose counts are broadcast at most (16 bytes each).
@@ -142,10 +142,10 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, power: np.ndarray, row
         off[np.arange(len(kind)), kind] -= 1
         bias -= RATE * off.mean(axis=0)
         for column in range(piece.shape[1]):
-            order = np.argsort(piece[:, column], kind="stable")
+            order = np.argsort(piece[:, column].astype(np.uint16), kind="stable")
             row = piece[order, column]
             cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            total = np.add.reduceat(off[order], cuts, axis=0)
+            total = np.add.reduceat(np.take(off, order, axis=0), cuts, axis=0)
             row = row[cuts]
             power[row] += (total * total).mean(axis=1)
             weights[row] -= RATE * total / np.sqrt(power[row] + 1)[:, None]
@@ -260,7 +260,7 @@ def learn_weights(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS
 
         mine = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
         summed = (mine.mapInArrow(steps, _CHANGE_TYPE).repartition("block").mapInArrow(_sum_changes, _CHANGE_TYPE))
-        for row in summed.toLocalIterator():
+        for row in summed.collect():  # the size of the weights
             change, tasks = np.frombuffer(row.change, np.float32), np.frombuffer(row.tasks, np.float32)
             mean = change.reshape(len(tasks), -1) / np.maximum(tasks, 1)[:, None]
             if row.block < 0:
@@ -339,8 +339,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             pa.array(np.concatenate([np.zeros(n), times]).astype(np.int64)),
             pa.array(np.concatenate([np.zeros(n), kind[token]]).astype(np.int32))], names=_SCORED)
 
-    schema = rows.select("row_key", "id", "held_out", *(F.lit(None).cast(t).alias(c) for c, t in zip(
-        _SCORED[3:], ("long", "long", "double", "double", "string", "long", "int")))).schema
+    # The rows of single words have no id and no side.
+    kinds_of = ("boolean", "long", "long", "double", "double", "string", "long", "int")
+    schema = rows.select("row_key", "id", *(F.lit(None).cast(t).alias(c) for c, t in zip(_SCORED[2:], kinds_of))).schema
+
     def run(batches):
         held, table, offset = sent.value
         known = Vocabulary(**held)
