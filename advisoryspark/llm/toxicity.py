@@ -9,7 +9,8 @@ chosen by a hash of the id); scoring reads all rows and whole texts.
 Defined cases: null and empty texts have no feature and get the score of the
 bias; null labels and labels without a document are left out of the fit; several
 labels of one id count as their largest; without any labelled document every
-score is 0.5; repeated rows are scored each on its own; an empty table gives an empty result; extra columns are kept by
+score is close to 0, so that nothing is rejected; repeated rows are scored each
+on its own; an empty table gives an empty result; extra columns are kept by
 `reject` and ignored by `score`.
 """
 
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advisoryspark.llm.common import WORD_BYTES, each_step, logistic, mixed, texts, word_hashes, word_table
+from advisoryspark.llm.common import WORD_BYTES, each_step, logistic, mixed, text_of, texts, word_hashes, word_table
 
 BITS = 22
 #: Labelled rows the fit reads at most, passes over them.
 MAX_ROWS, EPOCHS = 20_000, 4
 #: FTRL-proximal: learning rate, smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.05, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+#: Bias where no document is labelled.
+NOTHING_LEARNED = -30.0
 
 
 @dataclass
@@ -66,9 +69,9 @@ def _distinct_features(batch: pa.RecordBatch) -> pa.RecordBatch:
     pairs = np.unique((text << BITS) | places)
     cuts = np.searchsorted(pairs, np.arange(len(starts)) << BITS)
     raw = (pairs & ((1 << BITS) - 1)).astype("<i4").tobytes()
-    return pa.record_batch([batch.column("turn"), batch.column("label"),
+    return pa.record_batch([*(batch.column(k) for k in ("id", "turn", "label")),
                             pa.array([raw[4 * a:4 * b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                           names=["turn", "label", "places"])
+                           names=["id", "turn", "label", "places"])
 
 
 def train(rows, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1,
@@ -89,6 +92,8 @@ def train(rows, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA,
             rate = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - rate * w
             n[at] += g * g
+    if not rows:
+        return Weights(np.zeros(0, np.int64), np.zeros(0), NOTHING_LEARNED)
     used = np.flatnonzero(np.abs(z[:-1]) > l1)
     return Weights(used, weight(used), float(weight(np.array([size - 1]))[0]))
 
@@ -108,11 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = (labelled.join(narrow.distinct(), "id", "left_semi").withColumn("turn", turn)
               .orderBy("turn", "id").limit(max_rows))
     sampled = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text")).join(F.broadcast(sample), "id")
-    made = sampled.select("turn", "label", "text").mapInArrow(
-        lambda it: each_step(it, "text", _distinct_features), "turn long, label int, places binary")
+    rows = sampled.select("id", "turn", "label", "text")
+    schema = rows.select("id", "turn", "label", F.col("text").alias("places")).schema
+    # Rows that repeat an id count once, so the bound holds for rows as for ids.
+    made = (rows.mapInArrow(lambda it: each_step(it, "text", _distinct_features), schema)
+            .groupBy("id", "turn", "label").agg(F.min("places").alias("places")))
 
     def learn(batches):
-        rows = [(np.frombuffer(p, "<i4").astype(np.int64), y) for b in batches
+        rows = [(np.frombuffer(p, "<i4"), y) for b in batches
                 for p, y in zip(b.column("places").to_pylist(), b.column("label").to_pylist())]
         weights = train(rows)
         yield pa.record_batch([
@@ -122,34 +130,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     row = (made.repartition(1).sortWithinPartitions("turn", "places")
            .mapInArrow(learn, "places binary, values binary, bias double").first())
     if row is None:
-        return Weights(np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Weights(np.zeros(0, np.int64), np.zeros(0), NOTHING_LEARNED)
     return Weights(np.frombuffer(row.places, "<i8"), np.frombuffer(row["values"], "<f8"), row.bias)
 
 
 def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id and score from its whole text; no shuffle."""
-    narrow = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = narrow.select("id", F.lit(0.0).alias("score")).schema
-    return narrow.mapInArrow(_scorer(docs, weights, ["id"]), schema)
 
+    def result(batch, scores):
+        return pa.record_batch([batch.column("id"), pa.array(scores)], names=["id", "score"])
 
-def _scorer(docs, weights, keep):
+    return narrow.mapInArrow(_scorer(docs, weights, "text", result), schema)
+
+
+def _scorer(docs, weights, text_col, result):
     sent = docs.sparkSession.sparkContext.broadcast((weights.places, weights.values, weights.bias))
 
     def run(batches):
         held = Weights(*sent.value)
-
-        def add(batch):
-            found = held.score(*feature_places(batch.column("text")))
-            return pa.record_batch([*(batch.column(k) for k in keep), pa.array(found)], names=[*keep, "score"])
-
-        return each_step(batches, "text", add)
+        return each_step(batches, text_col,
+                         lambda batch: result(batch, held.score(*feature_places(text_of(batch, text_col)))))
 
     return run
 
 
 def reject(docs: DataFrame, weights: Weights, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """`docs` without those that score `threshold` or more; all columns stay."""
-    rows = docs.select(F.struct("*").alias("row"), texts(text_col).alias("text"))
-    schema = rows.select("row", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(_scorer(docs, weights, ["row"]), schema).where(F.col("score") < threshold).select("row.*")
+    def result(batch, scores):
+        return batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(_scorer(docs, weights, text_col, result), docs.schema)
