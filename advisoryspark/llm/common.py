@@ -1,5 +1,7 @@
 """Helpers the operators of this folder share: work tables, Arrow batches, words of whole texts."""
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +47,14 @@ def each_step(batches: Iterator[pa.RecordBatch], path: str,
             end = max(start + 1, int(np.searchsorted(sizes, before + STEP_BYTES, side="right")))
             yield fn(batch.slice(start, end - start))
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks and share their machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fold_table(lower: bool = True, blank: str = "") -> np.ndarray:

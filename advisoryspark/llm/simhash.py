@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advisoryspark.llm.common import each_step, fold_table, materialize, texts, word_table
+from advisoryspark.llm.common import each_step, materialize, text_of
 from advisoryspark.llm.components import components
 
 SEED = 42
@@ -39,7 +39,6 @@ SEED = 42
 SPLIT_OVER = 2000
 #: Children of an index node.
 FAN_OUT = 16
-LOWER = fold_table()
 
 
 def fingerprint_text(raw: bytes, shingle: int) -> int:
@@ -66,13 +65,15 @@ def fingerprint_text(raw: bytes, shingle: int) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Columns `row` (all of `docs` as a struct) and `fp` (the 64 bits as a signed long); no shuffle."""
+    path = f"row.{text_col}"
+
     def fill(batch):
-        found = np.array([fingerprint_text(x, shingle) for x in batch.column("text").to_pylist()], np.uint64)
+        found = np.array([fingerprint_text(x, shingle) for x in text_of(batch, path).to_pylist()], np.uint64)
         return pa.record_batch([batch.column("row"), pa.array(found.view(np.int64))], names=["row", "fp"])
 
-    rows = docs.select(F.struct("*").alias("row"), texts(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     schema = rows.select("row", F.lit(0).cast("long").alias("fp")).schema
-    return rows.mapInArrow(lambda it: each_step(it, "text", fill), schema)
+    return rows.mapInArrow(lambda it: each_step(it, path, fill), schema)
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
