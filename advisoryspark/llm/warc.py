@@ -21,7 +21,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -169,7 +169,7 @@ class _Reader:
 
 
 def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunk rows of all records under `path`.
+    """Chunk rows of all records in the gzip WARC files under `path` (plain files would be split inside records).
 
     payload_bytes and payload_digest are those of the payload up to and with the
     chunk (of the whole payload for a revisit, which has one empty chunk); `last`
@@ -205,6 +205,6 @@ def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> Data
     return lines.mapInArrow(parse, _CHUNKS)
 
 
-def page_id(name: str):
-    """Column expression source: the page id in a record id, null where the page had none."""
+def page_id(name: str) -> Column:
+    """The page id in the record id column `name`, null where the page had none."""
     return F.when(F.col(name).startswith(_URN), F.substring(F.col(name), len(_URN) + 1, 64).cast("long"))

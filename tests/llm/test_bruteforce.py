@@ -185,7 +185,8 @@ def test_word_encoder_equals_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
     texts = ["", " ", "a b", "a  b", "a   b ", "it's  we'll\n\n x", " lead", "tab\t x", "a \n b\n ", "a  b   c",
-             "<|endoftext|> x", "é è 12 34.5!", "a \n  b", "x ", "\n", "日本 語", "a\x1c b \x85 c"]
+             "<|endoftext|> x", "é è 12 34.5!", "a \n  b", "x ", "\n", "日本 語", "a\x1c b \x85 c", "x½y ²3 ªb µ· ßÆ\u0180ǂ 'll 's's don't «là»",
+             "\x00\x01 \x7f a", " ".join(map(chr, range(1, 0x260))), "".join(map(chr, range(1, 0x260)))]
     import pyarrow as pa
     starts, ids = encoder.encode(pa.array([t.encode() for t in texts]))
     got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
