@@ -13,6 +13,8 @@ are packed each on its own; null ids pass through; an empty table gives an empty
 result; very long texts are cut into many pieces; other columns are ignored.
 """
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,41 +31,64 @@ from advisoryspark.llm.common import each_step, texts
 POOL = 1024
 #: Free space of fewer tokens is padded rather than filled with a cut piece.
 LEAST_CUT = 8
-#: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 300_000
+#: Distinct pieces whose ids a Python worker keeps.
+KEPT_PIECES = 200_000
+#: Words of these characters are cut by the pattern below, which is the tokenizer's with its classes of letters and
+#: numbers written out for them; all other words are cut by the tokenizer.
+_LATIN = re.compile(r"[\n\x20-\x7e\xa1-\u024f]*").fullmatch
+_LETTERS, _NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+"
+                     r"|\s+(?!\S)|\s+").findall
 #: Text with white space that is not single spaces between words is encoded whole.
 _WIDE_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}] (?:[\s\x1c-\x1f\x{85}\p{Z}]|$)"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class WordEncoder:
     """Token ids of texts, exactly as the tokenizer gives them for the whole text.
 
-    Byte-level BPE never merges across the space before a word, so a text is
-    the sequence of its words with that space; each distinct word is encoded once.
+    Byte-level BPE never merges across the space before a word, so a text is the
+    sequence of its words with that space.  A distinct word is cut into the
+    tokenizer's pieces, and each distinct piece is merged once.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.cut, self.merge = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.space = self.cut(" ")[0][0]
-        self.known: dict[str, list[int]] = {}
-
-    def word(self, text: str) -> list[int]:
-        if text[:1] == " " and text.isascii() and text[1:].isalpha():
-            return [t.id for t in self.merge(self.space + text[1:])]
-        return [t.id for piece, _ in self.cut(text) for t in self.merge(piece)]
-
-    def words(self, distinct: list[str]) -> list[list[int]]:
+        # The byte-level spelling of each byte, read off the tokenizer: a character in UTF-8 is its bytes' spellings.
+        self.spelling = {chr(b): self.cut(chr(b))[0][0] for b in range(128)}
+        for lead in range(0xC2, 0xCA):
+            for tail in range(0x80, 0xC0):
+                char = bytes((lead, tail)).decode()
+                for byte, mark in zip((lead, tail), self.cut(char)[0][0]):
+                    self.spelling[chr(byte)] = mark
+        self.spelling = str.maketrans(self.spelling)
+        self.known: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        spelled = text if text.isascii() else text.encode().decode("latin-1")
+        return _packed([t.id for t in self.merge(spelled.translate(self.spelling))])
+
+    def word(self, text: str) -> bytes:
+        """Ids of a word as packed 32-bit integers, which cost a tenth of a list of them."""
+        if not _LATIN(text):
+            return _packed([t.id for piece, _ in self.cut(text) for t in self.merge(piece)])
         known, out = self.known, []
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for text in distinct:
-            ids = known.get(text)
+        for piece in _PIECES(text):
+            ids = known.get(piece)
             if ids is None:
-                ids = known[text] = self.word(" " + text)
+                ids = known[piece] = self.piece(piece)
             out.append(ids)
-        return out
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def words(self, distinct: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        return [self.word(" " + text) for text in distinct]
 
     def encode(self, column: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Places where the texts start (and the end), and all ids, each text closed by `end_id`."""
@@ -81,11 +106,11 @@ class WordEncoder:
         first = flat.take(pa.array(offsets[:-1])).to_pylist()
         for i in np.flatnonzero(whole).tolist():
             first[i] = None
-        own = [self.whole.encode(column[i].as_py(), add_special_tokens=False).ids if text is None else self.word(text)
-               for i, text in enumerate(first)]
-        table = word_ids + own + [[end_id]]
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        ids = np.fromiter((x for ids in table for x in ids), np.int32, int(sizes.sum()))
+        own = [_packed(self.whole.encode(column[i].as_py(), add_special_tokens=False).ids) if text is None
+               else self.word(text) for i, text in enumerate(first)]
+        table = [*word_ids, *own, _packed([end_id])]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids = np.frombuffer(b"".join(table), np.int32)
         at = np.concatenate([[0], np.cumsum(sizes)])
         # Entry numbers in text order, with the end id behind each text.
         n = len(first)
@@ -114,6 +139,12 @@ def encoder(path: str) -> WordEncoder:
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
               end_id: int = 0) -> DataFrame:
     """Examples (id, ids as little-endian 32-bit binary, n_loss): all ids of a document bear loss."""
+    narrow = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text"))
+    schema = narrow.select("id", F.col("text").alias("ids"), F.lit(0).cast("long").alias("n_loss")).schema
+    return narrow.mapInArrow(lambda batches: _encoded(batches, tokenizer_path, end_id), schema)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     def encode(batch):
         starts, ids = encoder(tokenizer_path).encode(batch.column("text"), end_id)
         raw = ids.astype("<u4").tobytes()
@@ -121,15 +152,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             batch.column("id"), pa.array([raw[4 * a:4 * b] for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
             pa.array(np.diff(starts))], names=["id", "ids", "n_loss"])
 
-    narrow = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text"))
-    schema = narrow.select("id", F.col("text").alias("ids"), F.lit(0).cast("long").alias("n_loss")).schema
-    return narrow.mapInArrow(lambda it: (y for b in it for y in each_step(_thin(b), "text", encode)), schema)
-
-
-def _thin(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Slices of few rows: the ids of a step take several times its text."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    # Slices of few rows: the ids of a step take several times its text.
+    thin = (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000))
+    return each_step(thin, "text", encode)
 
 
 class Packer:
@@ -199,35 +224,54 @@ class Packer:
             return
 
 
+NAMES = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def _packed_pieces(batches: Iterator[pa.RecordBatch], max_tokens: int, max_segments: int,
+                   max_loss: int) -> Iterator[pa.RecordBatch]:
+    packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 33)
+    kind = None
+
+    def flush():
+        rows, packer.out = packer.out, []
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(
+            (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=NAMES)
+
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        for key, ids, n_loss in zip(*(batch.column(k).to_pylist() for k in ("id", "ids", "n_loss"))):
+            packer.add(key, ids, n_loss)
+            if len(packer.out) >= 4096:
+                yield flush()
+    while packer.pool:
+        packer.fill()
+    if packer.out:
+        yield flush()
+
+
+def _schema(ids: DataFrame):
+    long = {name: F.lit(0).cast("long").alias(name) for name in NAMES}
+    return ids.select(*(long.get(name) if name not in ("id", "ids") else F.col(name) for name in NAMES)).schema
+
+
 def pack(examples: DataFrame, max_tokens: int = 1024, max_segments: int = 128,
          max_loss: int | None = None) -> DataFrame:
     """Pieces of the examples (id, ids, n_loss) in sequences under all three limits.
 
     Returns id, start, length, ids (binary), doc_tokens, sequence_id, offset.  A
-    sequence's number is its task's partition and its place there.  The longest
-    example a task holds at a time is one row and the waiting pool.
+    sequence's number is its task's partition and its place there.  A task holds
+    one batch of rows and the waiting pool.
     """
-    max_loss = max_tokens if max_loss is None else max_loss
-
-    def run(batches):
-        packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 33)
-        for batch in batches:
-            for key, ids, n_loss in zip(*(batch.column(k).to_pylist() for k in ("id", "ids", "n_loss"))):
-                packer.add(key, ids, n_loss)
-                if len(packer.out) >= 4096:
-                    yield flush(packer, batch.schema.field("id").type)
-            kind = batch.schema.field("id").type
-        while packer.pool:
-            packer.fill()
-        if packer.out:
-            yield flush(packer, kind)
-
-    def flush(packer, kind):
-        rows, packer.out = packer.out, []
-        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(
-            (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+    limits = max_tokens, max_segments, max_tokens if max_loss is None else max_loss
+    return examples.select("id", "ids", "n_loss").mapInArrow(
+        lambda batches: _packed_pieces(batches, *limits), _schema(examples))
+
 
-    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    schema = examples.select("id", *(F.lit(0).cast("long").alias(x) for x in ("start", "length")), "ids", *(
-        F.lit(0).cast("long").alias(x) for x in names[4:])).schema
-    return examples.select("id", "ids", "n_loss").mapInArrow(run, schema)
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+                   end_id: int = 0, max_tokens: int = 1024, max_segments: int = 128,
+                   max_loss: int | None = None) -> DataFrame:
+    """`pack` of `tokenized` in one pass, so that the ids of an example never leave the task but in its pieces."""
+    limits = max_tokens, max_segments, max_tokens if max_loss is None else max_loss
+    narrow = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text"))
+    return narrow.mapInArrow(lambda batches: _packed_pieces(_encoded(batches, tokenizer_path, end_id), *limits),
+                             _schema(narrow.withColumnRenamed("text", "ids")))

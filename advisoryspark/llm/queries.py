@@ -87,8 +87,8 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    examples = packing.tokenized(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return packing.pack(examples).select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+    packed = packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
                                          "doc_tokens", "sequence_id", "offset")
 
 

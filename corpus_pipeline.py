@@ -33,8 +33,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
-    examples = packing.tokenized(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(examples).withColumnRenamed("id", "doc_id")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
