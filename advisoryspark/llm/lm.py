@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from advisoryspark.llm.common import each_step, fold_table, materialize, mixed, texts, word_hashes, word_table
 
-CLASSES = 32
+CLASSES = 64
 #: Frequent words that are classes of their own; the last class is the end of the text.
-SINGLE = 11
+SINGLE = 23
 ENDINGS = 512
 #: Hashed rows of weights; they are sorted as 16-bit numbers.
 ROWS = 1 << 15

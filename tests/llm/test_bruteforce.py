@@ -210,3 +210,12 @@ def test_language_model_base(spark, small, docs, monkeypatch, head):
         assert r["score"] < 0
     unseen = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_language_model_classes(spark, table):
+    """The 23 most frequent words are classes of their own, and 64 classes are told apart."""
+    texts = [" ".join(f"word{k}" for k in range(40) for _ in range(1 + (40 - k) // (1 + i % 2))) for i in range(4)]
+    vocabulary, _ = lm.learn_vocabulary(table(texts).select(lm.texts("text").alias("text")))
+    assert len(vocabulary.class_tokens) == 64 and sorted(vocabulary.single.values()) == list(range(23))
+    assert set(vocabulary.single) == {xxhash.xxh64_intdigest(f"word{k}") for k in range(23)}
+    assert (vocabulary.class_types[:23] == 1).all() and vocabulary.ending_class.min() >= 23
