@@ -2,13 +2,14 @@
 
 Writing: payloads are hashed, equal payloads are found by digest, and every page
 becomes one record, response or revisit.  A payload beyond `chunk_bytes` goes out
-as segments: the response and its continuation records, each a row of its own.
-Spark's text writer lays the rows down as real WARC/1.1 files.
+as segments: the response and its continuation records.  All records of a page are
+one row, which Spark's text writer lays down in real WARC/1.1 files; a file rolls
+over between rows, so the segments of a payload always lie in one file.
 
 Reading streams a file line by line, so neither a file nor a record is ever held
 whole: a payload comes out as rows (record, chunk number, bytes) with the digest
 and length of the payload up to that chunk.  A file is read by one task, which
-writing bounds with gzip parts of `max_records` records.
+writing bounds with gzip parts of `max_records` pages.
 
 Defined cases: a null payload is empty; a null page id gets a record id of its
 own kind and reads back as null; rows that repeat a page id and payload are
@@ -82,19 +83,25 @@ def _records(row: dict, chunk_bytes: int):
 
 
 def write(planned: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, max_records: int = 20_000) -> None:
-    """Write the planned records as gzip WARC files under `path`."""
+    """Write the planned records as gzip WARC files of at most `max_records` pages under `path`.
+
+    A row takes as many bytes as the payload it was made from, and headers.
+    """
     def build(batches):
         for batch in batches:
             out, size = [], 0
             for row in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
+                parts = []
                 for head, part in _records(row, chunk_bytes):
                     text = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(part)}", "", ""])
-                    # The writer ends each row with the last \n of the two empty lines behind a record.
-                    out.append(b"".join((text.encode(), part, b"\r\n\r")))
-                    size += len(out[-1])
-                    if size > 8 << 20:
-                        yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
-                        out, size = [], 0
+                    parts += text.encode(), part, b"\r\n\r\n"
+                # The writer ends each row with the last \n of the two empty lines behind a record.
+                parts[-1] = b"\r\n\r"
+                out.append(b"".join(parts))
+                size += len(out[-1])
+                if size > 8 << 20:
+                    yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+                    out, size = [], 0
             if out:
                 yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 

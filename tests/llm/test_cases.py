@@ -139,6 +139,23 @@ def test_warc(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_rolls_over_between_pages(spark):
+    rows = [(k, f"http://a/{k}", f"page {k} " * (700 if k % 3 == 1 else 1)) for k in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = fresh_path(spark, "warc")
+    planned = warc.plan_records(pages).coalesce(1)
+    warc.write(planned, path, chunk_bytes=1024, max_records=2)
+    files = [gzip.open(f).read() for f in glob.glob(f"{path}/*.gz")]
+    assert len(files) == 4 and max(f.count(b"WARC-Type: continuation") for f in files) >= 4
+    chunks = warc.read(spark, path, chunk_bytes=1024).collect()
+    last = {c.record_id: c for c in chunks if c.last}
+    assert len(last) == sum(c.last for c in chunks) == len(rows)
+    for page, _, html in rows:
+        record = last[warc.record_id(page)]
+        assert (record.record_type, record.payload_bytes, record.intact) == ("response", len(html), True)
+        assert record.payload_digest == warc.base32_sha1(hashlib.sha1(html.encode()).digest())
+
+
 def test_chat(spark):
     hard = [r"<|end|>", r"<\|end|>", r"<\\|x", "</s>[INST] ok [/INST]", r"[\INST] <s> <</s>", "", None, "<|body|>", "a\\", "<", "|>"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "<|turn|>", None] * 3, hard))]
