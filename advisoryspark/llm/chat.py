@@ -5,7 +5,8 @@ The visitor goes through them in order: text is escaped and kept, an image, audi
 or document part becomes a placeholder, and its attachment is recorded with its
 place and the tokens it will take.  Control strings are written only by the
 template: in texts, roles and references they are escaped by one more backslash
-behind their first character, which `unescape` takes away again.
+behind their first character, which `unescape` takes away again.  Neighbouring
+texts are joined before that, as a control string may begin in one and end in the next.
 
 Defined cases: null text and null roles are empty; null or empty parts add
 nothing; a part of unknown or null type is treated as text; rows with equal turns
@@ -40,11 +41,16 @@ def text_part(text: Column) -> Column:
                                                    ("seconds", "double"), ("pages", "int")))).cast(PART)
 
 
-def _rendered(part: Column) -> Column:
+def _is_text(part: Column) -> Column:
+    return ~F.coalesce(part["type"].isin("image", "audio", "document"), F.lit(False))
+
+
+def _rendered(part: Column, run: Column) -> Column:
+    """The placeholder of an attachment, or the escaped texts of the run that `part` begins."""
     kind = part["type"]
     marks = [F.when(kind == "image", F.lit(IMAGE)), F.when(kind == "audio", F.lit(AUDIO)),
              F.when(kind == "document", F.lit(DOCUMENT))]
-    return F.coalesce(*marks, escape(part["text"]))
+    return F.coalesce(*marks, escape(F.array_join(run["text"], "")))
 
 
 def _expanded(part: Column) -> Column:
@@ -60,8 +66,16 @@ def visit(turns: DataFrame, parts_col: str = "parts") -> DataFrame:
     An attachment has its type, reference, place in the body and expanded tokens.
     """
     parts = F.filter(F.coalesce(F.col(parts_col), F.expr(f"cast(array() as array<{PART}>)")), lambda p: p.isNotNull())
-    pieces = F.transform(parts, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"),
-                                                   _rendered(p).alias("body"), _expanded(p).alias("tokens")))
+    # A piece is an attachment or a run of texts; these are the places (from 1) where one begins.
+    borders = F.filter(F.transform("parts", lambda p, i: F.when(
+        (i == 0) | ~_is_text(p) | ~_is_text(F.get("parts", i - 1)), i + 1)), lambda at: at.isNotNull())
+
+    def piece(at, k):
+        part = F.get("parts", at - 1)
+        run = F.slice("parts", at, F.coalesce(F.get("borders", k + 1), F.size("parts") + 1) - at)
+        return F.struct(part["type"].alias("type"), part["ref"].alias("ref"), _rendered(part, run).alias("body"),
+                        _expanded(part).alias("tokens"))
+
     # The place of an attachment is the length of the pieces before it.
     start = F.expr(f"struct(cast(0 as long) as at, cast(array() as array<struct<type:string,ref:string,at:long,"
                    f"tokens:long>>) as found)")
@@ -70,7 +84,8 @@ def visit(turns: DataFrame, parts_col: str = "parts") -> DataFrame:
         F.when(p["tokens"].isNotNull(), F.concat(s["found"], F.array(F.struct(
             p["type"].alias("type"), p["ref"].alias("ref"), s["at"].alias("at"), p["tokens"].alias("tokens")))))
         .otherwise(s["found"]).alias("found")))["found"]
-    return (turns.withColumn("pieces", pieces)
+    return (turns.withColumn("parts", parts).withColumn("borders", borders)
+            .withColumn("pieces", F.transform("borders", piece))
             .select("conv_id", "turn", "role", F.array_join(F.transform("pieces", lambda p: p["body"]), "").alias("body"),
                     walked.alias("attachments")))
 

@@ -189,6 +189,22 @@ def test_chat_parts(spark):
     assert [row.formatted[s.start:s.start + s.length] for s in row.loss_spans] == [chat.DOCUMENT + "ok"]
 
 
+def test_chat_control_strings_across_parts(spark):
+    part = lambda t, text, ref=None: (t, text, ref, None, None, None, None)
+    rows = [(1, 0, "user", [part("text", "a <"), part("text", "|end|>"), part("odd", "<"), part(None, "/s>"), None,
+                            part("image", None, "i.png"), part("text", "<|im"), part("text", None), part("text", "age|>"),
+                            part("text", "["), part("text", "INST] <\\"), part("text", "|x")]),
+            (1, 1, "assistant", [part("text", "<|"), part("text", "body|>")])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    row = chat.render(chat.visit(df)).withColumn("read", chat.parse(F.col("formatted"))).withColumn(
+        "loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert [(t.role, t.text) for t in row.read] == [
+        ("user", "a <|end|></s>" + chat.IMAGE + "<|image|>[INST] <\\|x"), ("assistant", "<|body|>")]
+    assert row.loss == "<|body|>" and row.formatted.count(chat.END) == 2 and row.formatted.count(chat.IMAGE) == 1
+    assert [(a.type, a.ref) for a in row.attachments] == [("image", "i.png")]
+    assert row.formatted[row.attachments[0]["at"]:].startswith(chat.IMAGE)
+
+
 def test_quality(spark, odd):
     rows = {(r.id, r.n_words): r for r in quality.judge(odd).collect()}
     assert quality.judge(odd).count() == 9
