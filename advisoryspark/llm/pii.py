@@ -2,19 +2,20 @@
 
 Base finders give spans of emails, IP addresses, card and phone numbers.  Each
 value found is a protected entity.  The corpus then tells which terms reveal an
-entity: with probabilities estimated from distinct contexts (the words around a
-mention; repeated copies of a context count once), a term t discloses an entity e
-when PMI(t; e) = log p(t, e) / (p(t) p(e)) reaches `disclosure` times the
-information content -log p(e), over at least `support` distinct contexts.  The
-occurrences of such a term beside that entity are spans of kind `term`;
-`sanitise` generalises entities to their kind and removes disclosing terms.
-
-Joins are on the entity or the term.  Mentions have a bounded number of context
-words, so a document with many mentions gives rows in proportion; counts are
-summed in each task before a shuffle, so a hot entity or word is one row a task.
+entity: with probabilities over whole documents, a term t (outside base spans)
+discloses an entity e when PMI(t; e) = log p(t, e) / (p(t) p(e)) reaches
+`disclosure` times the information content -log p(e), over at least `support`
+documents of different text (repeated copies count once).  Every occurrence of such
+a term in a document that holds the entity is a span of kind `term`; documents
+without the entity keep the word.  `sanitise` generalises entities to their kind
+and removes disclosing terms.
+
+Joins are on the entity, the term or the row.  Pairs of an entity and a term are
+counted in each task before a shuffle, so a hot entity or word is one row a task
+and pair; only entities in `support` different texts are paired with terms.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged each
-on its own; an entity seen in one context discloses nothing; an empty table
+on its own; an entity seen in one text discloses nothing; an empty table
 gives an empty result; extra columns are kept by `sanitise`.
 """
 
@@ -34,9 +35,7 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 SPAN = "struct<start:long,rank:int,end:long,value:string>"
-#: Characters on either side of a mention in which its context words lie, and how many of them count there.
-REACH, CONTEXT_WORDS = 120, 8
-#: Words of a context: three letters or more.
+#: Words that may disclose: three letters or more.
 TERM = r"\p{L}{3,}+"
 
 
@@ -63,7 +62,7 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, rank: int, valid=lambda value: F.lit(True)) -> Column:
+def located(text: Column, pattern: str | Column, rank: int, valid=lambda value: F.lit(True)) -> Column:
     """Spans of the valid matches: the lengths of the matches and of the pieces between them give the places."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("before"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
@@ -96,72 +95,82 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["rank"].cast("string"), value)
 
 
-def _context(text: Column, spans: Column, span: Column) -> Column:
-    """Context words of a mention with their places; words cut by the reach or inside a span do not count."""
-    left_at = F.greatest(span["start"] - REACH, F.lit(0).cast("long"))
-    left = F.substring(text, (left_at + 1).cast("int"), (span["start"] - left_at).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(REACH))
+def _rewritten(text: Column, spans: Column, mark) -> Column:
+    """Text with `mark(span)` for each span; a span inside what is already cut adds nothing."""
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(done, span):
+        gap = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(
+            span["start"] - done["at"], F.lit(0).cast("long")).cast("int"))
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], F.array(
+            gap, F.when(span["start"] < done["at"], "").otherwise(mark(span)))).alias("out"))
+
+    return F.aggregate(spans, state, step, lambda done: F.concat(
+        F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.lit(2147483647))))
 
-    def words(side, offset, whole):
-        return F.transform(F.filter(located(side, TERM, KINDS.index("term")), whole), lambda w: F.struct(
-            (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["value"]).alias("term")))
 
-    before = words(left, left_at, lambda w: (w["start"] > 0) | (left_at == 0))
-    after = words(right, span["end"], lambda w: w["end"] < REACH)
-    free = lambda side: F.filter(side, lambda w: ~F.exists(
-        spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    before = F.reverse(F.slice(F.reverse(free(before)), 1, CONTEXT_WORDS))
-    return F.concat(before, F.slice(free(after), 1, CONTEXT_WORDS))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def find(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
-    """Columns `keep`, a row key, the base spans, and each mention with its context; no shuffle."""
+    """Columns `keep`, a row key, the base spans, the distinct entities, and the text where there are any; no shuffle."""
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("body"),
                        F.monotonically_increasing_id().alias("row_key"))
     spanned = rows.withColumn("spans", base_spans(F.col("body")))
-    mentions = F.transform("spans", lambda s: F.struct(
-        _entity(s).alias("entity"), _context(F.col("body"), F.col("spans"), s).alias("words")))
-    return spanned.withColumn("mentions", mentions).drop("body")
+    return (spanned.withColumn("entities", F.array_distinct(F.transform("spans", _entity)))
+            .withColumn("body", F.when(F.size("spans") > 0, F.col("body"))))
 
 
 def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Number of documents that hold each term, over whole texts."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    return docs.select(F.explode(_terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", disclosure: float = 0.9,
                support: int = 3) -> DataFrame:
     """Pairs (entity, term) whose PMI reaches `disclosure` times the entity's information content."""
-    n_docs = docs.count()
-    mentions = found.select("row_key", F.explode("mentions").alias("m")).select("row_key", "m.*")
-    entities = mentions.groupBy("entity").agg(F.count_distinct("row_key").alias("n_entity"))
-    context = F.xxhash64(F.transform("words", lambda w: w["term"]))
-    pairs = (mentions.select("row_key", "entity", context.alias("context"), F.explode("words").alias("w"))
-             .groupBy("entity", F.col("w.term").alias("term"))
-             .agg(F.count_distinct("row_key").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
+    n_docs = float(max(docs.count(), 1))
+    inside = found.where(F.size("entities") > 0).select("row_key", "entities", "body", "spans",
+                                                        F.xxhash64("body").alias("context"))
+    entities = materialize(inside.select("context", F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"), F.count_distinct("context").alias("n_contexts"))
+        .where(F.col("n_contexts") >= support).drop("n_contexts"), "entities")
+    wanted = (inside.select("row_key", F.explode("entities").alias("entity"))
+              .join(entities.select("entity"), "entity").groupBy("row_key").agg(F.collect_list("entity").alias("wanted")))
+    # Equal texts hold the same entities and terms: different texts of a pair are the rows that are the first of their text.
+    first = inside.groupBy("context").agg(F.min("row_key").alias("row_key")).select("row_key", F.lit(1).alias("first"))
+    outside = _rewritten(F.col("body"), F.col("spans"), lambda s: F.lit(" "))
+    pairs = (inside.join(wanted, "row_key").join(first, "row_key", "left")
+             .select(F.coalesce("first", F.lit(0)).alias("first"), "wanted", _terms(outside).alias("terms"))
+             .select("first", "terms", F.explode("wanted").alias("entity"))
+             .select("first", "entity", F.explode("terms").alias("term"))
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.sum("first").alias("n_contexts"))
              .where(F.col("n_contexts") >= support))
-    pairs = materialize(pairs, "pairs")
-    # One counting pass over the corpus; only terms of supported pairs go on to the join.
-    counted = document_counts(docs, text_col).join(pairs.select("term").distinct(), "term")
-    pmi = F.log(F.col("n_both") * F.lit(float(max(n_docs, 1))) / (F.col("n_term") * F.col("n_entity")))
-    information = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
-    return (pairs.join(entities, "entity").join(counted, "term")
+    pairs = materialize(pairs.join(entities, "entity"), "pairs")
+    # As n_both <= n_entity, no term in more documents than this reaches the threshold with any entity.
+    most = (pairs.agg(F.max("n_entity")).first()[0] or 0) ** disclosure * n_docs ** (1 - disclosure) * (1 + 1e-9)
+    counted = document_counts(docs, text_col).where(F.col("n_term").between(support, most if disclosure <= 1 else n_docs))
+    pmi = F.log(F.col("n_both") * F.lit(n_docs) / (F.col("n_term") * F.col("n_entity")))
+    information = F.log(F.lit(n_docs) / F.col("n_entity"))
+    return (pairs.join(materialize(counted, "terms"), "term")
             .where((information > 0) & (pmi >= disclosure * information)).select("entity", "term"))
 
 
 def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`found` with the spans of disclosing terms added to the base ones."""
-    places = (found.select("row_key", F.explode("mentions").alias("m"))
-              .select("row_key", "m.entity", F.explode("m.words").alias("w"))
-              .select("row_key", "entity", "w.term", "w.start", "w.end"))
-    extra = (places.join(pairs, ["entity", "term"])
-             .groupBy("row_key").agg(F.collect_set(F.struct(
-                 "start", F.lit(KINDS.index("term")).alias("rank"), "end", F.col("term").alias("value")).cast(SPAN))
-                 .alias("terms")))
-    return (found.drop("mentions").join(extra, "row_key", "left")
-            .withColumn("spans", F.array_sort(F.concat("spans", F.coalesce(
-                "terms", F.expr(f"cast(array() as array<{SPAN}>)"))))).drop("terms", "row_key"))
+    """`found` with the spans of disclosing terms added to the base ones, wherever they are in documents of their entity."""
+    wanted = (found.select("row_key", F.explode("entities").alias("entity"))
+              .join(pairs.groupBy("entity").agg(F.collect_list("term").alias("terms")), "entity")
+              .groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("wanted")))
+    term = KINDS.index("term")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("wanted", "|"), F.lit(r")(?!\p{L})"))
+    free = F.filter(located(F.col("body"), pattern, term), lambda w: F.array_contains("wanted", F.lower(w["value"]))
+                    & ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    extra = F.transform(free, lambda w: w.withField("value", F.lower(w["value"])))
+    return (found.join(wanted, "row_key", "left")
+            .withColumn("spans", F.when(F.col("wanted").isNull(), F.col("spans"))
+                        .otherwise(F.array_sort(F.concat("spans", extra))))
+            .drop("entities", "body", "wanted", "row_key"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -175,25 +184,16 @@ def kind_name(rank: Column) -> Column:
 
 
 def _replaced(text: Column, spans: Column) -> Column:
-    """Text with entities generalised to their kind and terms removed; a span inside what is already cut adds nothing."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(done, span):
-        gap = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(
-            span["start"] - done["at"], F.lit(0).cast("long")).cast("int"))
-        mark = F.when(span["start"] < done["at"], "").when(span["rank"] == KINDS.index("term"), "").otherwise(
-            F.concat(F.lit("["), F.upper(kind_name(span["rank"])), F.lit("]")))
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"),
-                        F.concat(done["out"], F.array(gap, mark)).alias("out"))
-
-    return F.aggregate(spans, state, step, lambda done: F.concat(
-        F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.lit(2147483647))))
+    """Text with entities generalised to their kind and terms removed."""
+    return _rewritten(text, spans, lambda span: F.when(span["rank"] == KINDS.index("term"), "").otherwise(
+        F.concat(F.lit("["), F.upper(kind_name(span["rank"])), F.lit("]"))))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
     """`docs` with personal data replaced by [KIND] and disclosing terms removed; null texts stay null."""
-    found = materialize(find(docs, [F.struct("*").alias("row")], text_col), "pii")
-    spanned = _with_terms(found, disclosing(found.select("row_key", "mentions"), docs, text_col, **thresholds))
+    found = materialize(find(docs, [F.struct("*").alias("row")], text_col).drop("body"), "pii")
+    found = found.withColumn("body", F.col(f"row.{text_col}"))
+    spanned = _with_terms(found, disclosing(found, docs, text_col, **thresholds))
     text = F.when(F.size("spans") == 0, F.col(f"row.{text_col}")).otherwise(
         _replaced(F.col(f"row.{text_col}"), F.col("spans")))
     return spanned.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")

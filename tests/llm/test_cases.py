@@ -264,6 +264,24 @@ def test_disclosing_terms(spark):
     assert "Zorblax" not in cleaned[0] and "[EMAIL]" in cleaned[0] and "Qwerty" in cleaned[60]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A term of every document of an entity is found and cut wherever it stands there, and only there."""
+    far = " ".join(f"plain{c} text of some length" for c in "abcdefghijkl") * 2
+    rows = [(i, f"Zorblax opens item {'qrstuvwx'[i] * 5}. {far} write to zb@x.org now. {far} ZORBLAX ends it, Zorblaxian not.")
+            for i in range(6)]
+    rows += [(10 + i, f"{far} write to m{i}@y.org now. opens item ends not") for i in range(8)]
+    rows += [(30 + i, f"{far} opens item ends write now not Zorblaxian") for i in range(20)]
+    rows += [(60 + i, f"Qwerty was here. {far} copies q@z.org") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.id: [s for s in r.spans if pii.KINDS[s["rank"]] == "term"] for r in pii.detect(docs).collect()}
+    for i, text in rows:
+        assert [text[s.start:s.end] for s in found[i]] == (["Zorblax", "ZORBLAX"] if i < 6 else [])
+        assert all(s.value == "zorblax" for s in found[i])
+    cleaned = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert cleaned[0].startswith(" opens item qqqqq.") and cleaned[0].endswith(f"[EMAIL] now. {far}  ends it, Zorblaxian not.")
+    assert cleaned[60] == rows[-6][1].replace("q@z.org", "[EMAIL]")
+
+
 def test_suffix(odd, spark):
     rows = suffix.measure(odd).collect()
     assert len(rows) == 9 and {r.n_bytes for r in rows if r.id == 3} == {0}
