@@ -4,11 +4,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisoryspark.llm import (chat, decontaminate, lm, packing, pii, quality, simhash, suffix, toxicity, warc)
+from advisoryspark.llm import (alignment, chat, decontaminate, lm, packing, pii, quality, simhash, suffix, toxicity,
+                               warc)
 from advisoryspark.llm.common import load
 from advisoryspark.session import fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _remainder(modulus: int):
@@ -99,5 +101,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in (TOKENIZER, PIECES))
+    aligned = alignment.align_documents(load(spark, sf_dir, "documents"), a, b, digest=True)
+    return aligned.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                          F.col("groups").cast("string").alias("groups_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_warc, op4_chat, op5_quality, op6_maxent, op7_pii,
-                                   op8_suffix, op9_packing, op10_decontaminate)}
+                                   op8_suffix, op9_packing, op10_decontaminate, op11_alignment)}
