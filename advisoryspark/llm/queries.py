@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisoryspark.llm import (alignment, chat, decontaminate, lm, packing, pii, quality, simhash, suffix, toxicity,
-                               warc)
+from advisoryspark.llm import (alignment, chat, decontaminate, jaccard, lm, packing, pii, quality, simhash, spelling,
+                               suffix, toxicity, warc)
 from advisoryspark.llm.common import load
 from advisoryspark.session import fresh_path
 
@@ -108,5 +108,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("groups").cast("string").alias("groups_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(load(spark, sf_dir, "documents"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.assign(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_warc, op4_chat, op5_quality, op6_maxent, op7_pii,
-                                   op8_suffix, op9_packing, op10_decontaminate, op11_alignment)}
+                                   op8_suffix, op9_packing, op10_decontaminate, op11_alignment, op12_spelling,
+                                   op13_jaccard)}
