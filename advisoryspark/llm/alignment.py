@@ -2,9 +2,9 @@
 
 Both tokenizers encode a text whole; their tokens must spell the same bytes, a space and the text.  A place where a
 token of each ends and a space-marked token of each follows is an anchor.  Anchors split a document into windows of
-token ids; a window's alignment depends on its ids alone, so it is worked out once for each distinct pair of id tuples
-and kept by the worker (KEPT_WINDOWS at most, a memo and nothing more).  Inside a window, places where both tokens end
-cut groups, and tokens whose bytes overlap are linked.
+token ids; a window's alignment depends on its ids alone, so in each run of documents (STEP bytes) the windows are
+numbered by their pair of id tuples and each distinct one is aligned once.  Inside a window, places where both tokens
+end cut groups, and tokens whose bytes overlap are linked.
 
 The first pass writes the ids, two bytes each where the vocabularies allow, and counts the linked id pairs; the second
 reads the ids back and looks the counts up.  The most frequent pairs (HEAD at most) are broadcast; all other links go
@@ -18,6 +18,7 @@ worker needs some 60 times the bytes of the longest text.
 """
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from advisoryspark.llm.common import each_step, materialize, texts
 from advisoryspark.llm.packing import WordEncoder
 
-#: Windows and words whose results a worker keeps, pairs it sums up before they go out.
-KEPT_WINDOWS, KEPT_WORDS, OPEN_PAIRS = 200_000, 200_000, 1 << 21
+#: Bytes of text in a numpy step, words whose ids a worker keeps, pairs it sums up before they go out.
+STEP, KEPT_WORDS, OPEN_PAIRS = 2 << 20, 100_000, 1 << 20
 #: Pairs whose counts are broadcast at most (16 bytes each).
 HEAD = 1 << 20
 _LOW = (1 << 32) - 1
@@ -75,7 +76,7 @@ class PieceTokens:
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(pieces)]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.cast(pa.string())
@@ -90,7 +91,7 @@ class PieceTokens:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         self.known.update(zip(new, self._encoded(new)))
-        table = [self.known[w] for w in words]
+        table = list(map(self.known.__getitem__, words))
         entries = coded.indices.to_numpy().astype(np.int64)
         if whole.any():  # such a text is the one entry ""; put its own ids there
             own = np.flatnonzero(whole)
@@ -101,35 +102,38 @@ class PieceTokens:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ends[offsets], flat[np.repeat(starts[entries] - ends[:-1], sizes) + np.arange(ends[-1])]
 
-    def _encoded(self, strings: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in self.model.encode(strings, num_threads=1)] if strings else []
+    def _encoded(self, strings: list[str]) -> list[bytes]:
+        """Ids of each string as packed 32-bit integers."""
+        return [array("i", x).tobytes() for x in self.model.encode(strings, num_threads=1)] if strings else []
 
 
-def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in arrays], dtype=np.int64)])
-    return starts, np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(packed), np.int32)
 
 
-def align(a: tuple, b: tuple, a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list, list]:
-    """Groups ((ids of A, ids of B), ...) and links (id of A, id of B) of two id tuples that spell the same bytes."""
-    groups, links, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append((a[i], b[j]))
-        i, j, here_a, here_b = i + (end_a <= end_b), j + (end_b <= end_a), end_a, end_b
-        if here_a == here_b:
-            groups.append((a[first_i:i], b[first_j:j]))
-            first_i, first_j = i, j
-            if i == len(a):
-                return groups, links
-        if here_a <= here_b:
-            end_a += len(a_bytes[a[i]])
-        if here_b <= here_a:
-            end_b += len(b_bytes[b[j]])
+@dataclass
+class Ends:
+    """Tokens of both sides over the same bytes, cut at every place where a token ends."""
+
+    a_end: np.ndarray  # place behind each token
+    b_end: np.ndarray
+    both: np.ndarray  # for each place, whether tokens of both sides end there
+    a_of: np.ndarray  # tokens of the two sides that meet in each piece between neighbouring ends: the links
+    b_of: np.ndarray
 
 
-def written(groups: list) -> bytes:
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups).encode()
+def ends_of(a_size: np.ndarray, b_size: np.ndarray) -> Ends:
+    """Two runs of tokens that spell the same bytes, by the sizes of their tokens.
+
+    Tokens overlap in one piece of text or in none, so each piece is one link."""
+    a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
+    total = int(a_end[-1]) if len(a_end) else 0
+    in_a, in_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+    in_a[a_end], in_b[b_end] = True, True
+    cut = np.flatnonzero(in_a | in_b)
+    a_here, b_here = in_a[cut], in_b[cut]
+    return Ends(a_end, b_end, in_a & in_b, np.cumsum(a_here) - a_here, np.cumsum(b_here) - b_here)
 
 
 @dataclass
@@ -147,11 +151,6 @@ class Windows:
         total = np.concatenate([[0], np.cumsum(of_distinct[self.code], dtype=np.int64)])
         return np.diff(total[self.starts])
 
-    def over_links(self, of_link: np.ndarray) -> np.ndarray:
-        """Sum of a number of each link over the links of each distinct window."""
-        total = np.concatenate([[0], np.cumsum(of_link, dtype=np.int64)])
-        return np.diff(total[self.link_starts])
-
 
 class Aligner:
     """Both tokenizers and the memo of a worker."""
@@ -161,7 +160,9 @@ class Aligner:
         self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
         self.marked = [np.array([x[:1] == b" " for x in t.bytes]) for t in (self.a, self.b)]
         self.narrow = [np.dtype("<u2" if len(t.bytes) <= 1 << 16 else "<u4") for t in (self.a, self.b)]
-        self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        # Written ids with what may follow them: another of the group, or the end of the group's side.
+        self.written = [b"%d%c" % (i, mark) for t, marks in ((self.a, b",|"), (self.b, b",;"))
+                        for mark in marks for i in range(len(t.bytes))]
 
     def tokens(self, column: pa.Array):
         """(starts, ids) of A and of B; documents that either does not spell back are left without tokens."""
@@ -184,14 +185,13 @@ class Aligner:
         return kept
 
     def windows(self, a_starts, a_ids, b_starts, b_ids) -> Windows:
-        a_end, b_end = (np.cumsum(s[i]) for s, i in zip(self.sizes, (a_ids, b_ids)))
-        total = int(a_end[-1]) if len(a_end) else 0
-        ends = [np.zeros(total + 1, bool), np.zeros(total + 1, bool)]
-        ends[0][a_end], ends[1][b_end] = True, True
-        shared = np.flatnonzero(ends[0] & ends[1])
-        after_a, after_b = (np.searchsorted(e, shared, side="right") for e in (a_end, b_end))
-        last = np.append(a_end, 0)[a_starts[1:] - 1]  # ends of documents; those without tokens repeat one
-        anchor = np.isin(shared, last, kind="sort")
+        """Documents cut at their anchors, each distinct window aligned."""
+        ends = ends_of(self.sizes[0][a_ids], self.sizes[1][b_ids])
+        shared = np.flatnonzero(ends.both)
+        after_a, after_b = (np.searchsorted(e, shared, side="right") for e in (ends.a_end, ends.b_end))
+        last = np.zeros(len(ends.both), bool)
+        last[np.append(ends.a_end, 0)[a_starts[1:] - 1]] = True  # ends of documents; those without tokens repeat one
+        anchor = last[shared]
         inside = np.flatnonzero(~anchor)
         anchor[inside] = self.marked[0][a_ids[after_a[inside]]] & self.marked[1][b_ids[after_b[inside]]]
         a_hi, b_hi = after_a[anchor], after_b[anchor]
@@ -203,25 +203,28 @@ class Aligner:
         places = np.concatenate([[0], a_hi + b_hi]).astype(np.int64) * 4
         keys = pa.Array.from_buffers(pa.large_binary(), len(a_hi), [None, pa.py_buffer(places), pa.py_buffer(ids)])
         coded = keys.dictionary_encode()
-        found = [self.window(k) for k in coded.dictionary.to_pylist()]
-        links = np.frombuffer(b"".join(x[2] for x in found), np.int64)
         return Windows(np.concatenate([[0], np.searchsorted(a_hi, a_starts[1:], side="right")]),
-                       coded.indices.to_numpy().astype(np.int64), np.array([x[0] for x in found], np.int64),
-                       [x[1] for x in found],
-                       np.concatenate([[0], np.cumsum([len(x[2]) // 8 for x in found], dtype=np.int64)]), links)
-
-    def window(self, key: bytes) -> tuple[int, bytes, bytes]:
-        """Number of groups, their text and the packed links of a window, from the memo where it was met before."""
-        entry = self.known.get(key)
-        if entry is None:
-            if len(self.known) >= KEPT_WINDOWS:
-                self.known.clear()
-            ids, first_b = np.frombuffer(key, np.uint32).tolist(), len(self.a.bytes)
-            a = tuple(i for i in ids if i < first_b)
-            groups, links = align(a, tuple(i - first_b for i in ids[len(a):]), self.a.bytes, self.b.bytes)
-            packed = np.array([x << 32 | y for x, y in links], np.int64).tobytes()
-            entry = self.known[key] = (len(groups), written(groups), packed)
-        return entry
+                       coded.indices.to_numpy().astype(np.int64), *self.align(*_unpacked(coded.dictionary, np.dtype("<u4"))))
+
+    def align(self, starts: np.ndarray, ids: np.ndarray):
+        """Groups, their text and links of windows of ids, A's before B's: number of groups, texts, first link, links."""
+        n, first_b = len(starts) - 1, len(self.a.bytes)
+        window = np.repeat(np.arange(n), np.diff(starts))
+        in_a = ids < first_b
+        a, b = ids[in_a], ids[~in_a] - first_b
+        ends = ends_of(self.sizes[0][a], self.sizes[1][b])
+        links = a[ends.a_of] << 32 | b[ends.b_of]
+        link_starts = np.searchsorted(window[in_a][ends.a_of], np.arange(n + 1))
+        # A token closes its side of a group where it ends with a token of the other side.
+        a_closes, b_closes = ends.both[ends.a_end], ends.both[ends.b_end]
+        a_group, b_group = np.cumsum(a_closes) - a_closes, np.cumsum(b_closes) - b_closes
+        entry = np.concatenate([a + first_b * a_closes, 2 * first_b + b + len(self.b.bytes) * b_closes])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        pieces = list(map(self.written.__getitem__, entry[order].tolist()))
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])[starts].tolist()
+        whole = b"".join(pieces)
+        groups = np.bincount(window[in_a][a_closes], minlength=n)
+        return groups, [whole[x:y] for x, y in zip(at[:-1], at[1:])], link_starts, links
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -249,8 +252,8 @@ def _aligned(both: Aligner, batch: pa.RecordBatch, pairs: Callable[[np.ndarray,
     (a_starts, a_ids), (b_starts, b_ids) = both.tokens(batch.column("text"))
     found = both.windows(a_starts, a_ids, b_starts, b_ids)
     pairs(found.links, np.repeat(np.bincount(found.code, minlength=len(found.text)), np.diff(found.link_starts)))
-    code, at = found.code.tolist(), found.starts.tolist()
-    text = [b";".join([found.text[c] for c in code[x:y]]) for x, y in zip(at[:-1], at[1:])]
+    at, told = found.starts.tolist(), list(map(found.text.__getitem__, found.code.tolist()))
+    text = [b"".join(told[x:y])[:-1] for x, y in zip(at[:-1], at[1:])]
     n = batch.num_rows
     return pa.record_batch([
         batch.column("row_key"), batch.column("id"), pa.array(np.diff(a_starts)), pa.array(np.diff(b_starts)),
@@ -285,7 +288,7 @@ def tokens_and_pairs(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
             return pa.record_batch([pa.nulls(len(pair), t) for t in id_type] + [pa.array(pair), pa.array(n)],
                                    names=_ALIGNED)
 
-        for batch in each_step(batches, "text", lambda b: _aligned(both, b, note)):
+        for batch in each_step(batches, "text", lambda b: _aligned(both, b, note), STEP):
             id_type = id_type or [c.type for c in batch.columns[:-2]]
             if digest:
                 hexed = [hashlib.sha256(x).hexdigest().encode() if x else b"" for x in batch.column("groups").to_pylist()]
@@ -327,36 +330,31 @@ def score_links(made: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def look_up(both: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
         known, times, highest = sent.value
         (a_starts, a_ids), (b_starts, b_ids) = (_unpacked(batch.column(c), k) for c, k in zip("ab", both.narrow))
-        found = both.windows(a_starts, a_ids, b_starts, b_ids)
-        place = np.minimum(np.searchsorted(known, found.links), max(len(known) - 1, 0))
-        sure = known[place] == found.links if len(known) else np.zeros(len(place), bool)
+        ends = ends_of(both.sizes[0][a_ids], both.sizes[1][b_ids])
+        links = a_ids[ends.a_of] << 32 | b_ids[ends.b_of]
+        link_starts = np.searchsorted(ends.a_of, a_starts)
+        place = np.minimum(np.searchsorted(known, links), max(len(known) - 1, 0))
+        sure = known[place] == links if len(known) else np.zeros(len(place), bool)
         count = np.where(sure, times[place] if len(known) else 0, 0)
-        is_best = sure & (count == highest[found.links & _LOW])
+        is_best = sure & (count == highest[links & _LOW])
         keys = batch.column("row_key").to_numpy()
         # Links outside the broadcast counts go on as rows, with the times they occur in the document.
-        open_links = np.flatnonzero(~sure)
-        rest_key, rest_pair, rest_times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(open_links):
-            window = np.repeat(np.arange(len(found.text)), np.diff(found.link_starts))[open_links]
-            first = np.searchsorted(window, found.code, side="left")
-            many = np.searchsorted(window, found.code, side="right") - first
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            owner = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(found.starts)), many)
-            distinct, code = np.unique(found.links[open_links][at], return_inverse=True)
-            cell, rest_times = np.unique(owner * max(len(distinct), 1) + code, return_counts=True)
-            rest_key, rest_pair = keys[cell // len(distinct)], distinct[cell % len(distinct)]
-        none = len(rest_key)
+        rest = np.flatnonzero(~sure)
+        owner = np.searchsorted(link_starts, rest, side="right") - 1
+        distinct, code = np.unique(links[rest], return_inverse=True)
+        cell, rest_times = np.unique(owner * max(len(distinct), 1) + code, return_counts=True)
+        rest_key, rest_pair = keys[cell // max(len(distinct), 1)], distinct[cell % max(len(distinct), 1)]
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[link_starts]) for x in (is_best, count)]
+        none = np.zeros(len(rest), np.int64)[:len(cell)]
         return pa.record_batch([
-            pa.array(np.concatenate([keys, rest_key])),
-            pa.array(np.concatenate([found.per_document(found.over_links(is_best)), np.zeros(none, np.int64)])),
-            pa.array(np.concatenate([found.per_document(found.over_links(count)), np.zeros(none, np.int64)])),
+            pa.array(np.concatenate([keys, rest_key])), *(pa.array(np.concatenate([x, none])) for x in sums),
             pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(rest_pair)]),
             pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(rest_times.astype(np.int64))])],
             names=["row_key", "n_best", "count_sum", "pair", "times"])
 
     def run(batches):
         both = aligner(a_path, b_path)
-        return each_step(batches, "a", lambda batch: look_up(both, batch))
+        return each_step(batches, "a", lambda batch: look_up(both, batch), STEP)
 
     looked = documents.mapInArrow(run, "row_key long, n_best long, count_sum long, pair long, times long")
     looked = materialize(looked, "links")

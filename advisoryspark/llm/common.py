@@ -35,8 +35,8 @@ def text_of(batch: pa.RecordBatch, path: str) -> pa.Array:
 
 
 def each_step(batches: Iterator[pa.RecordBatch], path: str,
-              fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Apply `fn` to runs of rows that hold about STEP_BYTES of the text at `path`."""
+              fn: Callable[[pa.RecordBatch], pa.RecordBatch], size: int = 0) -> Iterator[pa.RecordBatch]:
+    """Apply `fn` to runs of rows that hold about `size` bytes (STEP_BYTES) of the text at `path`."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,7 +44,7 @@ def each_step(batches: Iterator[pa.RecordBatch], path: str,
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + STEP_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(sizes, before + (size or STEP_BYTES), side="right")))
             yield fn(batch.slice(start, end - start))
             start = end
     give_back()

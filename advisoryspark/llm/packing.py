@@ -88,7 +88,9 @@ class WordEncoder:
     def words(self, distinct: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
-        return [self.word(" " + text) for text in distinct]
+        # Most words are one piece, and a piece met before needs no cutting.
+        spaced = [" " + text for text in distinct]
+        return [self.word(text) if ids is None else ids for text, ids in zip(spaced, map(self.known.get, spaced))]
 
     def encode(self, column: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Places where the texts start (and the end), and all ids, each text closed by `end_id`."""

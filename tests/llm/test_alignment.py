@@ -3,7 +3,9 @@
 import collections
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import sentencepiece
 from tokenizers import Tokenizer
@@ -132,11 +134,21 @@ def test_alignment_groups_and_cases(spark):
     assert [r.n_a for r in alignment.align_documents(odd, A, B).collect()] == [2, 2, 2]
 
 
-def test_windows_are_looked_up_by_id_tuples():
+def test_each_distinct_window_is_aligned_once():
     both = alignment.Aligner(A, B)
-    import pyarrow as pa
-    (a_starts, a_ids), (b_starts, b_ids) = both.tokens(pa.array(["the cat the cat", "the cat"]))
+    (a_starts, a_ids), (b_starts, b_ids) = both.tokens(pa.array(["the cat the cat", "", "the cat"]))
     found = both.windows(a_starts, a_ids, b_starts, b_ids)
-    assert len(found.code) == 6 and len(found.text) == 2 and len(both.known) == 2
-    assert alignment.align((1, 2), (5, 6), [b"", b"ab", b"c"], [b"", b"", b"", b"", b"", b"a", b"bc"]) == (
-        [((1, 2), (5, 6))], [(1, 5), (1, 6), (2, 6)])
+    assert len(found.code) == 6 and len(found.text) == len(found.groups) == 2 and found.starts.tolist() == [0, 4, 4, 6]
+
+
+def test_pieces_between_ends_are_the_links():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        cuts = [np.unique(np.append(rng.integers(1, 40, rng.integers(0, 12)), 40)) for _ in range(2)]
+        sizes = [np.diff(np.append(0, c)) for c in cuts]
+        ends = alignment.ends_of(*sizes)
+        low = [c - s for c, s in zip(cuts, sizes)]
+        want = [(i, j) for i in range(len(cuts[0])) for j in range(len(cuts[1]))
+                if low[0][i] < cuts[1][j] and low[1][j] < cuts[0][i]]
+        assert list(zip(ends.a_of.tolist(), ends.b_of.tolist())) == want
+        assert set(np.flatnonzero(ends.both).tolist()) == set(cuts[0].tolist()) & set(cuts[1].tolist())
