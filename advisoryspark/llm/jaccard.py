@@ -3,8 +3,9 @@
 Jaccard distance is a metric, but nearly all documents lie at distance 1 of one another, so a fixed choice of pivots
 would put every document into the window of every region.  Pivots are therefore found where documents are near: each
 set is filed under its rarest shingles, as many as two sets within the limit cannot both do without (rarity by a
-sketch of all shingles of the corpus, 2^20 counters, whatever the input).  The smallest set filed under a shingle is
-the pivot of the others there, and the sets of one pivot are a region: any two linked sets meet in one.
+sketch of all shingles of the corpus, 2^20 counters, whatever the input).  Sets under a shingle that cannot link with
+any other there, by their sizes and places in the order, leave it, and a gap in the sizes divides the rest.  The first
+set is the pivot of the others there, and the sets of one pivot are a region: any two linked sets meet in one.
 
 A region joins recursively.  Some of its sets become pivots; each set goes to its nearest pivot, and by the triangle
 inequality also into each region whose pivot is no more than 2 r farther (r: the greatest distance of a link).  Sets
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from advisoryspark.llm.simhash import Forest
 SHINGLE, LIMIT = 4, 85
 #: Counters of the sketch, and counters in a row that leaves a task.
 SLOTS, BLOCK = 1 << 20, 1 << 14
+#: Sets whose list of regions is sent to every task at most.
+MAX_SENT = 1 << 18
 #: Sets and bytes of sets in a region beyond which it is joined block against block; sets compared without pivots.
 REGION, REGION_BYTES, FEW = 4096, 64 << 20, 24
 LOWER = fold_table()
@@ -144,17 +148,28 @@ def _digest(made: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def regions(sets: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(region, sid, n): the sets of (sid, n, prefix) around each pivot, less those whose size fits no other there."""
-    filed = sets.select("sid", "n", F.explode("prefix").alias("shingle"))
-    under = Window.partitionBy("shingle").orderBy("sid")
-    stars = (filed.withColumn("region", F.first("sid").over(under)).where("region <> sid")
-             .select("region", "sid", "n").distinct())
+    """(region, sid, n): the sets of (sid, n, prefix) around each pivot.
+
+    Take two linked sets and the first of their common shingles in the order.  What they share comes from there on, so
+    the smaller set has that shingle among a few of its first (`early`), and their sizes differ by the limit at most.
+    Under each shingle only sets with such a partner stay; sizes are compared as logarithms, in whole millionths.
+    """
+    at = F.col("at")
+    filed = sets.select("sid", "n", F.posexplode("prefix").alias("at", "shingle")).select(
+        "sid", "n", "shingle", (at <= F.col("n") - F.ceil(F.col("n") * (2 * limit) / (100 + limit))).alias("early"),
+        F.round(F.log("n") * 1_000_000).cast("long").alias("size"))
+    width = int(-np.log(limit / 100) * 1_000_000) + 3
+    by_size = Window.partitionBy("shingle").orderBy("size")
+    early = F.col("early").cast("int")
+    smaller = F.sum(early).over(by_size.rangeBetween(-width, 0)) - early
+    larger = F.count(F.lit(1)).over(by_size.rangeBetween(0, width)) - 1
+    kept = filed.select("*", smaller.alias("smaller"), larger.alias("larger")).where("smaller > 0 or (early and larger > 0)")
+    gap = F.when(F.col("size") - F.lag("size").over(by_size) > width, 1).otherwise(0)
+    runs = kept.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_size))
+    pivot = F.min("sid").over(Window.partitionBy("shingle", "run"))
+    stars = runs.withColumn("region", pivot).where("region <> sid").select("region", "sid", "n").distinct()
     pivots = stars.select(F.col("region").alias("sid")).distinct().join(sets.select("sid", "n"), "sid")
-    members = stars.unionByName(pivots.select(F.col("sid").alias("region"), "sid", "n"))
-    by_size = Window.partitionBy("region").orderBy("n", "sid")
-    near = [(F.col("n") * limit <= F.lag("n").over(by_size) * 100), (F.lead("n").over(by_size) * limit <= F.col("n") * 100)]
-    return (members.select("*", near[0].alias("below"), near[1].alias("above")).where("below or above")
-            .select("region", "sid", "n"))
+    return stars.unionByName(pivots.select(F.col("sid").alias("region"), "sid", "n"))
 
 
 def shared(members: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
@@ -255,43 +270,83 @@ def _region_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.
         yield out()
 
 
-def _settled(rows: DataFrame, large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def _settled(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Links of the sets of large regions with their pivot, and what then remains of these regions.
 
     A row's task is chosen by region and set, and each such task is sent the pivot's set, so a large region is spread."""
     salts = 64
-    pivots = rows.where("region = sid").join(large, "region", "left_semi").dropDuplicates(["region"])
+    pivots = rows.where("region = sid").dropDuplicates(["region"])
     pivots = pivots.select("region", F.col("raw").alias("pivot"),
                            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     sized = "region long, sid long, n long, common long, pivot_n long"
 
     def measure(batches):
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("region", "sid", "raw", "pivot"))))
-            some = [(region, sid, np.frombuffer(raw, np.uint64), np.frombuffer(pivot or b"", np.uint64))
-                    for region, sid, raw, pivot in rows]
-            yield pa.record_batch([
-                pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()),
-                pa.array([len(x[2]) for x in some], pa.int64()),
-                pa.array([len(np.intersect1d(x[2], x[3], assume_unique=True)) for x in some], pa.int64()),
-                pa.array([len(x[3]) for x in some], pa.int64())], names=["region", "sid", "n", "common", "pivot_n"])
-
-    spread = rows.join(large, "region", "left_semi").withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int"))
-    joined = spread.join(pivots, ["region", "salt"], "left").select("region", "sid", "raw", "pivot")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("region", "sid", "raw", "pivot")))
+            found = [(region, sid, np.frombuffer(raw, np.uint64), np.frombuffer(pivot, np.uint64))
+                     for region, sid, raw, pivot in rows]
+            common = [len(np.intersect1d(x[2], x[3], assume_unique=True)) for x in found]
+            columns = [x[0] for x in found], [x[1] for x in found], [len(x[2]) for x in found], common, [len(x[3]) for x in found]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["region", "sid", "n", "common", "pivot_n"])
+
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(salts)).cast("int"))
+    joined = spread.join(pivots, ["region", "salt"]).select("region", "sid", "raw", "pivot")
     measured = materialize(joined.mapInArrow(measure, sized), "measured")
     union = F.col("n") + F.col("pivot_n") - F.col("common")
     measured = measured.distinct().select("region", "sid", (F.col("common") * 100 >= union * limit).alias("linked"),
                                           (1 - F.col("common") / union).alias("distance"))
     links = measured.where("linked and region <> sid").select(F.col("region").alias("a"), F.col("sid").alias("b"))
     r = 1 - limit / 100
-    outer = (measured.where("not linked").groupBy("region")
-             .agg(F.min("distance").alias("least"), F.count(F.lit(1)).alias("outer")))
+    outer = measured.where("not linked").groupBy("region").agg(F.min("distance").alias("least"))
     rest = (measured.join(outer, "region")
             .where(~F.col("linked") | (F.col("least") <= F.col("distance") + r + 1e-9))
             .select("region", "sid"))
     return links, rest
 
 
+def _in_blocks(rest: DataFrame, rows: DataFrame) -> DataFrame:
+    """What remains of large regions as regions of two blocks each, any two blocks of a region together."""
+    rest = rest.join(rows.dropDuplicates(["region", "sid"]), ["region", "sid"])
+    whole = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("raw")).alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") * 2 / REGION), F.ceil(F.col("total") * 2 / REGION_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    pairs = (rest.join(whole.select("region", blocks.alias("blocks")), "region").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    key = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+    return pairs.select(key.alias("region"), "sid", "raw")
+
+
+def _with_sets(docs: DataFrame, described: DataFrame, around: DataFrame, id_col: str, text_col: str,
+               size: int) -> DataFrame:
+    """(region, sid, raw): the members of the regions with their sets, made anew from the texts.
+
+    Texts meet the list of a set's regions by their id; the set's digest then tells the right text from others with
+    that id.  Where few sets are in regions the list is sent to the texts, else both are shuffled."""
+    listed = around.groupBy("sid").agg(F.collect_list("region").alias("regions"))  # as many as shingles in a prefix
+    wanted = materialize(described.join(listed, described["row_key"] == listed["sid"])
+                         .select(F.col("id").alias("wanted"), "sid", "d1", "d2", "regions"), "wanted")
+    few = wanted.count() <= MAX_SENT and (wanted.agg(F.sum(F.size("regions"))).first()[0] or 0) <= 4 * MAX_SENT
+    told = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text"))
+    told = told.join(F.broadcast(wanted) if few else wanted, told["id"].eqNullSafe(F.col("wanted"))).drop("id", "wanted")
+
+    def pack(batch):
+        starts, made = distinct_shingles(batch.column("text"), size)
+        made = np.ascontiguousarray(made)
+        right = np.ones(batch.num_rows, bool)
+        for name, digest in zip(("d1", "d2"), _digest(made, starts)):
+            right &= digest.view(np.int64) == batch.column(name).to_numpy()
+        raw = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [
+            None, pa.py_buffer((starts * 8).astype(np.int64)), pa.py_buffer(made)])
+        regions = batch.column("regions")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(regions).to_numpy(zero_copy_only=False))
+        kept = pa.array(np.flatnonzero(right[row]))
+        row = pa.array(row).take(kept)
+        return pa.record_batch([regions.flatten().take(kept), batch.column("sid").take(row),
+                                raw.take(row).cast(pa.binary())], names=_SET)
+
+    return told.mapInArrow(lambda batches: each_step(batches, "text", pack), "region long, sid long, raw binary")
+
+
 def near_links(docs: DataFrame, described: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                size: int = SHINGLE, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all sets within the limit, and the sets (sid, d1, d2, n)."""
@@ -299,47 +354,20 @@ def near_links(docs: DataFrame, described: DataFrame, id_col: str = "doc_id", te
     named = materialize(described.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row_key").alias("sid")), "sets")
     first = described.join(named.select(F.col("sid").alias("row_key")), "row_key", "left_semi")
     around = materialize(regions(first.select(F.col("row_key").alias("sid"), "n", "prefix"), limit), "regions")
-    active = materialize(around.select("sid").distinct(), "active")
-    ids = (described.select(F.col("row_key").alias("sid"), F.col("id").alias("wanted")).join(active, "sid")
-           .select("wanted").distinct())
-    told = docs.select(F.col(id_col).alias("id"), texts(text_col).alias("text"))
-    told = told.join(ids, told["id"].eqNullSafe(ids["wanted"]), "left_semi").select("text")
-
-    def pack(batch):
-        starts, made = distinct_shingles(batch.column("text"), size)
-        raw = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [
-            None, pa.py_buffer((starts * 8).astype(np.int64)), pa.py_buffer(made)]).cast(pa.binary())
-        return pa.record_batch([pa.array(np.diff(starts)), *(pa.array(d.view(np.int64)) for d in _digest(made, starts)), raw],
-                               names=["n", "d1", "d2", "raw"])
-
-    made = told.mapInArrow(lambda batches: each_step(batches, "text", pack), "n long, d1 long, d2 long, raw binary")
-    sets = materialize(made.join(named.join(active, "sid"), ["d1", "d2", "n"]).select("sid", "raw"), "raw")
     counted = around.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     large = materialize(counted.where((F.col("m") > REGION) | (F.col("total") * 8 > REGION_BYTES)).select("region"), "large")
-    rows = around.select("region", "sid").join(sets, "sid").select(*_SET)
-    small = rows.join(large, "region", "left_anti")
 
     def joined(rows):
         return rows.repartition("region").sortWithinPartitions("region", "sid").mapInArrow(
             lambda batches: _region_links(batches, limit), "a long, b long")
 
-    links = joined(small)
-    if not large.isEmpty():
-        settled, rest = _settled(rows, large, limit)
-        links = links.unionByName(settled).unionByName(joined(_in_blocks(rest, sets)))
-    return links.distinct(), named
-
-
-def _in_blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """What remains of large regions as regions of two blocks each, any two blocks of a region together."""
-    sized = rest.join(sets.select("sid", F.length("raw").alias("bytes")), "sid")
-    whole = sized.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("m") * 2 / REGION), F.ceil(F.col("total") * 2 / REGION_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    pairs = (rest.join(whole.select("region", blocks.alias("blocks")), "region").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    key = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
-    return pairs.select(key.alias("region"), "sid").distinct().join(sets, "sid").select(*_SET)
+    if large.isEmpty():
+        return joined(_with_sets(docs, described, around, id_col, text_col, size)), named
+    small = around.join(large, "region", "left_anti")
+    rows = materialize(_with_sets(docs, described, around.join(large, "region", "left_semi"), id_col, text_col, size), "raw")
+    settled, rest = _settled(rows, limit)
+    links = joined(_with_sets(docs, described, small, id_col, text_col, size)).unionByName(settled)
+    return links.unionByName(joined(_in_blocks(rest, rows))), named
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
