@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advisoryspark.llm.common import each_step, materialize, texts
-from advisoryspark.llm.packing import WordEncoder
+from advisoryspark.llm.packing import WordEncoder, byte_spelling
 
 #: Bytes of text in a numpy step, words whose ids a worker keeps, pairs it sums up before they go out.
 STEP, KEPT_WORDS, OPEN_PAIRS = 2 << 20, 100_000, 1 << 20
@@ -45,7 +45,7 @@ class ByteTokens:
     def __init__(self, path: str):
         self.words = WordEncoder(path)
         self.words.whole.encode_special_tokens = True
-        byte = {ord(mark): bytes([b]) for b, mark in byte_marks().items()}
+        byte = {ord(mark): char.encode("latin-1") for char, mark in byte_spelling().items()}
         vocabulary = self.words.whole.get_vocab(with_added_tokens=True)
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -58,14 +58,6 @@ class ByteTokens:
         return starts - np.arange(len(starts)), np.delete(ids, closing)
 
 
-def byte_marks() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable
-    in Latin-1, else the next one from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
-
-
 class PieceTokens:
     """B: sentence pieces.  No piece has a space mark behind another character (checked), so a text of words with
     single spaces is the sequence of its words, each encoded once; other texts are encoded whole."""

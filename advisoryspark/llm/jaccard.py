@@ -41,7 +41,9 @@ SLOTS, BLOCK = 1 << 20, 1 << 14
 #: Sets whose list of regions is sent to every task at most.
 MAX_SENT = 1 << 18
 #: Sets and bytes of sets in a region beyond which it is joined block against block; sets compared without pivots.
-REGION, REGION_BYTES, FEW = 4096, 64 << 20, 24
+REGION, REGION_BYTES, FEW = 4096, 32 << 20, 24
+#: Sets that share a shingle beyond which it is a column of a matrix; matches held at a time.
+DENSE, MATCHES = 64, 4 << 20
 LOWER = fold_table()
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _TWIST = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -187,49 +189,88 @@ def shared(members: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
     return np.bincount(cells, minlength=len(members) * len(pivots)).reshape(len(members), len(pivots))
 
 
+def _in_common(sets: list[np.ndarray], rest: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of `rest` with each of `every`, where many share most of what they hold.
+
+    Shingles that DENSE sets or more hold are columns of a 0/1 matrix, multiplied with itself; the others are matched
+    one by one."""
+    size = np.array([len(sets[i]) for i in every])
+    value, code, times = np.unique(np.concatenate([sets[i] for i in every]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(every)), size)
+    where = np.full(every.max() + 1, -1)
+    where[every] = np.arange(len(every))
+    common = np.zeros((len(rest), len(every)), np.float32)
+    dense = np.cumsum(times >= DENSE) - 1
+    for at in range(0, int(dense[-1]) + 1 if len(dense) else 0, 2048):
+        here = (times[code] >= DENSE) & (dense[code] >= at) & (dense[code] < at + 2048)
+        matrix = np.zeros((len(every), 2048), np.float32)
+        matrix[row[here], dense[code[here]] - at] = 1
+        common += matrix[where[rest]] @ matrix.T
+    sparse = (times[code] < DENSE) & (times[code] > 1)
+    row, code = row[sparse], code[sparse]
+    thin = np.split(code, np.searchsorted(row, np.arange(1, len(every))))
+    step = max(1, MATCHES * len(every) // max(1, int(times[times < DENSE].astype(np.int64) @ times[times < DENSE])))
+    for at in range(0, len(rest), step):
+        common[at:at + step] += shared([thin[i] for i in where[rest[at:at + step]]], thin)
+    return common
+
+
 def join_region(sets: list[np.ndarray], limit: int = LIMIT) -> Forest:
     """Which of the sets are connected by links, by recursive division around pivots."""
     forest = Forest(len(sets))
     sizes = np.array([len(s) for s in sets])
     r = 1 - limit / 100
 
-    def compare(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def distances(left: np.ndarray, right: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Distances; links on the way are joined."""
-        common = shared([sets[i] for i in left], [sets[i] for i in right])
         union = sizes[left][:, None] + sizes[right][None, :] - common
         for i, j in zip(*np.nonzero(100 * common >= limit * union)):
             if left[i] != right[j]:
                 forest.join(int(left[i]), int(right[j]))
         return 1 - common / union
 
-    def connected(some: np.ndarray) -> bool:
-        root = forest.root(int(some[0]))
-        return all(forest.root(i) == root for i in some.tolist())
+    def compare(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        step = max(1, MATCHES // int(sizes[left].sum()))
+        members = [sets[i] for i in left]
+        return np.concatenate([
+            distances(left, part, shared(members, [sets[i] for i in part]))
+            for part in (right[at:at + step] for at in range(0, len(right), step))], axis=1)
+
+    def unsettled(some: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """Those outside the largest component among them."""
+        own, times = np.unique(roots[some], return_counts=True)
+        return some[roots[some] != own[times.argmax()]]
 
     stack = [np.arange(len(sets))]
     while stack:
         some = stack.pop()
-        if len(some) < 2 or connected(some):
+        if len(some) < 2 or not len(unsettled(some, forest.roots())):
             continue
         if len(some) <= FEW:
             compare(some, some)
             continue
+        compare(some, some[:1])
+        rest = unsettled(some, forest.roots())
+        if len(rest) <= FEW:
+            if len(rest):
+                compare(some, rest)
+            continue
         pivots = some[::max(1, int(len(some) ** 0.5))]
         distance = compare(some, pivots)
+        roots = forest.roots()
         home = distance.argmin(axis=1)
         least = distance[np.arange(len(some)), home]
         near = least < 1 - 2 * r
         reach = np.where(near, least + 2 * r, 1 - r) + 1e-9
         parts = [some[(near & (home == k)) | (distance[:, k] <= reach)] for k in range(len(pivots))]
-        parts.append(some[~near])
-        for part in parts:
-            if len(part) < len(some):
-                stack.append(part)
-            elif not connected(part):  # no division helps: block after block
-                for at in range(0, len(part), FEW):
-                    if not connected(part):
-                        compare(part[at:at + FEW], part[at:])
-                break
+        parts = [p for p in (*parts, some[~near]) if len(p) > 1 and len(unsettled(p, roots))]
+        if 2 * sum(len(p) ** 2 for p in parts) <= len(some) ** 2:
+            stack.extend(parts)
+            continue
+        # No division helps: all that are not connected yet, against all.
+        rest = unsettled(some, roots)
+        for at in range(0, len(rest), 1024):
+            distances(rest[at:at + 1024], some, _in_common(sets, rest[at:at + 1024], some))
     return forest
 
 

@@ -13,6 +13,7 @@ are packed each on its own; null ids pass through; an empty table gives an empty
 result; very long texts are cut into many pieces; other columns are ignored.
 """
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +41,21 @@ _LATIN = re.compile(r"[\n\x20-\x7e\xa1-\u024f]*").fullmatch
 _LETTERS, _NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+"
                      r"|\s+(?!\S)|\s+").findall
+#: The same pattern as written in the tokenizer's files, and the texts it is used for: of the characters above.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = r"^[\n\x20-\x7e\x{a1}-\x{24f}]*$"
 #: Text with white space that is not single spaces between words is encoded whole.
 _WIDE_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}] (?:[\s\x1c-\x1f\x{85}\p{Z}]|$)"
 
 
+def byte_spelling() -> dict[str, str]:
+    """The printable character that stands for each byte (as a Latin-1 character) in byte-level vocabularies: itself
+    where it is printable there, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): chr(b) for b in shown} | {chr(b): chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
@@ -50,24 +63,36 @@ def _packed(ids: list[int]) -> bytes:
 class WordEncoder:
     """Token ids of texts, exactly as the tokenizer gives them for the whole text.
 
-    Byte-level BPE never merges across the space before a word, so a text is the
-    sequence of its words with that space.  A distinct word is cut into the
-    tokenizer's pieces, and each distinct piece is merged once.
+    Most texts are encoded whole by ranked merges of the same vocabulary, where its
+    ids are in the order of its merges (checked).  For others: byte-level BPE never
+    merges across the space before a word, so a text is the sequence of its words
+    with that space.  A distinct word is cut into the tokenizer's pieces, and each
+    distinct piece is merged once.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.cut, self.merge = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # The byte-level spelling of each byte, read off the tokenizer: a character in UTF-8 is its bytes' spellings.
-        self.spelling = {chr(b): self.cut(chr(b))[0][0] for b in range(128)}
-        for lead in range(0xC2, 0xCA):
-            for tail in range(0x80, 0xC0):
-                char = bytes((lead, tail)).decode()
-                for byte, mark in zip((lead, tail), self.cut(char)[0][0]):
-                    self.spelling[chr(byte)] = mark
-        self.spelling = str.maketrans(self.spelling)
+        self.spelling = byte_spelling()
         self.known: dict[str, bytes] = {}
+        self.ranked = self._ranked()
+        self.spelling = str.maketrans(self.spelling)
+
+    def _ranked(self) -> tiktoken.Encoding | None:
+        """Encoder by ranks, if the file is a plain byte-level vocabulary: bytes, then merges in order, then special tokens."""
+        told = json.loads(self.whole.to_str())
+        model, cut = told["model"], told["pre_tokenizer"] or {}
+        byte = {ord(mark): char.encode("latin-1") for char, mark in self.spelling.items()}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
+        first = [t for t, i in sorted(model["vocab"].items(), key=lambda x: x[1]) if i < 256]
+        ordinary = [*first, *merged]
+        if (told["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True)
+                or model.get("dropout") or model.get("ignore_merges") or sorted(map(ord, first)) != sorted(byte)
+                or any(model["vocab"][t] != i for i, t in enumerate(ordinary))):
+            return None
+        ranks = {b"".join(byte[ord(c)] for c in token): i for i, token in enumerate(ordinary)}
+        return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def piece(self, text: str) -> bytes:
         spelled = text if text.isascii() else text.encode().decode("latin-1")
@@ -95,6 +120,23 @@ class WordEncoder:
     def encode(self, column: pa.Array, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Places where the texts start (and the end), and all ids, each text closed by `end_id`."""
         column = column.cast(pa.binary()).cast(pa.string())
+        if self.ranked is None:
+            return self._by_word(column, end_id)
+        plain = pc.match_substring_regex(column, _PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(column, token))
+        end, out = _packed([end_id]), [b""] * len(column)
+        which = plain.to_numpy(zero_copy_only=False)
+        for i, text in zip(np.flatnonzero(which).tolist(), column.filter(plain).to_pylist()):
+            out[i] = _packed(self.ranked.encode_ordinary(text)) + end
+        if not which.all():
+            starts, ids = self._by_word(column.filter(pc.invert(plain)), end_id)
+            for i, x, y in zip(np.flatnonzero(~which).tolist(), starts[:-1].tolist(), starts[1:].tolist()):
+                out[i] = ids[x:y].tobytes()
+        sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(out), np.int32)
+
+    def _by_word(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.match_substring_regex(column, _WIDE_SPACE).to_numpy(zero_copy_only=False)
         for token in self.special:
             whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)

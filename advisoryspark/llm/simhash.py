@@ -135,6 +135,12 @@ class Forest:
             i = self.parent[i]
         return i
 
+    def roots(self) -> np.ndarray:
+        """The root of every member."""
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent
+
     def join(self, i: int, j: int):
         i, j = self.root(i), self.root(j)
         self.parent[max(i, j)] = min(i, j)
