@@ -2,10 +2,11 @@
 
 Jaccard distance is a metric, but nearly all documents lie at distance 1 of one another, so a fixed choice of pivots
 would put every document into the window of every region.  Pivots are therefore found where documents are near: each
-set is filed under its rarest shingles, as many as two sets within the limit cannot both do without (rarity by a
-sketch of all shingles of the corpus, 2^20 counters, whatever the input).  Sets under a shingle that cannot link with
-any other there, by their sizes and places in the order, leave it, and a gap in the sizes divides the rest.  The first
-set is the pivot of the others there, and the sets of one pivot are a region: any two linked sets meet in one.
+set is filed under its rarest shingles, so many that two sets within the limit share a stated number of them (rarity
+by a sketch of all shingles of the corpus, 2^20 counters, whatever the input).  Sets that meet others of a fitting size
+less often leave; so do, under a shingle, sets that cannot link with any other there by their sizes and places in the
+order, and a gap in the sizes divides the rest.  The first set is the pivot of the others there, and the sets of one
+pivot are a region: any two linked sets meet in one.
 
 A region joins recursively.  Some of its sets become pivots; each set goes to its nearest pivot, and by the triangle
 inequality also into each region whose pivot is no more than 2 r farther (r: the greatest distance of a link).  Sets
@@ -41,7 +42,9 @@ SLOTS, BLOCK = 1 << 20, 1 << 14
 #: Sets whose list of regions is sent to every task at most.
 MAX_SENT = 1 << 18
 #: Sets and bytes of sets in a region beyond which it is joined block against block; sets compared without pivots.
-REGION, REGION_BYTES, FEW = 4096, 32 << 20, 24
+REGION, REGION_BYTES, FEW = 1024, 32 << 20, 24
+#: Two linked sets of n shingles share 1 + n / SHARE of the rarest ones that they are filed under.
+SHARE = 32
 #: Sets that share a shingle beyond which it is a column of a matrix; matches held at a time.
 DENSE, MATCHES = 64, 4 << 20
 LOWER = fold_table()
@@ -123,8 +126,8 @@ def rarity(docs: DataFrame, text_col: str = "text", size: int = SHINGLE) -> np.n
 
 def describe(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
              limit: int = LIMIT) -> DataFrame:
-    """(row_key, id, n, d1, d2, prefix): size and digest of each document's set, and the rarest shingles, enough that
-    two sets within the limit share one of them."""
+    """(row_key, id, n, d1, d2, prefix): size and digest of each document's set, and its rarest shingles: one more than
+    a linked set may lack, and n / SHARE more."""
     sent = docs.sparkSession.sparkContext.broadcast(rank)
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"),
                        texts(text_col).alias("text"))
@@ -132,7 +135,7 @@ def describe(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_col
     def fill(batch):
         starts, made = distinct_shingles(batch.column("text"), size, sent.value)
         n = np.diff(starts)
-        taken = n - (limit * n + 99) // 100 + (n > 0)
+        taken = np.minimum(n, n - (limit * n + 99) // 100 + 1 + n // SHARE)
         ends = np.concatenate([[0], np.cumsum(taken)])
         first = made[np.repeat(starts[:-1] - ends[:-1], taken) + np.arange(ends[-1])].view(np.int64)
         return pa.record_batch([
@@ -152,22 +155,28 @@ def _digest(made: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def regions(sets: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(region, sid, n): the sets of (sid, n, prefix) around each pivot.
 
-    Take two linked sets and the first of their common shingles in the order.  What they share comes from there on, so
-    the smaller set has that shingle among a few of its first (`early`), and their sizes differ by the limit at most.
-    Under each shingle only sets with such a partner stay; sizes are compared as logarithms, in whole millionths.
+    Take two linked sets, the common shingle that is first in the order, and the one that is k-th.  What they share
+    comes from the first on, so the smaller set has it among a few of its first shingles (`early`), the larger one
+    before those it may lack (`first`); all but k - 1 of it comes from the k-th on, so both are filed under k of them,
+    with k for the smaller size that may link.  Sizes are compared as logarithms, in whole millionths.
     """
-    at = F.col("at")
+    n, at = F.col("n"), F.col("at")
     filed = sets.select("sid", "n", F.posexplode("prefix").alias("at", "shingle")).select(
-        "sid", "n", "shingle", (at <= F.col("n") - F.ceil(F.col("n") * (2 * limit) / (100 + limit))).alias("early"),
-        F.round(F.log("n") * 1_000_000).cast("long").alias("size"))
+        "sid", "n", "shingle", (at <= n - F.ceil(n * (2 * limit) / (100 + limit))).alias("early"),
+        (at <= n - F.ceil(n * limit / 100)).alias("first"), F.round(F.log("n") * 1_000_000).cast("long").alias("size"))
     width = int(-np.log(limit / 100) * 1_000_000) + 3
     by_size = Window.partitionBy("shingle").orderBy("size")
-    early = F.col("early").cast("int")
-    smaller = F.sum(early).over(by_size.rangeBetween(-width, 0)) - early
-    larger = F.count(F.lit(1)).over(by_size.rangeBetween(0, width)) - 1
-    kept = filed.select("*", smaller.alias("smaller"), larger.alias("larger")).where("smaller > 0 or (early and larger > 0)")
+    early, one = F.col("early").cast("int"), F.lit(1)
+    kept = filed.select(
+        "*", (F.sum(early).over(by_size.rangeBetween(-width, 0)) - early).alias("smaller"),
+        (F.count(one).over(by_size.rangeBetween(0, width)) - 1).alias("larger"),
+        (F.count(one).over(by_size.rangeBetween(-width, 0)) - 1).alias("below")).where("larger > 0 or below > 0")
+    kept = materialize(kept.withColumn("meets", F.expr("first and (smaller > 0 or early and larger > 0)"))
+                       .select("sid", "n", "shingle", "size", "meets"), "filed")
+    often = kept.groupBy("sid", "n").count().where(F.col("count") > F.floor(F.floor(n * limit / 100) / SHARE))
+    met = kept.where("meets").join(often.select("sid"), "sid", "left_semi")
     gap = F.when(F.col("size") - F.lag("size").over(by_size) > width, 1).otherwise(0)
-    runs = kept.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_size))
+    runs = met.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_size))
     pivot = F.min("sid").over(Window.partitionBy("shingle", "run"))
     stars = runs.withColumn("region", pivot).where("region <> sid").select("region", "sid", "n").distinct()
     pivots = stars.select(F.col("region").alias("sid")).distinct().join(sets.select("sid", "n"), "sid")
