@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.functions import ids, replies, scores, sequences, text
-from advisoryspark.operators import (aggregates, evaluation, forecast, hmm, inference, listing, memm, merge,
-                                      models, sequence, tfidf)
+from advisoryspark.operators import (aggregates, drift, evaluation, forecast, groups, growing, hmm, inference,
+                                      listing, memm, merge, models, search_index, sequence, tfidf)
 from advisoryspark.plans import enrich as plan
 from advisoryspark.plans import reports
 from advisoryspark.schemas import RESEARCH_COLUMNS, TABLE_COLUMNS
 from advisoryspark.session import materialize, work_dir
-from advisoryspark.sources import feed, store, tables
+from advisoryspark.sources import feed, keyed, store, tables
 from advisoryspark.sources.testview import raw_records, table
-from advisoryspark.streaming import bulk_import
+from advisoryspark.streaming import bulk_import, kept_statistics, known_ids, live_counts
 
 QUERIES = {}
 _STORED = {}
@@ -48,11 +48,15 @@ def mean_score_model(spark, sf_dir):
     """
     def train():
         means = raw_records(spark, sf_dir).groupBy("CWE").agg(F.round(F.avg("CVSS_Score"), 1).alias("mean")).collect()
-        whens = " ".join(f"WHEN '{r['CWE']}' THEN {r['mean']}D" for r in sorted(means))
+        whens = " ".join(f"WHEN '{_quoted(r['CWE'])}' THEN {r['mean']}D" for r in sorted(means))
         return SQLTransformer(statement=f"SELECT *, CASE CWE {whens} END AS predicted FROM __THIS__")
     return trained(spark, sf_dir, "mean_score", train)
 
 
+def _quoted(value):
+    return value.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def length_category_model():
     """Category model whose result SQL can compute: long and short texts."""
     return SQLTransformer(statement=(
@@ -317,6 +321,16 @@ def dataset_split(spark, sf_dir):
                        tables.split_name(F.col("doc_id")).alias("part"))
 
 
+@query
+def grouped_split(spark, sf_dir):
+    """Split of all documents in which texts that begin or end alike stay on one side."""
+    cleaned = text.clean_text(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", cleaned.alias("cleaned"))
+    ends = {"start": F.substring("cleaned", 1, 40), "end": F.substring("cleaned", -40, 40)}
+    found = groups.groups(docs, "doc_id", {k: F.when(F.length("cleaned") >= 40, v) for k, v in ends.items()})
+    return groups.split(found, large=0.2).withColumnRenamed("id", "doc_id")
+
+
 @query
 def latest_predictions(spark, sf_dir):
     """Newest enriched records of one predicted severity, from the table the score model filled."""
@@ -403,6 +417,127 @@ def prediction_log(spark, sf_dir):
     return spark.read.parquet(path).groupBy("model_version", "Predicted_Severity").agg(F.count("scored_at").alias("n"))
 
 
+@query
+def prediction_drift(spark, sf_dir):
+    """Confidences of two model versions, each logged in two batches, compared with the first by their sketches."""
+    path = f"{work_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    for version, rows in (("v1", stored(spark, sf_dir)), ("v2", scored(spark, sf_dir))):
+        for late in (False, True):
+            drift.log_sketch(rows.filter((F.col("Year") >= "2024") == late), path, version, "Severity_Confidence")
+    found = drift.compare(spark, path, "v1")
+    return found.withColumns({c: F.round(c, 6) for c in ("ks", "psi")})
+
+
+# --- the table placed by key, its search index and its kept counts ------------------
+
+def document_number():
+    """doc_id of a stored record, from its id."""
+    return F.substring_index("CVE_ID", "-", -1).cast("bigint") - 1001
+
+
+def change_batches(spark, sf_dir):
+    """Changed records: most records, a third with another score; then those as they are and the rest."""
+    records, doc = stored(spark, sf_dir).withColumn("seq", F.lit(1).cast("bigint")), document_number()
+    other = F.when(doc % 3 == 0, F.round(10 - F.col("CVSS_Score"), 1)).otherwise(F.col("CVSS_Score"))
+    first = records.filter(doc % 5 != 4).withColumn("CVSS_Score", other).withColumn(
+        "True_Severity", scores.severity(F.col("CVSS_Score")))
+    return [first, records.filter((doc % 3 == 0) | (doc % 5 == 4))]
+
+
+@query
+def live_status(spark, sf_dir):
+    """The status summary after each of two batches of changes, from counts that follow the updates."""
+    base, after = f"{work_dir(spark)}/live-{uuid.uuid4().hex}", []
+    for epoch, changed in enumerate(change_batches(spark, sf_dir)):
+        changed.write.mode("append").parquet(f"{base}/changes")
+        live_counts.start(spark, f"{base}/changes", f"{base}/table", f"{base}/counts", f"{base}/checkpoint",
+                          files_per_batch=1_000_000).awaitTermination()
+        after.append(live_counts.status(spark, f"{base}/counts").withColumn("epoch", F.lit(epoch)))
+    return after[0].unionByName(after[1])
+
+
+def statistics(spark, sf_dir):
+    """Statistics kept over two batches of changes to a keyed table, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "statistics")
+    if key not in _STORED:
+        base = f"{work_dir(spark)}/statistics-{uuid.uuid4().hex}"
+        keyed.create(spark, f"{base}/table", buckets=16)
+        for k, changed in enumerate(change_batches(spark, sf_dir)):
+            keyed.merge(changed, f"{base}/table", f"batch{k}")
+            kept_statistics.refresh(spark, f"{base}/table", f"{base}/kept")
+        _STORED[key] = f"{base}/kept"
+    return _STORED[key]
+
+
+@query
+def kept_vocabulary(spark, sf_dir):
+    """The vocabulary of `tfidf_vocabulary`, retrained from kept statistics."""
+    return kept_statistics.vocabulary(spark, statistics(spark, sf_dir))
+
+
+@query
+def kept_weights(spark, sf_dir):
+    """The weights of `tfidf_weights`, by a model retrained from kept statistics."""
+    model = kept_statistics.tfidf_model(spark, statistics(spark, sf_dir))
+    return tfidf.weights(model, stored(spark, sf_dir).select("CVE_ID", "Description")).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def kept_mean_scores(spark, sf_dir):
+    """Mean score of each weakness from kept statistics."""
+    return kept_statistics.mean_scores(spark, statistics(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query
+def kept_forecast(spark, sf_dir):
+    """The forecasts of `forecast_by_exploit`, from kept counts."""
+    return forecast.forecast_table(kept_statistics.yearly_counts(spark, statistics(spark, sf_dir), by_exploit=True))
+
+
+def keyed_table(spark, sf_dir):
+    """The stored records in a table placed by key, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, "keyed")
+    if key not in _STORED:
+        root = f"{work_dir(spark)}/keyed-{uuid.uuid4().hex}"
+        keyed.create(spark, root, buckets=16)
+        keyed.merge(stored(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")), root, "base")
+        _STORED[key] = root
+    return _STORED[key]
+
+
+@query
+def keyed_merge(spark, sf_dir):
+    """The upsert of `upsert_merge` in a table placed by key; equal versions of an id go by a hash of the row."""
+    root = f"{work_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    keyed.create(spark, root, buckets=16)
+    keyed.merge(merge_target(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")), root, "base")
+    keyed.merge(merge_batch(spark, sf_dir), root, "changes")
+    return keyed.read(spark, root).select("CVE_ID", "CVSS_Score", "True_Severity")
+
+
+@query
+def keyed_lookup(spark, sf_dir):
+    """Records looked up by the ids of the labelled documents, bucket by bucket."""
+    wanted = table(spark, sf_dir, "labels").select(document_id(spark, sf_dir))
+    return keyed.lookup_many(spark, keyed_table(spark, sf_dir), wanted).select("CVE_ID", "Exploit_Type", "CVSS_Score")
+
+
+@query
+def indexed_search(spark, sf_dir):
+    """Records found by several terms through the trigram index: words, wildcards, a short term, an id."""
+    key = (spark.sparkContext.applicationId, sf_dir, "index")
+    if key not in _STORED:
+        root = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+        search_index.build(stored(spark, sf_dir), root)
+        _STORED[key] = root
+    found = [search_index.search(spark, _STORED[key], term).select(F.lit(term).alias("term"), "CVE_ID")
+             for term in ("In_ection", "worthless", "sql%panel", "é", "CVE-2019-10", "no such text")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # --- aggregates ---------------------------------------------------------------
 
 @query
@@ -864,6 +999,23 @@ def hmm_path_observed(spark, sf_dir):
     return hmm.timeline(hmm.decode(rows, observed_model(pairs, states)))
 
 
+@query
+def growing_path(spark, sf_dir):
+    """The path of `hmm_path_observed` over a sequence that came in three batches and was decoded after each."""
+    rows = score_sequence(spark, sf_dir).select("CVE_ID", "Year", "CVSS_Score")
+    states = score_sequence(spark, sf_dir).withColumn("state", scores.threat_state(F.col("CVSS_Score")))
+    pairs = sequence.with_previous(states, "state", "prev_state").filter("prev_state IS NOT NULL")
+    model = observed_model(pairs, states)
+    steps, name = hmm.path_steps(model), growing.model_name(model)
+    root, part = f"{work_dir(spark)}/growing-{uuid.uuid4().hex}", F.pmod(document_number(), F.lit(3))
+    early = F.col("Year") < "2024"
+    batches = (rows.filter(early & (part < 2)).withColumn("CVSS_Score", F.lit(5.0)), rows.filter(~early), rows.filter(early))
+    for k, batch in enumerate(batches):
+        growing.append(batch, root, f"batch{k}")
+        growing.newest_state(spark, root, steps, name)
+    return hmm.timeline(growing.decode(spark, root, steps, name))
+
+
 @query
 def memm_path_observed(spark, sf_dir):
     """Greedy path under weights read off the observed states: normal scores of one
@@ -950,6 +1102,20 @@ def stream_import(spark, sf_dir):
     return store.current(spark, f"{base}/table")
 
 
+@query
+def stream_import_state(spark, sf_dir):
+    """The two feeds of `stream_import`, known ids kept in the streams' state; the second starts from the table's ids."""
+    base = f"{work_dir(spark)}/import-{uuid.uuid4().hex}"
+    raw = raw_records(spark, sf_dir)
+    late = raw.filter("Year >= '2020'").withColumn("CVSS_Score", F.lit(1.5))
+    for name, records in (("first", raw.filter("Year < '2023'")), ("second", late)):
+        feed.as_feed_documents(records, per_document=200).write.json(f"{base}/{name}")
+        for started in known_ids.start(spark, f"{base}/{name}", f"{base}/table", f"{base}/rejects",
+                                       f"{base}/checkpoint-{name}", multiline=False):
+            started.awaitTermination()
+    return store.current(spark, f"{base}/table")
+
+
 @query
 def stream_severity_counts(spark, sf_dir):
     """Severity counts kept by a stream over the enriched files."""

@@ -99,7 +99,41 @@ def _summary(x: np.ndarray, model: dict, first: bool):
     return total
 
 
-def _expectations(scores: DataFrame, model: dict, first_chunk: int):
+_RUN = "chunk int, pos long, w array<double>, s array<double>, c double"
+#: Stretches of consecutive rows that come to the driver one by one; more are composed in tasks first.
+MAX_RUNS = 10_000
+
+
+def _row(run) -> pd.DataFrame:
+    w, s, c = run[3]
+    return pd.DataFrame({"chunk": [run[0]], "pos": [run[1]], "w": [w.ravel()], "s": [s.ravel()], "c": [c]})
+
+
+def _composed(pdf: pd.DataFrame):
+    """Stretches that follow one another as one: chunk, first pos, no next pos, summary."""
+    pdf, total = pdf.sort_values(["chunk", "pos"]), None
+    for w, s, c in zip(pdf["w"], pdf["s"], pdf["c"]):
+        part = (np.reshape(w, (STATES, STATES)), np.reshape(s, (_STATS, STATES, STATES)), c)
+        total = part if total is None else _compose(total, part)
+    return int(pdf["chunk"].iloc[0]), int(pdf["pos"].iloc[0]), None, total
+
+
+def _has_many_runs(scores: DataFrame) -> bool:
+    """Whether tasks see more than MAX_RUNS stretches of consecutive rows, as in small interleaved files."""
+    def count(batches):
+        n, last = 0, None
+        for pdf in batches:
+            pdf = pdf.sort_values(["chunk", "pos"])
+            chunk, pos = pdf["chunk"].to_numpy(), pdf["pos"].to_numpy()
+            n += int(((np.diff(chunk) != 0) | (np.diff(pos) != 1)).sum())
+            n += len(pdf) > 0 and last != (chunk[0], pos[0] - 1)
+            last = (chunk[-1], pos[-1]) if len(pdf) else last
+        yield pd.DataFrame({"n": [n]})
+
+    return scores.select("chunk", "pos").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] > MAX_RUNS
+
+
+def _expectations(scores: DataFrame, model: dict, first_chunk: int, many_runs: bool = False):
     """Log likelihood and expected statistics of the whole sequence, in one pass.
 
     A task may see its rows in any cut and from any number of files: each batch
@@ -124,29 +158,34 @@ def _expectations(scores: DataFrame, model: dict, first_chunk: int):
         if run:
             yield _row(run)
 
-    def _row(run):
-        w, s, c = run[3]
-        return pd.DataFrame({"chunk": [run[0]], "pos": [run[1]], "w": [w.ravel()], "s": [s.ravel()], "c": [c]})
-
-    runs = scores.mapInPandas(fold, "chunk int, pos long, w array<double>, s array<double>, c double")
-    # One row for each stretch of consecutive rows a task has read.
-    total = None
-    for row in sorted(runs.collect(), key=lambda r: (r["chunk"], r["pos"])):
-        part = (np.reshape(row["w"], (STATES, STATES)), np.reshape(row["s"], (_STATS, STATES, STATES)), row["c"])
-        total = part if total is None else _compose(total, part)
+    runs = scores.mapInPandas(fold, _RUN)
+    if many_runs:
+        # Neighbours are composed in groups of bounded size, then each chunk's, so a row a chunk is left.
+        for key in (["chunk", F.shiftright("pos", 13).alias("range")], ["chunk"]):
+            runs = runs.groupBy(*key).applyInPandas(lambda pdf: _row(_composed(pdf)), _RUN)
+    total = _composed(runs.toPandas())[3]
     # Any state before the first row gives the same start.
     mass = total[0][0].sum()
     return np.log(mass) + total[2], total[1][:, 0].sum(axis=1) / mass
 
 
+#: Distinct scores whose counts come to the driver.
+MAX_SCORES = 100_000
+
+
 def start_model(scores: DataFrame) -> dict:
     """Means at the middle of each third of the scores, common variance, even transitions."""
-    # Exact quantiles from the counts per score, of which there are about a hundred.
-    counts = sorted((r["CVSS_Score"], r["count"]) for r in scores.groupBy("CVSS_Score").count().collect())
-    values, weights = np.array(counts, float).T
-    variance = float(np.average((values - np.average(values, weights=weights)) ** 2, weights=weights))
-    reached = np.cumsum(weights) / weights.sum()
-    means = [float(values[np.searchsorted(reached, q - 1e-12)]) for q in (1 / 6, 1 / 2, 5 / 6)]
+    # Exact quantiles from the counts per score, of which there are about a hundred; of very many, by Spark's own sketch.
+    rows = scores.groupBy("CVSS_Score").count().limit(MAX_SCORES + 1).collect()
+    if len(rows) <= MAX_SCORES:
+        values, weights = np.array(sorted((r["CVSS_Score"], r["count"]) for r in rows), float).T
+        variance = float(np.average((values - np.average(values, weights=weights)) ** 2, weights=weights))
+        reached = np.cumsum(weights) / weights.sum()
+        means = [float(values[np.searchsorted(reached, q - 1e-12)]) for q in (1 / 6, 1 / 2, 5 / 6)]
+    else:
+        found = scores.agg(F.percentile_approx("CVSS_Score", [1 / 6, 1 / 2, 5 / 6], 100_000).alias("q"),
+                           F.var_pop("CVSS_Score").alias("v")).first()
+        variance, means = found.v, list(found.q)
     spread = max(np.sqrt(variance), 0.1)
     if len(set(means)) < STATES:  # few distinct scores: keep the states apart
         means = [means[1] - spread, means[1], means[1] + spread]
@@ -164,9 +203,9 @@ def fit(rows: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance: float
     try:
         first_chunk = scores.agg(F.min("chunk")).first()[0]
         model = start_model(scores)
-        history = []
+        history, many_runs = [], _has_many_runs(scores)
         for _ in range(max_iterations):
-            likelihood, stats = _expectations(scores, model, first_chunk)
+            likelihood, stats = _expectations(scores, model, first_chunk, many_runs)
             history.append(float(likelihood))
             if len(history) > 1 and history[-1] - history[-2] < tolerance:
                 break
@@ -179,7 +218,8 @@ def fit(rows: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance: float
 def em_step(rows: DataFrame, model: dict) -> dict:
     """The model after one Baum-Welch step, with the log likelihood of the one before."""
     first_chunk = rows.agg(F.min("chunk")).first()[0]
-    likelihood, stats = _expectations(rows.select("chunk", "pos", "CVSS_Score"), model, first_chunk)
+    scores = rows.select("chunk", "pos", "CVSS_Score")
+    likelihood, stats = _expectations(scores, model, first_chunk, _has_many_runs(scores))
     return {**_maximise(stats), "log_likelihood": [float(likelihood)]}
 
 
@@ -209,8 +249,8 @@ def ordered_by_mean(model: dict) -> dict:
     }
 
 
-def decode(rows: DataFrame, model: dict, segment: int = chain.SEGMENT) -> DataFrame:
-    """Most likely state path (Viterbi) of the whole sequence, exact for any cut."""
+def path_steps(model: dict) -> chain.Steps:
+    """Scores of moving between the states at each row, for the best path."""
     def steps(x: np.ndarray, first: bool) -> np.ndarray:
         with np.errstate(divide="ignore"):
             log_b = _log_density(x, model)
@@ -219,7 +259,12 @@ def decode(rows: DataFrame, model: dict, segment: int = chain.SEGMENT) -> DataFr
                 moves[0] = np.log(np.array(model["startprob"])) + log_b[0]
         return moves
 
-    return chain.decode(rows, steps, segment)
+    return steps
+
+
+def decode(rows: DataFrame, model: dict, segment: int = chain.SEGMENT) -> DataFrame:
+    """Most likely state path (Viterbi) of the whole sequence, exact for any cut."""
+    return chain.decode(rows, path_steps(model), segment)
 
 
 def timeline(decoded: DataFrame) -> DataFrame:

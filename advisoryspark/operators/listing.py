@@ -37,29 +37,42 @@ def filter_records(records: DataFrame, search: str = "", severity: str = "ALL",
     return records
 
 
+#: Columns too long to be hashed for an order.
+LONG_COLUMNS = ("Description", "Cleaned_Description")
+
+
 def page(records: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """Rows offset+1 .. offset+limit, newest year first, then id descending (text order).
 
-    Rows that repeat an id follow a hash of all their columns, so the pages are
-    a cut of one fixed order.  Costs grow with `offset + limit`; to go through
-    a large result use `page_after`.
+    Rows that repeat an id follow `row_hash`, so the pages are a cut of one fixed
+    order.  Costs grow with `offset + limit`; to go through a large result use
+    `page_after`.
     """
     return records.orderBy(*newest_first(records)).offset(offset).limit(limit)
 
 
+def row_hash(records: DataFrame) -> Column:
+    """Hash of a row's columns but the long texts; ids are the table's unique key, so it only orders repeated ones."""
+    return F.xxhash64(*[c for c in records.columns if c not in LONG_COLUMNS])
+
+
 def newest_first(records: DataFrame) -> list[Column]:
-    return [F.desc("Year"), F.desc("CVE_ID"), F.xxhash64(*records.columns)]
+    return [F.desc("Year"), F.desc("CVE_ID"), row_hash(records)]
 
 
-def page_after(records: DataFrame, limit: int = 100, year: str | None = None, cve_id: str | None = None) -> DataFrame:
+def page_after(records: DataFrame, limit: int = 100, year: str | None = None, cve_id: str | None = None,
+               last_hash: int | None = None) -> DataFrame:
     """The `limit` rows that follow (year, cve_id), the last key of the page before; the first page without.
 
-    The key is a filter on the scan, so every page costs the same top-n.  Ids
-    are the table's unique key; rows that repeat the last id are passed by.
+    The key is a filter on the scan, so every page costs the same top-n.  With the
+    last row's `row_hash` the page goes on inside a repeated id, else it starts
+    behind the id.
     """
     if year is not None:
-        after = (F.col("Year") < year) | ((F.col("Year") == year) & (F.col("CVE_ID") < cve_id))
-        records = records.filter(after)
+        behind = F.col("CVE_ID") < cve_id
+        if last_hash is not None:
+            behind = behind | ((F.col("CVE_ID") == cve_id) & (row_hash(records) > last_hash))
+        records = records.filter((F.col("Year") < year) | ((F.col("Year") == year) & behind))
     return records.orderBy(*newest_first(records)).limit(limit)
 
 

@@ -1,27 +1,30 @@
 """Merging records by key: upsert, insert-only-new, left and anti joins."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 KEY = "CVE_ID"
 
 
 def latest(batch: DataFrame, order=("seq",), key: str = KEY) -> DataFrame:
-    """Last row of every key in `order`.
+    """Last row of every key in `order`; rows that tie there go by a hash of the row.
 
     An aggregate, so each task first reduces its own rows to one per key: a
     key that fills a third of the batch adds one row per task to the shuffle.
     """
-    whole = F.struct(*[F.col(c) for c in batch.columns])
-    rank = F.struct(*[F.col(c) for c in order])
+    whole, rank = _row_and_rank(batch, order)
     return batch.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, rank).alias("row")).select("row.*")
 
 
 def first_seen(batch: DataFrame, order=("seq",), key: str = KEY) -> DataFrame:
-    whole = F.struct(*[F.col(c) for c in batch.columns])
-    rank = F.struct(*[F.col(c) for c in order])
+    whole, rank = _row_and_rank(batch, order)
     return batch.groupBy(F.col(key).alias("_key")).agg(F.min_by(whole, rank).alias("row")).select("row.*")
 
 
+def _row_and_rank(batch: DataFrame, order) -> tuple[Column, Column]:
+    columns = [F.col(c) for c in batch.columns]
+    return F.struct(*columns), F.struct(*[F.col(c) for c in order], F.xxhash64(*columns))
+
+
 def upsert(target: DataFrame, batch: DataFrame, order=("seq",), key: str = KEY) -> DataFrame:
     """Target rows the batch does not touch, plus the last version of every batch key.
 

@@ -57,10 +57,14 @@ def fit(records: DataFrame, size: int = MAX_FEATURES) -> PipelineModel:
     cleaned = records.select(kept.alias("Cleaned_Description"))
     chosen = sorted(vocabulary(cleaned, size).collect(), key=lambda r: (-r["total"], r["term"]))
     n = records.count()
-    idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in chosen]
+    return pipeline([r["term"] for r in chosen], [math.log((1 + n) / (1 + r["df"])) + 1 for r in chosen])
+
+
+def pipeline(terms: list[str], idf: list[float]) -> PipelineModel:
+    """Pipeline of a known vocabulary and its weights."""
     return PipelineModel([
         SQLTransformer(statement=_TOKENS),
-        CountVectorizerModel.from_vocabulary([r["term"] for r in chosen], inputCol="_tokens", outputCol="_counts"),
+        CountVectorizerModel.from_vocabulary(terms, inputCol="_tokens", outputCol="_counts"),
         ElementwiseProduct(inputCol="_counts", outputCol="_weighted", scalingVec=Vectors.dense(idf)),
         Normalizer(inputCol="_weighted", outputCol="features", p=2.0),
     ])
@@ -74,8 +78,6 @@ def features(model: PipelineModel, records: DataFrame) -> DataFrame:
 def weights(model: PipelineModel, records: DataFrame) -> DataFrame:
     """Long form: id, term, weight of every vocabulary term a text holds."""
     words = F.array(*[F.lit(w) for w in model.stages[1].vocabulary])
-    vectors = features(model, records).select("CVE_ID", vector_to_array("features").alias("v"))
-    return (
-        vectors.select("CVE_ID", F.posexplode("v").alias("i", "weight")).filter("weight > 0")
-        .select("CVE_ID", F.get(words, F.col("i")).alias("term"), "weight")
-    )
+    places = F.transform(vector_to_array("features"), lambda x, i: F.struct(x.alias("weight"), i.alias("i")))
+    held = features(model, records).select("CVE_ID", F.explode(F.filter(places, lambda p: p["weight"] > 0)).alias("p"))
+    return held.select("CVE_ID", F.get(words, F.col("p.i")).alias("term"), "p.weight")

@@ -220,6 +220,16 @@ UNION ALL SELECT 'year', Year, count(*), NULL FROM tab GROUP BY ALL
 UNION ALL (SELECT 'component', Affected_Component, count(*) AS c, NULL FROM tab GROUP BY ALL
 ORDER BY c DESC, Affected_Component LIMIT 10)"""
 
+_CHANGED = TAB + f""",
+tab0 AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN round(10 - CVSS_Score, 1) ELSE CVSS_Score END AS CVSS_Score)
+  FROM tab WHERE doc_id % 5 <> 4),
+tab1 AS (SELECT * REPLACE ({_severity('CVSS_Score')} AS True_Severity) FROM tab0)"""
+
+_LIVE = f"""SELECT *, 0 AS epoch FROM ({_SUMMARY.replace("FROM tab", "FROM tab1")})
+UNION ALL SELECT *, 1 FROM ({_SUMMARY})"""
+
+_TERMS = ["In_ection", "worthless", "sql%panel", "é", "CVE-2019-10", "no such text"]
+
 _GREEDY = f""",
 par AS (
   SELECT {", ".join(f"coalesce((SELECT la FROM mv WHERE p = {i} AND s = {j}), '-Infinity'::DOUBLE) AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))},
@@ -438,6 +448,15 @@ CAST(support AS BIGINT) AS support FROM al"""),
     "label_accuracy": _with(PAIRS, """SELECT round(avg(CAST(new_label = old_label AS INT)), 6) AS accuracy, count(*) AS n FROM pairs"""),
     "label_comparison": _with(PAIRS, """SELECT CVE_ID, True_Severity, new_label AS first_label, old_label AS second_label,
 new_label = old_label AS agree FROM pairs"""),
+    "live_status": _with(_CHANGED, _LIVE),
+    "keyed_merge": _with(TARGET, """SELECT CVE_ID, CVSS_Score, True_Severity FROM target
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT CVE_ID, CVSS_Score, True_Severity FROM (
+  SELECT *, row_number() OVER (PARTITION BY CVE_ID ORDER BY seq DESC) AS rn FROM batch) WHERE rn = 1"""),
+    "keyed_lookup": _with(TAB, "SELECT CVE_ID, Exploit_Type, CVSS_Score FROM tab WHERE doc_id IN (SELECT doc_id FROM labels)"),
+    "indexed_search": _with(TAB, " UNION ALL ".join(
+        f"SELECT {_text(t)} AS term, CVE_ID FROM tab WHERE CVE_ID ILIKE '%{t}%' OR Description ILIKE '%{t}%' "
+        f"OR Affected_Component ILIKE '%{t}%'" for t in _TERMS)),
     "upsert_merge": _with(TARGET, """SELECT CVE_ID, CVSS_Score, True_Severity, Exploit_Type FROM target
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT CVE_ID, CVSS_Score, True_Severity, Exploit_Type FROM (
@@ -558,3 +577,36 @@ round(1 / (exp(l1 - greatest(l1, l2, l3)) + exp(l2 - greatest(l1, l2, l3)) + exp
     "csv_export": _with(TAB, """SELECT CVE_ID, Year, CVSS_Score, True_Severity AS Severity, Exploit_Type AS Exploit,
 Affected_Component AS Component, Description FROM tab WHERE True_Severity = 'CRITICAL'"""),
 }
+ORACLES["stream_import_state"] = ORACLES["stream_import"]
+ORACLES["growing_path"] = ORACLES["hmm_path_observed"]
+ORACLES["kept_vocabulary"] = ORACLES["tfidf_vocabulary"]
+ORACLES["kept_weights"] = ORACLES["tfidf_weights"]
+ORACLES["kept_forecast"] = ORACLES["forecast_by_exploit"]
+ORACLES["kept_mean_scores"] = _with(RAW, "SELECT CWE, count(*) AS n, round(avg(CVSS_Score), 6) AS mean FROM raw GROUP BY CWE")
+ORACLES["prediction_drift"] = _with(_MODELLED + """,
+logged AS (SELECT 'v1' AS model_version, Severity_Confidence AS x FROM tab UNION ALL SELECT 'v2', Severity_Confidence FROM mod),
+sorted AS (SELECT model_version, count(*) AS n, list_sort(list(x)) AS a FROM logged GROUP BY ALL),
+grid AS (SELECT model_version, n, [a[CAST(ceil(i * n / 256.0::DOUBLE) AS INT)] FOR i IN range(1, 257)] AS q FROM sorted),
+base AS (SELECT q AS r, n AS n_reference FROM grid WHERE model_version = 'v1'),
+bins AS (
+  SELECT model_version, k, greatest(len(list_filter(q, lambda v: v > lo AND v <= hi)) / 256.0::DOUBLE, 0.5 / 256) AS c,
+         greatest(len(list_filter(r, lambda v: v > lo AND v <= hi)) / 256.0::DOUBLE, 0.5 / 256) AS p
+  FROM (SELECT model_version, q, r, k, CASE WHEN k = 0 THEN '-Infinity'::DOUBLE ELSE r[16 * k] END AS lo,
+               CASE WHEN k = 15 THEN 'Infinity'::DOUBLE ELSE r[16 * k + 16] END AS hi
+        FROM grid, base, range(16) b(k))),
+psi AS (SELECT model_version, round(sum((p - c) * ln(p / c)), 6) AS psi FROM bins GROUP BY ALL)""",
+    """SELECT model_version, n, 0::BIGINT AS n_null, n_reference, psi,
+round(list_max([abs(len(list_filter(q, lambda v: v <= x)) - len(list_filter(r, lambda v: v <= x))) FOR x IN list_concat(q, r)])
+  / 256.0::DOUBLE, 6) AS ks FROM grid JOIN psi USING (model_version), base""")
+ORACLES["grouped_split"] = _rec("""cleaned AS (
+  SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS c FROM documents),
+ends AS (
+  SELECT doc_id, 's' || substr(c, 1, 40) AS v FROM cleaned WHERE length(c) >= 40
+  UNION ALL SELECT doc_id, 'e' || right(c, 40) FROM cleaned WHERE length(c) >= 40),
+edges AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM ends a JOIN ends b ON a.v = b.v AND a.doc_id <> b.doc_id),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+grouped AS (
+  SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS group_id
+  FROM documents LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc_id)""",
+    f"""SELECT doc_id, group_id, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'validation' ELSE 'test' END AS side
+FROM (SELECT doc_id, group_id, {_hash32('group_id')} % 100 AS bucket FROM grouped)""")

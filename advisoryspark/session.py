@@ -4,6 +4,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +31,17 @@ def get_session(app: str = "advisoryspark", master: str | None = None, **conf) -
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, named by the session alone.
 
-    spark.checkpoint.dir where it is set, else a folder of the warehouse, which
-    every session has and all its executors share.
+    spark.checkpoint.dir where it is set, else a folder of the warehouse.  A
+    warehouse in a machine's own file system is shared by the executors of a local
+    master only, so elsewhere it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "advisoryspark-work")
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if urlparse(warehouse).scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir: {warehouse} is a folder of one machine")
+    return os.path.join(warehouse, "advisoryspark-work")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
