@@ -754,6 +754,14 @@ def forecast_by_exploit(spark, sf_dir):
     return forecast.forecast_table(forecast.yearly_counts(stored(spark, sf_dir), "Exploit_Type"))
 
 
+@query
+def forecast_guarded(spark, sf_dir):
+    """Forecasts by component where most components have too short a history, which the guard leaves out."""
+    long = F.col("Exploit_Type").isin("RCE", "XSS", "SQLi")
+    records = stored(spark, sf_dir).filter((F.col("Year") >= "2025") | long)
+    return forecast.forecast_table(forecast.yearly_counts(records, "Exploit_Type"))
+
+
 @query
 def forecast_display(spark, sf_dir):
     return forecast.display_series(daily_events(spark, sf_dir))
@@ -881,6 +889,15 @@ def category_inference(spark, sf_dir):
         "CVE_ID", F.col("p.label").alias("BERT_Category"), F.col("p.score").alias("BERT_Confidence"))
 
 
+@query
+def category_by_length(spark, sf_dir):
+    """The categories of `category_inference`, from batches of like length under a token budget."""
+    docs = raw_records(spark, sf_dir).select("CVE_ID", "Description")
+    found = inference.predict_by_length(F.col("Description"), length_category, budget=4096)
+    return docs.select("CVE_ID", found.alias("p")).select(
+        "CVE_ID", F.col("p.label").alias("BERT_Category"), F.col("p.score").alias("BERT_Confidence"))
+
+
 @query
 def record_report(spark, sf_dir):
     """Ad-hoc report of one stored record from the score, category and severity models."""
@@ -955,6 +972,14 @@ def hmm_outlook(spark, sf_dir):
     return hmm.analysis(rows, hmm.fit(rows))
 
 
+@query
+def memm_gradient(spark, sf_dir):
+    """Gradient of the fitted model's penalised loss, which is zero at the optimum."""
+    rows = score_sequence(spark, sf_dir)
+    found = memm.gradient(rows, memm.fit(rows))
+    return found.select("state", "feature", F.round(F.abs("gradient"), 3).alias("gradient"))
+
+
 @query
 def memm_fit(spark, sf_dir):
     rows = score_sequence(spark, sf_dir)

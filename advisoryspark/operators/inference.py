@@ -3,9 +3,10 @@
 The model is built once per Python worker and sees whole texts in Arrow batches.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -51,6 +52,44 @@ def predict_category(text: Column, make_model: Callable[[], Callable], batch_siz
     return F.struct(result["label"].alias("label"), F.round(result["score"], 3).alias("score"))
 
 
+def by_length(lengths: np.ndarray, budget: int) -> Iterator[np.ndarray]:
+    """Places of texts in batches of like length whose padded size (texts times the longest) keeps to the budget.
+
+    Longest first, so a batch is padded to its first text; a text beyond the budget is a batch of its own.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        size = max(1, budget // max(1, int(lengths[order[at]])))
+        yield order[at:at + size]
+        at += size
+
+
+def predict_by_length(text: Column, make_model: Callable[[], Callable], budget: int = 1 << 14,
+                      error_label: str = "UNKNOWN") -> Column:
+    """`predict_category` with batches cut by their size instead of a number of rows.
+
+    `budget` counts white-space tokens.  The texts of an Arrow batch are given to
+    the model from the longest to the shortest and the results put back in the
+    rows' order, so short texts are not padded to long ones and one long text does
+    not fill a batch of hundreds.  A null text is the empty text.
+    """
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = _guarded(make_model(), (error_label, 0.0))
+        for texts in batches:
+            texts = texts.fillna("").to_numpy(dtype=object)
+            lengths = np.array([len(t.split()) for t in texts], np.int64)
+            labels, found = np.empty(len(texts), object), np.zeros(len(texts))
+            for places in by_length(lengths, budget):
+                pairs = predict(texts[places])
+                labels[places] = [p[0] for p in pairs]
+                found[places] = [float(p[1]) for p in pairs]
+            yield pd.DataFrame({"label": labels, "score": found})
+
+    result = F.pandas_udf(run, _PREDICTION)(text)
+    return F.struct(result["label"].alias("label"), F.round(result["score"], 3).alias("score"))
+
+
 def label_scores(text: Column, make_model: Callable[[], Callable], labels: list[str],
                  batch_size: int = 256) -> Column:
     """Array of one score per candidate label; null where the model fails."""

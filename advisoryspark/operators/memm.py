@@ -52,6 +52,21 @@ def training_accuracy(rows: DataFrame, model: LogisticRegressionModel) -> DataFr
     return evaluation.accuracy(model.transform(training_rows(rows)), "label", "prediction")
 
 
+def gradient(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    """state, feature, gradient of the penalised mean loss at the model's weights: the loss is convex, so the fit is
+    its optimum exactly where all of them are zero."""
+    trained = model.transform(training_rows(rows)).select("label", *FEATURES, vector_to_array("probability").alias("p"))
+    weights, _ = parameters(model)
+    off = {k: F.get("p", F.lit(k)) - (F.col("label") == k).cast("double") for k in range(model.numClasses)}
+    sums = [F.avg(off[k] * (F.col(f) if f else F.lit(1.0))).alias(f"g{k}_{j}")
+            for k in off for j, f in enumerate([*FEATURES, None])]
+    totals = trained.agg(F.count(F.lit(1)).alias("n"), *sums)
+    cells = [F.struct(F.lit(fx.THREAT_STATES[k]).alias("state"), F.lit(f or "intercept").alias("feature"),
+                      (F.col(f"g{k}_{j}") + F.lit(float(weights[k][j]) if f else 0.0) / F.col("n")).alias("gradient"))
+             for k in off for j, f in enumerate([*FEATURES, None])]
+    return totals.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
 def parameters(model: LogisticRegressionModel) -> tuple[np.ndarray, np.ndarray]:
     """Weights (class by feature) and intercepts over all three states; an unseen
     state beyond the last trained class gets no chance."""

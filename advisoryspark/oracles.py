@@ -610,3 +610,13 @@ grouped AS (
   FROM documents LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) ON a = doc_id)""",
     f"""SELECT doc_id, group_id, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'validation' ELSE 'test' END AS side
 FROM (SELECT doc_id, group_id, {_hash32('group_id')} % 100 AS bucket FROM grouped)""")
+ORACLES["memm_gradient"] = """SELECT state, feature, 0.0::DOUBLE AS gradient
+FROM (SELECT unnest(['Low Threat', 'Medium Threat', 'High Threat']) AS state),
+     (SELECT unnest(['CVSS_Score', 'Prev_State_Low Threat', 'Prev_State_Medium Threat', 'Prev_State_High Threat',
+                     'intercept']) AS feature)"""
+ORACLES["forecast_guarded"] = _rec(TAB + """,
+counts AS (
+  SELECT Exploit_Type AS series, CAST(Year AS INT) AS t, count(*) AS n FROM tab
+  WHERE Year >= '2025' OR Exploit_Type IN ('RCE', 'XSS', 'SQLi') GROUP BY ALL)""" + _arima(2),
+    "SELECT series, t, linear_prediction, arima_prediction FROM fc")
+ORACLES["category_by_length"] = ORACLES["category_inference"]

@@ -3,6 +3,7 @@
 import math
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
@@ -134,6 +135,28 @@ def share_model():
     return predict
 
 
+def test_batches_by_length(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([rng.integers(0, 50, 200), [5000, 700]])
+    batches = list(inference.by_length(lengths, 1000))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(202))
+    assert all(len(b) * lengths[b].max() <= 1000 or len(b) == 1 for b in batches)
+    assert len(batches) < 15 and list(inference.by_length(lengths[:0], 10)) == []
+    rows = [(i, None if i == 3 else " ".join(["w"] * int(n)) + ("" if i % 7 else " bad")) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(2)
+
+    def model():
+        def predict(texts):
+            assert len(texts) * max(len(t.split()) for t in texts) <= 1100 or len(texts) == 1
+            if any("bad" in t for t in texts):
+                raise ValueError("bad text")
+            return [(f"n{len(t.split())}", 1 / 3) for t in texts]
+        return predict
+
+    got = {r.i: (r.p.label, r.p.score) for r in df.select("i", inference.predict_by_length(F.col("t"), model, 1000).alias("p")).collect()}
+    assert got == {i: ("UNKNOWN", 0.0) if "bad" in (t or "") else (f"n{len((t or '').split())}", 0.333) for i, t in rows}
+
+
 def test_category_inference_isolates_failures(spark):
     texts = [f"text number {i}" if i % 3 else f"t{i}" for i in range(50)] + ["boom"]
     df = spark.createDataFrame([(t,) for t in texts], "Description string")
