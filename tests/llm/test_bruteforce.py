@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -187,12 +188,26 @@ def test_word_encoder_equals_tokenizer():
     texts = ["", " ", "a b", "a  b", "a   b ", "it's  we'll\n\n x", " lead", "tab\t x", "a \n b\n ", "a  b   c",
              "<|endoftext|> x", "é è 12 34.5!", "a \n  b", "x ", "\n", "日本 語", "a\x1c b \x85 c", "x½y ²3 ªb µ· ßÆ\u0180ǂ 'll 's's don't «là»",
              "\x00\x01 \x7f a", " ".join(map(chr, range(1, 0x260))), "".join(map(chr, range(1, 0x260)))]
-    import pyarrow as pa
     starts, ids = encoder.encode(pa.array([t.encode() for t in texts]))
     got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_plain_texts_are_encoded_as_by_the_tokenizer():
+    """Texts of all characters for which ranked merges stand in for the tokenizer."""
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.ranked is not None
+    rng = np.random.default_rng(8)
+    every = ["\n", *map(chr, range(0x20, 0x7F)), *map(chr, range(0xA1, 0x250))]
+    common = [*" \n\n  ''''sSdDtTreREveVEmMllLL0129.,-!?_éßªº²½×÷", "'s", "'re", "'LL", " 'd"]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 60))) for pool in (every, common, every[:96]) for _ in range(700)]
+    texts += ["a" * 30_000, " " * 5000, "\n" * 999 + "x", "é" * 20_000, "<|endoftext|> <|endoftext", "".join(every)]
+    starts, ids = encoder.encode(pa.array(texts))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text, x, y in zip(texts, starts[:-1].tolist(), starts[1:].tolist()):
+        assert ids[x:y].tolist() == whole.encode(text, add_special_tokens=False).ids + [0], text
+
+
 @pytest.mark.parametrize("head", [1 << 20, 64])
 def test_language_model_base(spark, small, docs, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
