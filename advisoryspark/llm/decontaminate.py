@@ -7,7 +7,8 @@ that size against all rows, so the result is the same at every size.
 Defined cases: null and empty texts have no words and hit nothing; items without
 a word have no window; null item ids count as no item but their windows still
 hit; repeated rows are searched each on its own; an empty benchmark hits
-nothing; extra columns are kept by `clean` and ignored by `scan`.
+nothing; extra columns are kept by `clean` and ignored by `scan`; a very long text
+is searched whole.
 """
 
 import numpy as np

@@ -20,7 +20,8 @@ all other words of a text are joined with their counts, so no count is lost.
 Defined cases: null and empty texts are the end token alone; a null id counts as
 held out; repeated rows are scored each on its own and all are learned from;
 without training documents every token has the base share of an unseen one;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored; of equally frequent
+words the first in order becomes a class; a very long text is read whole.
 """
 
 import zlib

@@ -16,7 +16,8 @@ and pair; only entities in `support` different texts are paired with terms.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged each
 on its own; an entity seen in one text discloses nothing; an empty table
-gives an empty result; extra columns are kept by `sanitise`.
+gives an empty result; extra columns are kept by `sanitise`; a very long text is
+searched whole.
 """
 
 from pyspark.sql import Column, DataFrame

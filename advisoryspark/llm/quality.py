@@ -6,7 +6,8 @@ prior fitted to the hosts themselves, and the hosts' verdicts are joined back.
 Defined cases: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows are judged and counted each on its
 own; an empty table gives an empty result; other columns of the input are
-ignored by `features` and kept out of its result, so names cannot clash.
+ignored by `features` and kept out of its result, so names cannot clash; a shrunk
+rate exactly at the limit rejects no host; a very long text is counted whole.
 """
 
 import numpy as np

@@ -19,7 +19,8 @@ the task; components are then joined by `components`.
 Defined cases: a text without words, empty or null, has fingerprint zero and
 links like any other; a null id never is a representative unless its component
 has no other; repeated rows share fingerprint and component; an empty table
-gives an empty result; extra columns are kept by `deduplicate`.
+gives an empty result; extra columns are kept by `deduplicate`; a bit set in exactly
+half of the hashes is zero; a very long text is hashed whole, in pieces of 4 MB of bits.
 """
 
 from functools import reduce

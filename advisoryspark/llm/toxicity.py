@@ -11,7 +11,8 @@ bias; null labels and labels without a document are left out of the fit; several
 labels of one id count as their largest; without any labelled document every
 score is close to 0, so that nothing is rejected; repeated rows are scored each
 on its own; an empty table gives an empty result; extra columns are kept by
-`reject` and ignored by `score`.
+`reject` and ignored by `score`; a score of exactly the threshold counts as toxic;
+a very long text is scored whole, in a numpy step of its own.
 """
 
 from dataclasses import dataclass
