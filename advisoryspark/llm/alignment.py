@@ -14,7 +14,7 @@ each id of B is broadcast too: as many numbers as B has ids.
 Defined cases: null and empty texts and texts that one tokenizer does not spell back have no tokens; repeated rows
 are aligned each on its own and all count; null ids pass through; ties for an id's highest count all count as best; an
 empty table gives an empty result; other columns are ignored.  A very long text makes a numpy step of its own, so a
-worker needs some 60 times the bytes of the longest text.
+worker's memory follows the longest text.
 """
 
 import hashlib

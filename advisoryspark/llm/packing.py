@@ -11,7 +11,7 @@ rows alone and a lost executor's task gives the same sequences again.
 Defined cases: a null or empty text is the end-of-text id alone; repeated rows
 are packed each on its own; null ids pass through; an empty table gives an empty
 result; very long texts are cut into many pieces; of equal dot products the example
-that waits first is placed; other columns are ignored.
+first in the pool is placed; other columns are ignored.
 """
 
 import json
