@@ -4,13 +4,12 @@ import json
 import os
 import uuid
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,12 +35,22 @@ def forest(trees: int, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, see
     """Forest with all features at every split.
 
     Split statistics are kept per node, feature and bin, and dominate the cost
-    of deep trees.
+    of deep trees.  A task holds those of one group of nodes, MLlib's default of
+    256 MB; a level with more nodes takes more passes.
     """
     return RandomForestRegressor(
         labelCol="CVSS_Score", featuresCol="features", predictionCol="predicted",
         numTrees=trees, maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy="all", seed=seed,
-        maxMemoryInMB=1024, cacheNodeIds=True)
+        cacheNodeIds=True)
+
+
+def grow(vectors: DataFrame, trees: int, max_depth: int, max_bins: int) -> RandomForestRegressionModel:
+    """A forest fitted on the vectors, read in no more tasks than the cluster runs at a time.
+
+    Every task sends the statistics of every node, so their volume follows the tasks, not the rows.
+    """
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    return forest(trees, max_depth, max_bins).fit(vectors.select("CVSS_Score", "features").coalesce(tasks))
 
 
 def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH,
@@ -53,7 +62,7 @@ def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DE
     check_enough(records)
     weighting = tfidf.fit(records)
     with scratch(tfidf.features(weighting, records).select("CVSS_Score", "features"), "vectors") as vectors:
-        trained = forest(trees, max_depth, max_bins).fit(vectors)
+        trained = grow(vectors, trees, max_depth, max_bins)
     return PipelineModel([*weighting.stages, trained])
 
 
@@ -98,17 +107,16 @@ def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth:
     vectors = tfidf.features(weighting, records).select("CVE_ID", "CVSS_Score", "features")
     rows = materialize(vectors.join(fold_numbers(records, folds), "CVE_ID"), "folds")
     if records.limit(folds).count() < folds:
-        model = forest(trees, max_depth, max_bins).fit(rows)
+        model = grow(rows, trees, max_depth, max_bins)
         return model.transform(rows).select("CVE_ID", "CVSS_Score", "fold", "predicted")
 
     def held_out(k: int) -> DataFrame:
-        model = forest(trees, max_depth, max_bins).fit(rows.filter(F.col("fold") != k))
+        model = grow(rows.filter(F.col("fold") != k), trees, max_depth, max_bins)
         return model.transform(rows.filter(F.col("fold") == k)).select(
             "CVE_ID", "CVSS_Score", "fold", "predicted")
 
-    # The fits are independent jobs and share the cluster.
-    with ThreadPool(folds) as pool:
-        return reduce(DataFrame.unionByName, pool.map(held_out, range(folds)))
+    # One fit after another: each holds its rows and statistics in the executors' memory.
+    return reduce(DataFrame.unionByName, map(held_out, range(folds)))
 
 
 def fit_text_classifier(labelled: DataFrame, label: str, size: int = 2000) -> PipelineModel:
