@@ -16,11 +16,11 @@ without an id are no records and are left out; an empty batch changes nothing.
 
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from advisoryspark.operators.merge import KEY
 from advisoryspark.schemas import TABLE_COLUMNS, TABLE_SCHEMA
-from advisoryspark.session import scratch
+from advisoryspark.session import COMPRESSION, scratch
 from advisoryspark.sources import placed, store
 
 CHANGED = "changed"
@@ -80,28 +80,35 @@ def create(spark: SparkSession, root: str, buckets: int = 64) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def _winners(batch: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """The last row of each id.  The choice is made on id, order, hash and row number; whole rows are moved once."""
+def _losers(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Row numbers of the versions that a later one of their id in the same batch replaces."""
     rank = F.struct(*order, "hash", "row")
-    chosen = batch.groupBy(KEY).agg(F.max(rank).alias("best")).select(F.col("best.row").alias("row"))
-    return batch.join(chosen, "row", "left_semi")
+    last = rows.groupBy(KEY).agg(F.max(rank).alias("best")).select(F.col("best.row").alias("row"))
+    return rows.select("row").join(last, "row", "left_anti")
 
 
 def merge(batch: DataFrame, root: str, tag: str, order: tuple[str, ...] = ("seq",)) -> int:
-    """Upsert a batch and return its epoch; reads and writes the buckets of the batch's ids only."""
+    """Upsert a batch and return its epoch; reads and writes the buckets of the batch's ids only.
+
+    Versions are compared on ids, order and hash alone; whole rows are moved once, to their
+    place.  There the new version of an id comes before the old one, which is left out.
+    """
     spark = batch.sparkSession
     k, place = bucket_count(spark, root), _place(spark, root)
     epoch = placed.epoch_of(spark, place, tag)
     rows = store.with_defaults(batch).filter(F.col(KEY).isNotNull())
     numbered = rows.withColumns({"hash": F.xxhash64(*rows.columns), "row": F.monotonically_increasing_id()})
-    with scratch(numbered, "merge") as numbered:
-        new = _winners(numbered, order).select(*TABLE_COLUMNS, F.lit(epoch).alias(CHANGED))
+    with scratch(numbered, "merge") as numbered, scratch(_losers(numbered, order), "losers") as losers:
+        new = numbered if losers.isEmpty() else numbered.join(losers, "row", "left_anti")
+        new = new.select(*TABLE_COLUMNS, F.lit(epoch).alias(CHANGED))
         touched = {r.bucket for r in numbered.select(_bucket(k).alias("bucket")).distinct().collect()}  # K at most
         held = folders(spark, root, before=epoch)
         old = placed.read(spark, KEYED_SCHEMA, [held[b] for b in touched if b in held])
-        merged = old.join(numbered.select(KEY), KEY, "left_anti").unionByName(new).withColumn("bucket", _bucket(k))
-        (merged.repartitionByRange("bucket", KEY).sortWithinPartitions("bucket", KEY)
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/epoch={epoch}/batch={tag}"))
+        merged = old.unionByName(new).withColumn("bucket", _bucket(k)).repartitionByRange("bucket", KEY)
+        newest = Window.partitionBy("bucket", KEY).orderBy(F.desc(CHANGED))
+        (merged.withColumn("version", F.row_number().over(newest)).filter("version = 1").drop("version")
+         .write.mode("overwrite").partitionBy("bucket").option("compression", COMPRESSION)
+         .parquet(f"{place}/epoch={epoch}/batch={tag}"))
     return epoch
 
 

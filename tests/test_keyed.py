@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,20 @@ def test_ties_do_not_depend_on_the_order_of_rows(spark, records, tmp_path):
         assert same(choose(tied.orderBy("CVSS_Score")), choose(tied.orderBy(F.desc("CVSS_Score")).repartition(5)))
 
 
+def test_merge_moves_whole_rows_once(spark, records, tmp_path, monkeypatch):
+    """Joins see narrow columns only, so a merge grows alike whether Spark broadcasts their other side or not."""
+    root, kind, wide = str(tmp_path / "keyed"), type(records), []
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **b: (wide.append("Description" in self.columns), join(self, *a, **b))[1])
+    keyed.create(spark, root, buckets=4)
+    keyed.merge(records, root, "base")
+    keyed.merge(versions(records, 1, 50), root, "changes")
+    assert not any(wide)
+    assert keyed.read(spark, root).count() == records.count()
+    for file in glob.glob(f"{root}/**/*.parquet", recursive=True):
+        assert pq.ParquetFile(file).metadata.row_group(0).column(1).compression == "ZSTD"
+
+
 def test_rows_without_id_and_unfinished_batches(spark, records, tmp_path):
     root = str(tmp_path / "keyed")
     keyed.create(spark, root, buckets=4)
