@@ -4,6 +4,7 @@ import json
 import os
 import uuid
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -115,8 +116,9 @@ def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth:
         return model.transform(rows.filter(F.col("fold") == k)).select(
             "CVE_ID", "CVSS_Score", "fold", "predicted")
 
-    # One fit after another: each holds its rows and statistics in the executors' memory.
-    return reduce(DataFrame.unionByName, map(held_out, range(folds)))
+    # The fits are independent jobs and share the cluster; what a task holds does not depend on their number.
+    with ThreadPool(folds) as pool:
+        return reduce(DataFrame.unionByName, pool.map(held_out, range(folds)))
 
 
 def fit_text_classifier(labelled: DataFrame, label: str, size: int = 2000) -> PipelineModel:
