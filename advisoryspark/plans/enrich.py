@@ -4,7 +4,7 @@ from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, functions as F
 
 from advisoryspark import fixed_values as fx
-from advisoryspark.functions import scores, text
+from advisoryspark.functions import pieces, scores, text
 from advisoryspark.operators import models
 from advisoryspark.schemas import TABLE_COLUMNS
 
@@ -12,21 +12,23 @@ from advisoryspark.schemas import TABLE_COLUMNS
 def with_rule_labels(raw: DataFrame, ruleset: str = "current") -> DataFrame:
     """Cleaned text, exploit, component, impact and true severity.
 
-    The lower-cased text is its own projection, so the many rule tests share it.
+    The lower-cased text is its own projection; one pass over it finds the literal
+    pieces that the many rule tests share and cleans it.
     """
     exploits, components, impacts = text.RULESETS[ruleset]
-    lowered = F.col("_lowered")
+    known = text.rule_pieces(exploits, components, impacts)
+    lowered = text.Lowered(F.col("_lowered"), F.col("_looked"), known)
     return (
         raw.withColumn("_lowered", F.lower("Description"))
+        .withColumn("_looked", pieces.look(F.col("_lowered"), known))
         .withColumns({
-            "Cleaned_Description": F.coalesce(
-                F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit("")),
+            "Cleaned_Description": F.coalesce(F.col("_looked.cleaned"), F.lit("")),
             "Exploit_Type": text.first_match(lowered, exploits, fx.DEFAULT_EXPLOIT),
             "Affected_Component": text.first_match(lowered, components, fx.DEFAULT_COMPONENT),
             "Impact": text.all_matches(lowered, impacts, fx.DEFAULT_IMPACT),
             "True_Severity": scores.severity(F.col("CVSS_Score")),
         })
-        .drop("_lowered")
+        .drop("_lowered", "_looked")
     )
 
 
