@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark.operators import listing
-from advisoryspark.session import materialize
+from advisoryspark.session import materialize, scratch
 
 #: Rows in a folder of texts.
 SEGMENT = 1 << 16
@@ -34,43 +34,48 @@ MAX_FOLDERS = 100_000
 _BITS = 21  # of a code point
 
 
-def _grams(text: str) -> np.ndarray:
-    """Distinct trigrams of a text as numbers."""
+def _all_grams(text: str) -> np.ndarray:
+    """Trigrams of a text as numbers, in its order."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     if len(points) < 3:
         return np.zeros(0, np.int64)
-    return np.unique(points[:-2] << 2 * _BITS | points[1:-1] << _BITS | points[2:])
+    return points[:-2] << 2 * _BITS | points[1:-1] << _BITS | points[2:]
+
+
+def _grams(text: str) -> np.ndarray:
+    """Distinct trigrams of a text as numbers."""
+    return np.unique(_all_grams(text))
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, segment, rows): the places of a segment's records that hold the trigram."""
-    grams, places, segments, held = [], [], [], 0
+    open_rows, held = [], 0
 
     def out():
-        gram, place, segment = (np.concatenate(x) for x in (grams, places, segments))
-        order = np.lexsort((place, segment, gram))
+        open_rows.sort(key=lambda row: row[:2])
+        sizes = [len(found) for *_, found in open_rows]
+        gram = np.concatenate([found for *_, found in open_rows])
+        segment, place = (np.repeat(np.array([row[i] for row in open_rows], np.int64), sizes) for i in (0, 1))
+        open_rows.clear()
+        order = np.argsort(gram, kind="stable")
         gram, place, segment = gram[order], place[order], segment[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (segment[1:] != segment[:-1])
         first = np.flatnonzero(new)
         starts = np.append(first, len(gram)).astype(np.int32)
-        for part in (grams, places, segments):
-            part.clear()
         return pa.record_batch([pa.array(gram[first]), pa.array(segment[first]),
                                 pa.ListArray.from_arrays(pa.array(starts), pa.array(place))],
                                names=["gram", "segment", "rows"])
 
     for batch in batches:
         for segment, place, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-            found = np.unique(np.concatenate([_grams(t) for t in texts if t] or [np.zeros(0, np.int64)]))
-            grams.append(found)
-            places.append(np.full(len(found), place, np.int64))
-            segments.append(np.full(len(found), segment, np.int64))
+            found = np.unique(np.concatenate([_all_grams(t) for t in texts if t] or [np.zeros(0, np.int64)]))
+            open_rows.append((segment, place, found))
             held += len(found)
             if held > OPEN_GRAMS:
                 yield out()
                 held = 0
-    if grams:
+    if open_rows:
         yield out()
 
 
@@ -83,9 +88,10 @@ def build(records: DataFrame, root: str, segment_rows: int = SEGMENT) -> None:
     numbered.write.partitionBy("segment").parquet(f"{root}/texts")
     searched = [F.lower(c).alias(c) for c in listing.SEARCHED]
     lowered = texts(spark, root).select("segment", "place", *searched)
-    postings = lowered.mapInArrow(_postings, "gram long, segment long, rows array<long>")
-    (postings.repartitionByRange("gram", "segment").sortWithinPartitions("gram", "segment")
-     .write.parquet(f"{root}/postings"))
+    # The range sort reads its input twice, to sample it and to deal it out.
+    with scratch(lowered.mapInArrow(_postings, "gram long, segment long, rows array<long>"), "postings") as postings:
+        (postings.repartitionByRange("gram", "segment").sortWithinPartitions("gram", "segment")
+         .write.parquet(f"{root}/postings"))
 
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
