@@ -781,7 +781,7 @@ def tfidf_vocabulary(spark, sf_dir):
 
 @query
 def tfidf_weights(spark, sf_dir):
-    records = stored(spark, sf_dir).select("CVE_ID", "Description")
+    records = stored(spark, sf_dir).select("CVE_ID", "Description", "Cleaned_Description")
     return tfidf.weights(tfidf.fit(records), records).withColumn("weight", F.round("weight", 6))
 
 
@@ -803,7 +803,7 @@ def score_model(spark, sf_dir):
 def quality_model(spark, sf_dir):
     """Quality label of the labelled documents, learned from their text."""
     human = table(spark, sf_dir, "labels").select(document_id(spark, sf_dir), "quality")
-    labelled_records = stored(spark, sf_dir).select("CVE_ID", "Description").join(human, "CVE_ID")
+    labelled_records = stored(spark, sf_dir).select("CVE_ID", "Description", "Cleaned_Description").join(human, "CVE_ID")
     return trained(spark, sf_dir, "quality", lambda: models.fit_text_classifier(labelled_records, "quality"))
 
 
