@@ -1134,7 +1134,7 @@ def stream_import_state(spark, sf_dir):
     raw = raw_records(spark, sf_dir)
     late = raw.filter("Year >= '2020'").withColumn("CVSS_Score", F.lit(1.5))
     for name, records in (("first", raw.filter("Year < '2023'")), ("second", late)):
-        feed.as_feed_documents(records, per_document=200).write.json(f"{base}/{name}")
+        feed.as_feed_documents(records, per_document=200).write.json(f"{base}/{name}", compression="gzip")
         for started in known_ids.start(spark, f"{base}/{name}", f"{base}/table", f"{base}/rejects",
                                        f"{base}/checkpoint-{name}", multiline=False):
             started.awaitTermination()

@@ -18,6 +18,7 @@ from advisoryspark import fixed_values as fx
 from advisoryspark.functions import text
 from advisoryspark.operators import merge
 from advisoryspark.schemas import TABLE_COLUMNS, TABLE_SCHEMA
+from advisoryspark.session import COMPRESSION
 from advisoryspark.sources.tables import seed_records
 
 LOG_SCHEMA = T.StructType(TABLE_SCHEMA.fields + [
@@ -61,7 +62,8 @@ BASE = "base"
 
 
 def _write_batch(records: DataFrame, root: str, epoch: int, tag: str, mode: str) -> None:
-    records.select(*TABLE_COLUMNS, "seq").write.mode(mode).parquet(f"{root}/epoch={epoch}/batch={tag}")
+    records.select(*TABLE_COLUMNS, "seq").write.mode(mode).parquet(
+        f"{root}/epoch={epoch}/batch={tag}", compression=COMPRESSION)
 
 
 def _batches(spark: SparkSession, root: str) -> dict[str, int]:
