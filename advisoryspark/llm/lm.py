@@ -45,6 +45,8 @@ BLOCK = 1 << 10
 #: Words whose counts are broadcast at most (16 bytes each).
 HEAD = 1 << 20
 ROUNDS, STEP, RATE = 2, 4096, 0.3
+#: Rows that occur up to so often in a step are summed place by place. reduceat adds so few in the same order.
+FEW = 8
 SMOOTH = 0.1
 LOWER = fold_table()
 _START = np.uint64(0x9E3779B97F4A7C15)
@@ -125,31 +127,52 @@ def history_rows(seq: Sequence, rows: int) -> np.ndarray:
                      for i, k in enumerate(keys)], axis=1)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    scores = weights[rows[:, 0]]
-    scores += weights[rows[:, 1]]
-    scores += weights[rows[:, 2]]
+def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the classes, the largest of a token zero, and the log of the sum of their exponentials."""
+    scores = np.take(weights, rows[:, 0], axis=0)
+    scores += np.take(weights, rows[:, 1], axis=0)
+    scores += np.take(weights, rows[:, 2], axis=0)
     scores += bias
     scores -= scores.max(axis=1, keepdims=True)
-    scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
-    return scores
+    return scores, np.log(np.exp(scores).sum(axis=1))
+
+
+def sums_by_row(off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers among `rows`, and for each the sum of its lines of `off`."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    row = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    size = np.diff(first, append=len(row))
+    total = np.take(off, order[first], axis=0)
+    few = np.flatnonzero((size > 1) & (size <= FEW))
+    few = few[np.argsort(-size[few], kind="stable")]
+    rest = np.take(off, order[first[few] + 1], axis=0)
+    for k in range(2, FEW):
+        left = few[:np.count_nonzero(size[few] > k)]
+        rest[:len(left)] += np.take(off, order[first[left] + k], axis=0)
+    total[few] += rest
+    many = size > FEW
+    if many.any():
+        cuts = np.cumsum(size[many]) - size[many]
+        total[many] = np.add.reduceat(np.take(off, order[np.repeat(many, size)], axis=0), cuts, axis=0)
+    return row[first], total
 
 
 def gradient_steps(weights: np.ndarray, bias: np.ndarray, power: np.ndarray, rows: np.ndarray, kinds: np.ndarray):
     """Steps over consecutive pieces of tokens; weights, bias and `power` (sums of squares per row) change in place."""
     for at in range(0, len(kinds), STEP):
         piece, kind = rows[at:at + STEP], kinds[at:at + STEP]
-        off = np.exp(log_softmax(weights, bias, piece))
+        off, log_sum = class_scores(weights, bias, piece)
+        off -= log_sum[:, None]
+        np.exp(off, out=off)
         off[np.arange(len(kind)), kind] -= 1
         bias -= RATE * off.mean(axis=0)
         for column in range(piece.shape[1]):
-            order = np.argsort(piece[:, column].astype(np.uint16), kind="stable")
-            row = piece[order, column]
-            cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            total = np.add.reduceat(np.take(off, order, axis=0), cuts, axis=0)
-            row = row[cuts]
-            power[row] += (total * total).mean(axis=1)
-            weights[row] -= RATE * total / np.sqrt(power[row] + 1)[:, None]
+            row, total = sums_by_row(off, piece[:, column])
+            power[row] += np.square(total).mean(axis=1)
+            total *= RATE
+            total /= np.sqrt(power[row] + 1)[:, None]
+            weights[row] = np.take(weights, row, axis=0) - total
 
 
 def count_corpus(train: DataFrame) -> DataFrame:
@@ -157,14 +180,13 @@ def count_corpus(train: DataFrame) -> DataFrame:
     def count(batch):
         seq = sequence(batch.column("text"))
         n = np.bincount(seq.token, minlength=len(seq.distinct) + 1)
-        words = seq.distinct.to_pylist()
         kind = np.append(endings(seq.distinct), 0)
-        inside = (seq.text[1:] == seq.text[:-1]) & (seq.token[1:] < len(words))
+        inside = (seq.text[1:] == seq.text[:-1]) & (seq.token[1:] < len(seq.distinct))
         pairs = np.bincount((kind[seq.token[:-1]] * ENDINGS + kind[seq.token[1:]])[inside], minlength=1)
         used = np.flatnonzero(pairs)
         return pa.record_batch([
-            pa.array(np.repeat([0, 1], [len(words), len(used)]).astype(np.int32)),
-            pa.array([*words, *map(str, used.tolist())], pa.string()),
+            pa.array(np.repeat([0, 1], [len(seq.distinct), len(used)]).astype(np.int32)),
+            pa.concat_arrays([seq.distinct.cast(pa.string()), pa.array([*map(str, used.tolist())], pa.string())]),
             pa.array(np.concatenate([n[:-1], pairs[used]]).astype(np.int64))], names=["kind", "word", "n"])
 
     return (train.select("text").mapInArrow(lambda it: each_step(it, "text", count), "kind int, word string, n long")
@@ -314,8 +336,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         model = np.empty(len(seq.token))
         for at in range(0, len(model), STEP):
             piece = slice(at, at + STEP)
-            scores = log_softmax(table, offset, history[piece])
-            model[piece] = scores[np.arange(len(scores)), token_kind[piece]]
+            scores, log_sum = class_scores(table, offset, history[piece])
+            model[piece] = scores[np.arange(len(scores)), token_kind[piece]] - log_sum
         model *= np.log10(np.e)
         settled = sure[seq.token]
         model += np.where(settled, known.in_class(count, kind)[seq.token], 0)

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import types
 import zlib
 
 import numpy as np
@@ -227,6 +228,47 @@ def test_language_model_base(spark, small, docs, monkeypatch, head):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
+def plain_gradient_steps(weights, bias, power, rows, kinds):
+    for at in range(0, len(kinds), lm.STEP):
+        piece, kind = rows[at:at + lm.STEP], kinds[at:at + lm.STEP]
+        scores = weights[piece[:, 0]] + weights[piece[:, 1]] + weights[piece[:, 2]] + bias
+        scores -= scores.max(axis=1, keepdims=True)
+        off = np.exp(scores - np.log(np.exp(scores).sum(axis=1, keepdims=True)))
+        off[np.arange(len(kind)), kind] -= 1
+        bias -= lm.RATE * off.mean(axis=0)
+        for column in piece.T:
+            order = np.argsort(column.astype(np.uint16), kind="stable")
+            cuts = np.flatnonzero(np.diff(column[order], prepend=-1))
+            row, total = column[order][cuts], np.add.reduceat(np.take(off, order, axis=0), cuts, axis=0)
+            power[row] += (total * total).mean(axis=1)
+            weights[row] -= lm.RATE * total / np.sqrt(power[row] + 1)[:, None]
+
+
+def test_gradient_steps_are_plain_and_cheap(monkeypatch):
+    """The same bits as plain sums, rows once, a few times and often in a step; reduceat, slow for short runs, gets
+    only rows that occur more than eight times."""
+    rng, handed = np.random.default_rng(3), []
+
+    class Add:
+        @staticmethod
+        def reduceat(lines, cuts, axis):
+            handed.append(np.diff(cuts, append=len(lines)).min())
+            return np.add.reduceat(lines, cuts, axis=axis)
+
+    often, few = rng.integers(0, 40, (20_000, 3)), rng.integers(0, 6000, (20_000, 3))
+    mixed = np.where(rng.random((20_000, 3)) < 0.3, often, few)
+    for rows in (mixed, mixed[:1], mixed[:0], np.arange(300).reshape(100, 3), np.zeros((4097, 3), np.int64)):
+        kinds = rng.integers(0, lm.CLASSES, len(rows))
+        want, got = ([np.zeros((lm.ROWS, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32),
+                      np.zeros(lm.ROWS, np.float32)] for _ in range(2))
+        plain_gradient_steps(*want, rows, kinds)
+        with monkeypatch.context() as patch:
+            patch.setattr(lm, "np", types.SimpleNamespace(**{**vars(np), "add": Add}))
+            lm.gradient_steps(*got, rows, kinds)
+        assert all((x == y).all() for x, y in zip(want, got))
+    assert handed and min(handed) > 8
+
+
 def test_language_model_classes(spark, table):
     """The 23 most frequent words are classes of their own, and 64 classes are told apart."""
     texts = [" ".join(f"word{k}" for k in range(40) for _ in range(1 + (40 - k) // (1 + i % 2))) for i in range(4)]
