@@ -19,8 +19,8 @@ MAX_ITERATIONS = 100
 TOLERANCE = 1e-2
 VARIANCE_PRIOR = 1e-2
 
-# Expected quantities: 3 state counts, 3 sums, 3 square sums, 9 transitions.
-_STATS = 18
+# Expected quantities: 3 state counts, 3 sums, 3 square sums, 9 transitions, 3 states of the first row.
+_STATS = 21
 
 
 def _log_density(x: np.ndarray, model: dict) -> np.ndarray:
@@ -47,7 +47,7 @@ def _compose(a, b):
 
 
 def _summary(x: np.ndarray, model: dict, first: bool):
-    """Weight (3x3), statistics (18x3x3) and log scale of consecutive rows.
+    """Weight (3x3), statistics (21x3x3) and log scale of consecutive rows.
 
     Rows are laid out in lanes that advance together.  With the products of
     the steps up to each row and after it, all statistics of a lane are plain
@@ -79,14 +79,15 @@ def _summary(x: np.ndarray, model: dict, first: bool):
         after[:, k] = product
         product = steps[:, k] @ product
 
-    moved = real.copy()
+    moved, started = real.copy(), np.zeros_like(real)
     if first:
-        moved[0, 0] = 0.0  # the first row starts the chain, it is no transition
+        moved[0, 0], started[0, 0] = 0.0, 1.0  # the first row starts the chain, it is no transition
     stats = np.empty((count, _STATS, STATES, STATES))
     for j in range(STATES):
         tail = after[:, :, j, :]
         arrive = [before[..., i] * steps[:, :, None, i, j] for i in range(STATES)]
         visits = (sum(arrive) * real[..., None]).transpose(0, 2, 1)
+        stats[:, 18 + j] = (sum(arrive) * started[..., None]).transpose(0, 2, 1) @ tail
         stats[:, j] = visits @ tail
         stats[:, 3 + j] = (visits * x[:, None]) @ tail
         stats[:, 6 + j] = (visits * x[:, None] ** 2) @ tail
@@ -134,6 +135,12 @@ def _has_many_runs(scores: DataFrame) -> bool:
 
 
 def _expectations(scores: DataFrame, model: dict, first_chunk: int, many_runs: bool = False):
+    """Log likelihood and expected statistics of the whole sequence, without the states of its first row."""
+    likelihood, stats = _all_expectations(scores, model, first_chunk, many_runs)
+    return likelihood, stats[:18]
+
+
+def _all_expectations(scores: DataFrame, model: dict, first_chunk: int, many_runs: bool = False):
     """Log likelihood and expected statistics of the whole sequence, in one pass.
 
     A task may see its rows in any cut and from any number of files: each batch
@@ -205,7 +212,7 @@ def fit(rows: DataFrame, max_iterations: int = MAX_ITERATIONS, tolerance: float
         model = start_model(scores)
         history, many_runs = [], _has_many_runs(scores)
         for _ in range(max_iterations):
-            likelihood, stats = _expectations(scores, model, first_chunk, many_runs)
+            likelihood, stats = _all_expectations(scores, model, first_chunk, many_runs)
             history.append(float(likelihood))
             if len(history) > 1 and history[-1] - history[-2] < tolerance:
                 break
@@ -219,19 +226,17 @@ def em_step(rows: DataFrame, model: dict) -> dict:
     """The model after one Baum-Welch step, with the log likelihood of the one before."""
     first_chunk = rows.agg(F.min("chunk")).first()[0]
     scores = rows.select("chunk", "pos", "CVSS_Score")
-    likelihood, stats = _expectations(scores, model, first_chunk, _has_many_runs(scores))
+    likelihood, stats = _all_expectations(scores, model, first_chunk, _has_many_runs(scores))
     return {**_maximise(stats), "log_likelihood": [float(likelihood)]}
 
 
 def _maximise(stats: np.ndarray) -> dict:
     count, total, squares = stats[0:3], stats[3:6], stats[6:9]
-    moves = stats[9:].reshape(STATES, STATES)
+    moves, start = stats[9:18].reshape(STATES, STATES), stats[18:]
     means = total / np.maximum(count, 1e-300)
     variances = (VARIANCE_PRIOR + np.maximum(squares - count * means ** 2, 0)) / np.maximum(count, 1e-5)
     left = moves.sum(axis=1, keepdims=True)
     transmat = np.where(left > 0, moves / np.where(left > 0, left, 1), 1 / STATES)
-    # State visits minus departures into it leave the expected first state.
-    start = np.clip(count - moves.sum(axis=0), 0, None)
     return {"means": means.tolist(), "variances": variances.tolist(), "transmat": transmat.tolist(),
             "startprob": (start / start.sum()).tolist()}
 

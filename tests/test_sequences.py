@@ -73,6 +73,18 @@ def test_expected_statistics_equal_forward_backward(rows):
     assert np.allclose(stats, expected, rtol=1e-8)
 
 
+def test_start_of_rare_first_states_is_not_a_difference_of_counts(rows):
+    placed, scores = rows
+    model = {**MODEL, "startprob": [1e-11, 1 - 3e-11, 2e-11]}
+    b, a, beta = np.exp(hmm._log_density(scores, model)), np.array(model["transmat"]), np.ones(3)
+    for t in range(len(scores) - 1, 0, -1):
+        beta = a @ (b[t] * beta)
+        beta /= beta.sum()
+    want = np.array(model["startprob"]) * b[0] * beta
+    assert min(want / want.sum()) < 1e-9
+    assert hmm.em_step(placed, model)["startprob"] == pytest.approx((want / want.sum()).tolist(), rel=1e-9, abs=0)
+
+
 @pytest.mark.parametrize("arrow", ["false", "true"])
 def test_any_file_layout_gives_the_same_statistics(spark, rows, tmp_path, arrow):
     placed, scores = rows
