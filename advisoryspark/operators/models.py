@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from advisoryspark import fixed_values as fx
 from advisoryspark.operators import evaluation, hmm, memm, sequence, tfidf
+from advisoryspark.operators.trees import ForestModel, TreeTaskForestRegressor
 from advisoryspark.session import materialize, scratch
 
 MIN_ROWS = 10
@@ -32,26 +33,28 @@ def check_enough(records: DataFrame, at_least: int = MIN_ROWS) -> None:
         raise ValueError(f"need at least {at_least} records")
 
 
-def forest(trees: int, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = 42) -> RandomForestRegressor:
+def forest(trees: int, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = 42,
+           kind: type[RandomForestRegressor] = RandomForestRegressor) -> RandomForestRegressor:
     """Forest with all features at every split.
 
     Split statistics are kept per node, feature and bin, and dominate the cost
     of deep trees.  A task holds those of one group of nodes, MLlib's default of
     256 MB; a level with more nodes takes more passes.
     """
-    return RandomForestRegressor(
+    return kind(
         labelCol="CVSS_Score", featuresCol="features", predictionCol="predicted",
         numTrees=trees, maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy="all", seed=seed,
         cacheNodeIds=True)
 
 
-def grow(vectors: DataFrame, trees: int, max_depth: int, max_bins: int) -> RandomForestRegressionModel:
+def grow(vectors: DataFrame, trees: int, max_depth: int, max_bins: int,
+         kind: type[RandomForestRegressor] = RandomForestRegressor) -> RandomForestRegressionModel | ForestModel:
     """A forest fitted on the vectors, read in no more tasks than the cluster runs at a time.
 
     Every task sends the statistics of every node, so their volume follows the tasks, not the rows.
     """
     tasks = vectors.sparkSession.sparkContext.defaultParallelism
-    return forest(trees, max_depth, max_bins).fit(vectors.select("CVSS_Score", "features").coalesce(tasks))
+    return forest(trees, max_depth, max_bins, kind=kind).fit(vectors.select("CVSS_Score", "features").coalesce(tasks))
 
 
 def fit_score_model(records: DataFrame, trees: int = 50, max_depth: int = MAX_DEPTH,
@@ -102,21 +105,23 @@ def out_of_fold(records: DataFrame, folds: int = 3, trees: int = 100, max_depth:
     """CVE_ID, CVSS_Score, fold and the prediction of a forest that did not see the row.
 
     Fewer rows than folds fall back to one fit on everything.  The TF-IDF stages
-    are fitted on all rows.
+    are fitted on all rows.  The forests are not kept, so their trees are grown
+    in tasks of their own instead of MLlib's.
     """
     weighting = tfidf.fit(records)
     vectors = tfidf.features(weighting, records).select("CVE_ID", "CVSS_Score", "features")
-    rows = materialize(vectors.join(fold_numbers(records, folds), "CVE_ID"), "folds")
+    # By the size of its compressed file the planner would broadcast a table with a row for each record.
+    rows = materialize(vectors.join(fold_numbers(records, folds).hint("merge"), "CVE_ID"), "folds")
     if records.limit(folds).count() < folds:
-        model = grow(rows, trees, max_depth, max_bins)
+        model = grow(rows, trees, max_depth, max_bins, TreeTaskForestRegressor)
         return model.transform(rows).select("CVE_ID", "CVSS_Score", "fold", "predicted")
 
     def held_out(k: int) -> DataFrame:
-        model = grow(rows.filter(F.col("fold") != k), trees, max_depth, max_bins)
+        model = grow(rows.filter(F.col("fold") != k), trees, max_depth, max_bins, TreeTaskForestRegressor)
         return model.transform(rows.filter(F.col("fold") == k)).select(
             "CVE_ID", "CVSS_Score", "fold", "predicted")
 
-    # The fits are independent jobs and share the cluster; what a task holds does not depend on their number.
+    # The fits share the cluster; what a task holds does not depend on their number.
     with ThreadPool(folds) as pool:
         return reduce(DataFrame.unionByName, pool.map(held_out, range(folds)))
 
